@@ -5,29 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from velatura.llm.common import table
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from velatura.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from velatura.llm.sharding import assign_shards
 
     return assign_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_jump_sharding,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_line_dedup, op9_jump_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": """
+WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+lines AS (
+  SELECT doc_id, n, line, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM split),
+shared AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.doc_id, l.n, l.line, s.k IS NOT NULL AND l.doc_id <> s.keeper AS lost FROM lines l LEFT JOIN shared s ON l.k = s.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
     "op9_jump_sharding": """
-WITH RECURSIVE walk(doc_id, n, at, next, state) AS (
+WITH RECURSIVE walk(doc_id, n, here, ahead, state) AS (
   SELECT doc_id, n, -1::BIGINT, 0::BIGINT, doc_id::HUGEINT FROM documents, (VALUES (16), (17)) AS counts(n)
   UNION ALL
-  SELECT doc_id, n, next,
-    floor((next + 1)::DOUBLE * (2147483648.0::DOUBLE / (((state * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))::BIGINT,
+  SELECT doc_id, n, ahead,
+    floor((ahead + 1)::DOUBLE * (2147483648.0::DOUBLE / (((state * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))::BIGINT,
     (state * 2862933555777941757 + 1) % 18446744073709551616
-  FROM walk WHERE next < n),
-ends AS (SELECT doc_id, max(at) FILTER (n = 16) AS shard, max(at) FILTER (n = 17) AS grown_shard FROM walk GROUP BY doc_id)
-SELECT d.doc_id, (strlen(coalesce(d.text, '')) + 1)::BIGINT AS size, NULL::BIGINT AS text_crc32, 'key' AS law, e.shard::INTEGER AS shard,
+  FROM walk WHERE ahead < n),
+crc_table AS (
+  SELECT list(list_reduce([n::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) AS r(n)),
+sums AS (
+  SELECT doc_id, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
+  FROM documents, crc_table),
+ends AS (SELECT doc_id, max(here) FILTER (n = 16) AS shard, max(here) FILTER (n = 17) AS grown_shard FROM walk GROUP BY doc_id)
+SELECT d.doc_id, (strlen(coalesce(d.text, '')) + 1)::BIGINT AS size, s.text_crc32::BIGINT AS text_crc32, 'key' AS law, e.shard::INTEGER AS shard,
   (row_number() OVER (PARTITION BY e.shard ORDER BY d.doc_id) - 1)::BIGINT AS slot, e.grown_shard::INTEGER AS grown_shard
-FROM documents d JOIN ends e USING (doc_id)""",
+FROM documents d JOIN ends e USING (doc_id) JOIN sums s USING (doc_id)""",
 }
