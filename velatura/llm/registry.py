@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from velatura.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from velatura.llm.decontaminate import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    spans = F.transform(F.filter("hits", lambda _, i: i % 2 == 0), lambda a, i: F.element_at("hits", 2 * i + 2) - a)
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda s, n: s + n)
+    longest = F.array_max(F.transform("matches", lambda m: m["n_words"]))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.coalesce(longest, F.lit(0)).cast("long").alias("longest_match"),
+    )
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from velatura.llm.near_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from velatura.llm.line_dedup import dedup_lines
 
@@ -23,9 +43,26 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_line_dedup, op9_jump_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op4_simhash_near_dedup, op8_line_dedup, op9_jump_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": """
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT item_id, i, w[i:i + 9] AS words, len(w[i:i + 9]) AS n FROM starts),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM docs),
+texts AS (SELECT doc_id, p, n, w[p:p + n - 1] AS words FROM places, (SELECT DISTINCT n FROM windows) WHERE p + n - 1 <= len(w)),
+found AS (SELECT t.doc_id, t.p, t.n, x.item_id, x.i FROM texts t JOIN windows x ON t.n = x.n AND t.words = x.words),
+hit AS (SELECT doc_id, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+islands AS (SELECT doc_id, item_id, p - i AS diagonal, p, n, p - row_number() OVER (PARTITION BY doc_id, item_id, p - i ORDER BY p) AS island FROM found),
+longest AS (SELECT doc_id, max(n_words) AS longest_match FROM (SELECT doc_id, max(p + n) - min(p) AS n_words FROM islands GROUP BY doc_id, item_id, diagonal, island) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(m.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(l.longest_match, 0)::BIGINT AS longest_match
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN longest l USING (doc_id)""",
     "op8_line_dedup": """
 WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
 lines AS (
