@@ -30,6 +30,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from velatura.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from velatura.llm.line_dedup import dedup_lines
 
@@ -43,7 +51,14 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op4_simhash_near_dedup, op8_line_dedup, op9_jump_sharding)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from velatura.llm.quality_classifier import quality_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op4_simhash_near_dedup, op5_best_fit_packing, op8_line_dedup, op9_jump_sharding, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": """
