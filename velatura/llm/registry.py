@@ -53,6 +53,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from velatura.llm.pii_tagger import KINDS, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from velatura.llm.line_dedup import dedup_lines
 
@@ -73,7 +80,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op4_simhash_near_dedup, op5_best_fit_packing, op6_token_counts, op8_line_dedup, op9_jump_sharding, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op4_simhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_pii_tagger, op8_line_dedup, op9_jump_sharding, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": """
