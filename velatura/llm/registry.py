@@ -30,6 +30,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from velatura.llm.warc import archive, archive_folder, read_index
+
+    folder = archive_folder(spark)
+    archive(table(spark, sf_dir, "pages"), folder, min_bytes=1000)
+    return read_index(spark, folder)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from velatura.llm.near_dedup import near_duplicates
 
@@ -80,7 +88,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op4_simhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_pii_tagger, op8_line_dedup, op9_jump_sharding, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_warc_archive, op4_simhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_pii_tagger, op8_line_dedup, op9_jump_sharding, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": """
@@ -100,6 +108,12 @@ longest AS (SELECT doc_id, max(n_words) AS longest_match FROM (SELECT doc_id, ma
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(m.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(l.longest_match, 0)::BIGINT AS longest_match
 FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN longest l USING (doc_id)""",
+    "op3_warc_archive": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT html, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest, CASE WHEN g.keeper IS NULL OR g.keeper = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.keeper <> p.page_id THEN g.keeper END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html""",
     "op8_line_dedup": """
 WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
 lines AS (
