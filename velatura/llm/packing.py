@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences, as hierarchical residual packing.
 
 Tokens: a text divides before white space that follows something else; the byte-level tokenizer ends a pre-token at each such place,
-so the parts' ids, one after the other, are the text's. Distinct parts are encoded once in a batch and remembered.
+so the parts' ids, one after the other, are the text's. Each distinct part is encoded once and remembered.
 
 Packing: every task packs the pieces it has just made by best fit, largest first. Full or nearly full bins are final. The others
 go on as items of their own length: groups of bounded size pack them again, in fewer and fewer groups, until one group has
@@ -10,9 +10,11 @@ them all or a round no longer gains anything. A bin's place is the sum of the pl
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from velatura.llm.common import blobs, cut, prepare, rows, sliced
 
 #: Items that one group packs, and parts that a task remembers.
 GROUP_ITEMS = 1 << 16
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Groups of one round that meet in one group of the next.
 FAN_IN = 8
 #: Characters that regular expression libraries may class differently; parts that hold one are encoded as they are.
@@ -33,7 +35,14 @@ _PART = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
 
 class Encoder:
-    """Ids of whole texts by a `tokenizers` file, as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts by a byte-level BPE file of `tokenizers`, as little-endian unsigned 32-bit bytes.
+
+    Pre-tokens are merged by tiktoken's core from the file's own vocabulary where that gives the same ids. It merges any two
+    neighbours whose bytes together are an entry, `tokenizers` only the pair that made the entry. The results are equal for every input
+    if ids follow the order of merges and each entry encodes to itself: bounds of an entry's bytes that stand while all
+    earlier merges are done keep its inside as it is alone, so no other pair can be left there. This is looked up when the
+    file is loaded; entries that don't encode to themselves are left out, and a file of another kind goes to `tokenizers`.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,53 +52,68 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.pattern = regex.compile(PATTERN)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self._core(json.loads(self.tokenizer.to_str()), PATTERN)
+
+    def _core(self, spec: dict, pattern: str):
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+            return None
+        import tiktoken
+
+        ids = [model["vocab"]["".join(m)] for m in model["merges"]]
+        if any(a >= b for a, b in zip(ids, ids[1:])) or model.get("unk_token") or model.get("dropout") or len(set(ids)) < len(ids):
+            return None
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        own = self.tokenizer.model.tokenize
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if i not in special and [x.id for x in own(token)] == [i]}
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def parts(self, text: bytes) -> list[bytes]:
         """Parts of a text, each of white space followed by other characters; one space in front is most often all there is."""
         found = text.split(b" ")
-        if len(found) == 1:
+        if len(found) == 1 or not self._plain(text):
             return _PART.findall(text)
-        return [found[0], *[b" " + x for x in found[1:]]] if self._plain(text) else _PART.findall(text)
+        return [found[0], *[b" " + x for x in found[1:]]]
 
     @staticmethod
     def _plain(text: bytes) -> bool:
         return not (text.startswith((b" ", b"\n", b"\t", b"\r")) or text.endswith(b" ") or b"  " in text or b"\n " in text or b"\t " in text or b"\r " in text or b"\x0b " in text or b"\x0c " in text)
 
+    def _ids(self, part: bytes) -> bytes:
+        text = part.decode()
+        if self.merge is None or _UNSURE.search(text) or any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        merge = self.merge
+        return b"".join([array("I", merge(p.encode())).tobytes() for p in self.pattern.findall(text)])
+
     def learn(self, missing: set[bytes]) -> None:
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        split, need = [], set()
+        known, ids = self.known, self._ids
         for part in missing:
-            text = part.decode()
-            whole = _UNSURE.search(text) or any(s in text for s in self.special)
-            found = [text] if whole else self.pattern.findall(text)
-            split.append((part, found))
-            need.update(p for p in found if p not in self.pieces)
-        need = list(need)
-        for i in range(0, len(need), 4096):
-            batch = need[i : i + 4096]
-            for piece, got in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.pieces[piece] = np.array(got.ids, "<u4").tobytes()
-        pieces = self.pieces
-        for part, found in split:
-            self.known[part] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
+            # A run of these marks after a letter is a pre-token of its own.
+            core = part.rstrip(b".,;:!?#*$%&|")
+            if core != part and len(core) > 1 and core[-1:].isalpha() and b"<" not in core:
+                if core not in known:
+                    known[core] = ids(core)
+                if (marks := part[len(core) :]) not in known:
+                    known[marks] = ids(marks)
+                known[part] = known[core] + known[marks]
+            else:
+                known[part] = ids(part)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text."""
-        cut_ = [self.parts(t) if t else [] for t in texts]
-        missing = {p for parts in cut_ for p in parts}.difference(self.known)
-        if missing:
-            self.learn(missing)
         known = self.known
-        for parts in cut_:
+        for text in texts:
+            parts = self.parts(text) if text else []
             try:
                 yield b"".join([known[p] for p in parts])
-            except KeyError:  # forgotten to make room
+            except KeyError:
                 self.learn(set(parts).difference(known))
                 yield b"".join([known[p] for p in parts])
 
