@@ -151,15 +151,23 @@ def template_weights(templates: DataFrame, boosts: DataFrame, tags_col: str = "t
     return each.groupBy(id_col).agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
 
 
+#: Most templates that a bank may hold.
+BANK_ROWS = 10_000
+
+
 def weighted_choice(keys: DataFrame, weights: DataFrame, id_col: str = "id", u_col: str = "u") -> DataFrame:
-    """keys with a template each: the draw u (0 to 1) falls into a template's share of the weights. weights: a template bank, some
-    hundreds of rows, as one sorted array in a single row that goes to every task."""
-    bank = weights.groupBy().agg(F.array_sort(F.collect_list(F.struct(id_col, "weight"))).alias("w"))
-    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x["weight"])
-    ends = F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.aggregate(F.slice("w", 1, n), F.lit(0.0), lambda a, x: a + x["weight"]))
-    bank = bank.withColumn("ends", ends).withColumn("total", total)
-    place = F.size(F.filter("ends", lambda e: e <= F.col(u_col) * F.col("total")))
-    return keys.crossJoin(F.broadcast(bank)).withColumn(id_col, F.get("w", F.least(place, F.size("w") - 1))[id_col]).drop("w", "ends", "total")
+    """keys with a template each: the draw u (0 to 1) falls into a template's share of the weights. The bank (id, weight) becomes
+    a literal of the plan, behind a check of its size."""
+    bank = weights.select(id_col, "weight").orderBy(id_col).limit(BANK_ROWS + 1).collect()
+    if not 0 < len(bank) <= BANK_ROWS:
+        raise ValueError(f"a bank has 1 to {BANK_ROWS} templates")
+    total, ends, ids = 0.0, [], []
+    for r in bank:
+        total += r["weight"]
+        ends.append(total)
+        ids.append(r[id_col])
+    place = F.size(F.filter(F.lit(ends), lambda e: e <= F.col(u_col) * total))
+    return keys.withColumn(id_col, F.get(F.lit(ids), F.least(place, F.lit(len(ids) - 1))))
 
 
 def parse_tags(value) -> list[str]:
