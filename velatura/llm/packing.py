@@ -91,8 +91,6 @@ class Encoder:
         return b"".join([array("I", merge(p.encode())).tobytes() for p in self.pattern.findall(text)])
 
     def learn(self, missing: set[bytes]) -> None:
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
         known, ids = self.known, self._ids
         for part in missing:
             # A run of these marks after a letter is a pre-token of its own.
@@ -114,6 +112,8 @@ class Encoder:
             try:
                 yield b"".join([known[p] for p in parts])
             except KeyError:
+                if len(known) > REMEMBERED:  # then all of this text's parts are learnt anew
+                    known.clear()
                 self.learn(set(parts).difference(known))
                 yield b"".join([known[p] for p in parts])
 
