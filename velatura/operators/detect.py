@@ -70,10 +70,11 @@ def candidates(text: Column, detector: Detector, turn: int = 1) -> Column:
     hits = find(text, detector.pattern)
     if detector.trim:
         own = "".join("\\" + c for c in detector.trim)
-        kept = F.transform(hits, lambda h: F.regexp_replace(h["value"], f"[{own}]+$", ""))
-        hits = F.filter(F.transform(hits, lambda h, i: F.struct(h["start"].alias("start"), (h["start"] + F.length(F.get(kept, i))).alias("end"), F.get(kept, i).alias("value"))), lambda h: h["end"] > h["start"])
-    ok = (lambda h: detector.check(h["value"])) if detector.check else (lambda h: F.lit(False))
-    spans = F.transform(hits, lambda h, i: span(F.lit(detector.label), h["start"], h["end"], F.when(ok(h), 1.0).otherwise(0.9), ok(h), F.lit("regex"), F.lit(turn * STRIDE) + i))
+        cut = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.regexp_replace(h["value"], f"[{own}]+$", "").alias("value")))
+        hits = F.filter(F.transform(cut, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(h["value"])).alias("end"), h["value"].alias("value"))), lambda h: h["end"] > h["start"])
+    # The check's outcome is a field of its own before it is used twice.
+    checked = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), (detector.check(h["value"]) if detector.check else F.lit(False)).alias("ok")))
+    spans = F.transform(checked, lambda h, i: span(F.lit(detector.label), h["start"], h["end"], F.when(h["ok"], 1.0).otherwise(0.9), h["ok"], F.lit("regex"), F.lit(turn * STRIDE) + i))
     if detector.check and detector.strict:
         spans = F.filter(spans, lambda s: s["validated"])
     gate = text.isNotNull() if detector.gate is None else text.isNotNull() & detector.gate(text)
