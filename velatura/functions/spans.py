@@ -5,9 +5,7 @@ A span is struct<label, start, end, score, validated, source, ord>; offsets coun
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velatura.functions.classes import SPACE, WORD
@@ -61,6 +59,11 @@ def select_greedy(spans: Column, soft: Column) -> Column:
     return F.aggregate(ranked, F.array().cast(f"array<{SPAN}>"), lambda kept, r: F.when(free(kept, r["s"]), F.array_append(kept, r["s"])).otherwise(kept))
 
 
+def in_order(spans: Column) -> Column:
+    """Disjoint spans by their places."""
+    return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s.alias("s")))), lambda r: r["s"])
+
+
 def trim_space(spans: Column, text: Column) -> Column:
     """Without white space at both ends; what is only white space goes."""
     lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, f"^[{SPACE}]+", ""))
@@ -83,8 +86,8 @@ def widen_to_words(spans: Column, text: Column) -> Column:
 
 
 def fuse(spans: Column) -> Column:
-    """In the order of places: a span that overlaps the one before it, or touches it under the same label, becomes part of it."""
-    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s.alias("s"))))
+    """In the order of places, longer ones first, ties as they come: a span that overlaps the one before it, or touches it under the same label, becomes part of it."""
+    by_place = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s"))))
     none = F.struct(F.array().cast(f"array<{SPAN}>").alias("done"), F.lit(None).cast(SPAN).alias("open"))
 
     def step(a: Column, r: Column) -> Column:
@@ -109,8 +112,7 @@ def fold(value: Column) -> Column:
     return out
 
 
-def staged(df, steps: list[tuple[str, Callable[[], Column]]]):
-    """Columns added one select at a time, so that later steps refer to values and not to copies of their expressions."""
-    for name, make in steps:
-        df = df.withColumn(name, make())
-    return df
+def exploded(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """A row for each element of a computed array. A plain explode lets the optimizer filter on the array's size below all
+    projections, which computes the array a second time; the outer form doesn't, and empty arrays go by their null."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

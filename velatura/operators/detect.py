@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from velatura.functions import checksums
 from velatura.functions.classes import unicode
-from velatura.functions.spans import SPAN, find, span
+from velatura.functions.spans import SPAN, exploded, find, span
 
 
 @dataclass(frozen=True)
 class Detector:
     """A label's pattern. strict: a match that fails the check is dropped; otherwise the check only sets `validated`.
 
-    gate: a cheap test of the whole text without which the pattern can't match. trim: characters that a match may not end in.
+    gate: the name in GATES of a cheap test of the whole text without which the pattern can't match. trim: characters that a match may not end in.
     """
 
     name: str
@@ -25,38 +25,41 @@ class Detector:
     pattern: str
     check: Callable[[Column], Column] | None = None
     strict: bool = True
-    gate: Callable[[Column], Column] | None = None
+    gate: str = "any"
     trim: str = ""
 
 
-_digit = lambda t: t.rlike(r"\p{Nd}")
+#: Tests of whole texts, each made once for all detectors that name it.
+GATES: dict[str, Callable[[Column], Column]] = {
+    "any": lambda t: t.isNotNull(), "digit": lambda t: t.rlike(r"\p{Nd}"), "at": lambda t: F.contains(t, F.lit("@")), "dot": lambda t: t.rlike(r"://|[A-Za-z0-9]\.[A-Za-z0-9]"),
+}
 #: The patterns of the rule net. Word, digit and space classes are widened to Unicode by `unicode`.
 DETECTORS = (
-    Detector("email", "EMAIL", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", gate=lambda t: F.contains(t, F.lit("@"))),
-    Detector("cf", "CF", unicode(r"\b[A-Za-z]{6}\d{2}[A-Za-z]\d{2}[A-Za-z]\d{3}[A-Za-z]\b"), checksums.tax_code_ok, strict=False, gate=_digit),
+    Detector("email", "EMAIL", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", gate="at"),
+    Detector("cf", "CF", unicode(r"\b[A-Za-z]{6}\d{2}[A-Za-z]\d{2}[A-Za-z]\d{3}[A-Za-z]\b"), checksums.tax_code_ok, strict=False, gate="digit"),
     Detector(
         "cf_omocodic", "CF",
         unicode(r"\b[A-Za-z]{6}[\dLMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][\dLMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][\dLMNPQRSTUVlmnpqrstuv]{3}[A-Za-z]\b"), checksums.tax_code_ok,
     ),
-    Detector("iban", "IBAN", unicode(r"\b[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}\b"), checksums.iban_ok, gate=_digit),
-    Detector("card", "CREDITCARDNUMBER", unicode(r"(?<!\d)\d(?:[ .\-]?\d){12,18}(?!\d)"), checksums.luhn_ok, gate=_digit),
-    Detector("piva", "PIVA", unicode(r"(?<!\d)\d{11}(?!\d)"), checksums.vat_ok, gate=_digit),
-    Detector("phone", "TELEPHONENUM", unicode(r"(?<![\w.])(?:\+39[\s.\-]?)?(?:3\d{2}[\s.\-]?\d{3}[\s.\-]?\d{3,4}|0\d{1,3}[\s.\-]?\d{5,8})(?![\w])"), gate=_digit),
-    Detector("amount", "AMOUNT", "(?iu)" + unicode(r"(?:€|EUR|euro)\s?\d{1,3}(?:[.\s]\d{3})*(?:,\d{2})?|\d{1,3}(?:\.\d{3})*,\d{2}\s?(?:€|EUR|euro)"), gate=_digit),
-    Detector("plate", "TARGA", unicode(r"\b[A-Za-z]{2}[\s-]?\d{3}[\s-]?[A-Za-z]{2}\b"), gate=_digit),
+    Detector("iban", "IBAN", unicode(r"\b[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}\b"), checksums.iban_ok, gate="digit"),
+    Detector("card", "CREDITCARDNUMBER", unicode(r"(?<!\d)\d(?:[ .\-]?\d){12,18}(?!\d)"), checksums.luhn_ok, gate="digit"),
+    Detector("piva", "PIVA", unicode(r"(?<!\d)\d{11}(?!\d)"), checksums.vat_ok, gate="digit"),
+    Detector("phone", "TELEPHONENUM", unicode(r"(?<![\w.])(?:\+39[\s.\-]?)?(?:3\d{2}[\s.\-]?\d{3}[\s.\-]?\d{3,4}|0\d{1,3}[\s.\-]?\d{5,8})(?![\w])"), gate="digit"),
+    Detector("amount", "AMOUNT", "(?iu)" + unicode(r"(?:€|EUR|euro)\s?\d{1,3}(?:[.\s]\d{3})*(?:,\d{2})?|\d{1,3}(?:\.\d{3})*,\d{2}\s?(?:€|EUR|euro)"), gate="digit"),
+    Detector("plate", "TARGA", unicode(r"\b[A-Za-z]{2}[\s-]?\d{3}[\s-]?[A-Za-z]{2}\b"), gate="digit"),
     Detector(
         "url", "URL",
         "(?iu)" + unicode(
             r"(?:https?|ftp)://[^\s<>\"']+|www\.[A-Za-z0-9\-._~%]+\.[A-Za-z]{2,}(?:/[^\s<>\"']*)?"
             r"|\b(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:it|com|net|org|eu|info|io|dev|app|gov|edu|cloud|online|site|blog)\b(?:/[^\s<>\"']*)?"
         ),
-        gate=lambda t: t.rlike(r"://|[A-Za-z0-9]\.[A-Za-z0-9]"), trim=".,;:!?)]}»\"'",
+        gate="dot", trim=".,;:!?)]}»\"'",
     ),
     Detector(
         "docid", "DOCID",
-        "(?iu)" + unicode(r"\b(?:R\.?G\.?\s*N\.?R\.?|R\.?G\.?|RG|Prot\.?|protocollo|Rep\.?|repertorio)(?:\s*(?:n\.?|num\.?|nro\.?))?\s*\d{1,8}(?:[/\-]\d{2,4})?\b"), gate=_digit,
+        "(?iu)" + unicode(r"\b(?:R\.?G\.?\s*N\.?R\.?|R\.?G\.?|RG|Prot\.?|protocollo|Rep\.?|repertorio)(?:\s*(?:n\.?|num\.?|nro\.?))?\s*\d{1,8}(?:[/\-]\d{2,4})?\b"), gate="digit",
     ),
-    Detector("date", "DATE", unicode(r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)\d{2}(?:\s+\d{1,2}[:.]\d{2})?(?!\d)"), gate=_digit),
+    Detector("date", "DATE", unicode(r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)\d{2}(?:\s+\d{1,2}[:.]\d{2})?(?!\d)"), gate="digit"),
 )
 #: Labels whose shape alone is no evidence: their spans yield to those of a recogniser.
 SOFT_LABELS = ("DATE",)
@@ -65,7 +68,7 @@ BY_NAME = {d.name: d for d in DETECTORS}
 STRIDE = 1_000_000
 
 
-def candidates(text: Column, detector: Detector, turn: int = 1) -> Column:
+def candidates(text: Column, detector: Detector, turn: int = 1, gate: Column | None = None) -> Column:
     """array<span> of one detector over a text; a null text has none."""
     hits = find(text, detector.pattern)
     if detector.trim:
@@ -77,8 +80,8 @@ def candidates(text: Column, detector: Detector, turn: int = 1) -> Column:
     spans = F.transform(checked, lambda h, i: span(F.lit(detector.label), h["start"], h["end"], F.when(h["ok"], 1.0).otherwise(0.9), h["ok"], F.lit("regex"), F.lit(turn * STRIDE) + i))
     if detector.check and detector.strict:
         spans = F.filter(spans, lambda s: s["validated"])
-    gate = text.isNotNull() if detector.gate is None else text.isNotNull() & detector.gate(text)
-    return F.when(gate, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    gate = GATES[detector.gate](text) if gate is None else gate
+    return F.when(text.isNotNull() & gate, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def detect(docs: DataFrame, text_col: str = "text", detectors: tuple[Detector, ...] = DETECTORS, out: str = "candidates", grouped_iban: bool = True) -> DataFrame:
@@ -86,7 +89,9 @@ def detect(docs: DataFrame, text_col: str = "text", detectors: tuple[Detector, .
     over the few texts that can hold one."""
     text = F.col(text_col)
     names = [f"__{out}_{d.name}" for d in detectors]
-    found = docs.select("*", *[candidates(text, d, i + 2).alias(n) for i, (d, n) in enumerate(zip(detectors, names))])
+    gates = {g: f"__{out}_gate_{g}" for g in sorted({d.gate for d in detectors})}
+    gated = docs.select("*", *[GATES[g](text).alias(n) for g, n in gates.items()])
+    found = gated.select("*", *[candidates(text, d, i + 2, F.col(gates[d.gate])).alias(n) for i, (d, n) in enumerate(zip(detectors, names))])
     parts = [F.col(n) for n in names]
     if grouped_iban:
         from velatura.operators.iban import grouped_iban_spans
@@ -94,10 +99,10 @@ def detect(docs: DataFrame, text_col: str = "text", detectors: tuple[Detector, .
         head = F.when(text.rlike(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}"), text)
         found = found.withColumn(f"__{out}_grouped", grouped_iban_spans(head))
         parts.insert(0, F.col(f"__{out}_grouped"))
-    return found.withColumn(out, F.concat(*parts)).drop(*names, f"__{out}_grouped")
+    return found.withColumn(out, F.concat(*parts)).drop(*names, *gates.values(), f"__{out}_grouped")
 
 
 def detect_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """One row for each candidate: id, label, start, end, score, validated, source, ord, value."""
     found = detect(docs.select(id_col, text_col), text_col, **kwargs)
-    return found.select(id_col, text_col, F.explode("candidates").alias("c")).select(id_col, "c.*", F.substring(F.col(text_col), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("value"))
+    return exploded(found, [id_col, text_col], F.col("candidates"), "c").select(id_col, "c.*", F.substring(F.col(text_col), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("value"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velatura.functions.classes import SPACE, WORD
-from velatura.functions.spans import SPAN, cut_out, fold, fuse, select_greedy, trim_space, widen_to_words
+from velatura.functions.spans import SPAN, cut_out, exploded, fold, fuse, in_order, select_greedy, trim_space, widen_to_words
 from velatura.operators.detect import SOFT_LABELS, detect
 
 #: Words of a window that a recogniser reads at once, and words that two windows share.
@@ -36,7 +36,7 @@ def chunks(text: Column, words: int = WINDOW_WORDS, shared: int = SHARED_WORDS)
 
 def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WINDOW_WORDS, shared: int = SHARED_WORDS) -> DataFrame:
     """id, chunk, start, end, text of every window of every document; a text without words has none."""
-    at = docs.select(id_col, text_col, F.inline(chunks(F.col(text_col), words, shared)))
+    at = exploded(docs, [id_col, text_col], chunks(F.col(text_col), words, shared), "w").select(id_col, text_col, "w.*")
     return at.select(id_col, "chunk", "start", "end", cut_out(F.col(text_col), F.col("start"), F.col("end")).alias("text"))
 
 
@@ -85,7 +85,7 @@ def merge(df: DataFrame, candidates_col: str = "candidates", text_col: str = "te
     text = F.col(text_col)
     chosen = select_greedy(F.col(candidates_col), F.array(*[F.lit(s) for s in soft])) if engine == "native" else _select_by_marks(text, F.col(candidates_col))
     some = lambda c, make: F.when(F.size(c) > 0, make(c)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    df = df.withColumn(out, F.when(F.size(candidates_col) > 0, chosen).otherwise(F.array().cast(f"array<{SPAN}>")))
+    df = df.withColumn(out, F.when(F.size(candidates_col) > 0, in_order(chosen)).otherwise(F.array().cast(f"array<{SPAN}>")))
     df = df.withColumn(out, some(F.col(out), lambda c: trim_space(c, text)))
     df = df.withColumn(out, some(F.col(out), lambda c: widen_to_words(c, text)))
     return df.withColumn(out, some(F.col(out), fuse))
@@ -167,7 +167,7 @@ def analyse(docs: DataFrame, excluded: list[str] | None = None, reversible: bool
 
 def dictionary(analysed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The dictionary as rows: id, placeholder, label, value. It restores the texts, so it belongs in a place of its own."""
-    return analysed.select(id_col, F.explode(F.filter("entities", lambda e: e["first"])).alias("e")).select(id_col, F.col("e.placeholder").alias("placeholder"), F.col("e.label").alias("label"), F.col("e.value").alias("value"))
+    return exploded(analysed, [id_col], F.filter("entities", lambda e: e["first"]), "e").select(id_col, F.col("e.placeholder").alias("placeholder"), F.col("e.label").alias("label"), F.col("e.value").alias("value"))
 
 
 def simple_mask(df: DataFrame, spans_col: str = "spans", text_col: str = "text", out: str = "masked") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velatura.functions import checksums
-from velatura.functions.spans import cut_out
+from velatura.functions.spans import exploded
 from velatura.operators import dataset, evaluate, generate, labels
 from velatura.operators.detect import BY_NAME, detect, detect_rows
 from velatura.operators.pseudonymise import analyse, chunk_rows, dictionary, glued_placeholder, merge, number, restore, rewrite, scrub, simple_mask, statistics, worth_searching
@@ -140,7 +140,7 @@ kept AS (SELECT doc_id, list_reduce(xs, lambda a, b: CASE WHEN len(list_filter(a
 def select_spans(spark, sf_dir):
     from velatura.functions.spans import select_greedy
 
-    chosen = _event_spans(spark, sf_dir).select("doc_id", F.explode(select_greedy(F.col("candidates"), F.array(F.lit("DATE")))).alias("s"))
+    chosen = exploded(_event_spans(spark, sf_dir), ["doc_id"], select_greedy(F.col("candidates"), F.array(F.lit("DATE"))), "s")
     return chosen.select("doc_id", F.col("s.ord").cast("bigint").alias("ord"), F.col("s.label").alias("label"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end_pos"))
 
 
@@ -148,9 +148,9 @@ def select_spans(spark, sf_dir):
 _MERGE_SQL = f"""WITH {_EVENT_SQL},
 one AS (SELECT doc_id, k.label AS label, k.ord AS ord, k.s AS s, k.e AS e FROM (SELECT doc_id, unnest(ks) AS k FROM kept)),
 raster AS (SELECT *, list_filter(range(s, e), lambda p: p % 10 NOT IN (3, 8, 9)) AS solid FROM one),
-trimmed AS (SELECT doc_id, label, ord, list_min(solid) AS s, list_max(solid) + 1 AS e FROM raster WHERE len(solid) > 0),
-wide AS (SELECT doc_id, label, ord, CASE WHEN s % 10 < 3 THEN s - s % 10 ELSE s - s % 10 + 4 END AS s, CASE WHEN (e - 1) % 10 < 3 THEN e - 1 - (e - 1) % 10 + 3 ELSE e - 1 - (e - 1) % 10 + 8 END AS e FROM trimmed),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, ord) AS n FROM wide),
+trimmed AS (SELECT doc_id, label, s AS first_s, list_min(solid) AS s, list_max(solid) + 1 AS e FROM raster WHERE len(solid) > 0),
+wide AS (SELECT doc_id, label, first_s, CASE WHEN s % 10 < 3 THEN s - s % 10 ELSE s - s % 10 + 4 END AS s, CASE WHEN (e - 1) % 10 < 3 THEN e - 1 - (e - 1) % 10 + 3 ELSE e - 1 - (e - 1) % 10 + 8 END AS e FROM trimmed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, first_s) AS n FROM wide),
 reach AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM numbered),
 islands AS (SELECT *, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM reach)
 SELECT doc_id, arg_min(label, n) AS label, min(s)::BIGINT AS start, max(e)::BIGINT AS end_pos FROM islands GROUP BY doc_id, island"""
@@ -158,13 +158,13 @@ SELECT doc_id, arg_min(label, n) AS label, min(s)::BIGINT AS start, max(e)::BIGI
 
 @query(_MERGE_SQL)
 def merge_spans(spark, sf_dir):
-    m = merge(_event_spans(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s"))
+    m = exploded(merge(_event_spans(spark, sf_dir)), ["doc_id"], F.col("spans"), "s")
     return m.select("doc_id", F.col("s.label").alias("label"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end_pos"))
 
 
 @query(_MERGE_SQL)
 def merge_spans_arrow(spark, sf_dir):
-    m = merge(_event_spans(spark, sf_dir), engine="arrow").select("doc_id", F.explode("spans").alias("s"))
+    m = exploded(merge(_event_spans(spark, sf_dir), engine="arrow"), ["doc_id"], F.col("spans"), "s")
     return m.select("doc_id", F.col("s.label").alias("label"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end_pos"))
 
 
@@ -182,7 +182,7 @@ def _email_entities(spark, sf_dir):
 
 @query(f"WITH {_email_hits()} SELECT doc_id, start, end_ AS end_pos, value, ph AS placeholder, first AS is_first FROM ents")
 def placeholders(spark, sf_dir):
-    e = _email_entities(spark, sf_dir).select("doc_id", F.explode("entities").alias("e"))
+    e = exploded(_email_entities(spark, sf_dir), ["doc_id"], F.col("entities"), "e")
     return e.select("doc_id", F.col("e.start").cast("bigint").alias("start"), F.col("e.end").cast("bigint").alias("end_pos"), F.col("e.value").alias("value"), F.col("e.placeholder").alias("placeholder"), F.col("e.first").alias("is_first"))
 
 
@@ -379,7 +379,7 @@ def validate_examples(spark, sf_dir):
 def _gold_pred(spark, sf_dir):
     """True spans of rendered documents, and those that the patterns alone find."""
     r = R.rendered(spark, sf_dir)
-    gold = r.select("doc_id", F.explode("truth").alias("t")).select("doc_id", F.col("t.label").alias("type"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    gold = exploded(r, ["doc_id"], F.col("truth"), "t").select("doc_id", F.col("t.label").alias("type"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     pred = detect_rows(r.select("doc_id", "text"), detectors=tuple(BY_NAME[n] for n in ("cf", "piva", "card", "plate", "date", "email")), grouped_iban=False).select("doc_id", F.col("label").alias("type"), "start", "end")
     return gold, pred
 
