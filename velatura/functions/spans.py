@@ -5,6 +5,8 @@ A span is struct<label, start, end, score, validated, source, ord>; offsets coun
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ SPAN = "struct<label:string,start:int,end:int,score:double,validated:boolean,sou
 VALUE = "struct<start:int,end:int,value:string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once. An expression that uses another in several places, or inside a lambda, holds and
+    evaluates it each time, and nested ones grow as a power of the depth."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def find(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches, leftmost and not overlapping.
 

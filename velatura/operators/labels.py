@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velatura.functions import checksums
 from velatura.functions.classes import SPACE, WORD
-from velatura.functions.spans import cut_out, find
+from velatura.functions.spans import cut_out, find, let
 from velatura.functions.taxonomy import ADMITTED, RECASED, SPAN_CORPUS, final_label, mapping
 
 TOKEN = rf"[{WORD}]+|[^{WORD}{SPACE}]"
@@ -26,11 +26,11 @@ def token_spans(text: Column) -> Column:
 def bio_labels(spans: Column, entities: Column) -> Column:
     """A label for each token: of the first entity that holds it whole, beginning it if both start at one place."""
 
-    def one(t: Column) -> Column:
-        e = F.get(F.filter(entities, lambda e: (e["start"] <= t["start"]) & (t["end"] <= e["end"])), 0)
-        return F.when(e.isNull(), "O").otherwise(F.concat(F.when(e["start"] == t["start"], "B-").otherwise("I-"), e["label"]))
+    def one(entities: Column, t: Column) -> Column:
+        first = F.get(F.filter(entities, lambda e: (e["start"] <= t["start"]) & (t["end"] <= e["end"])), 0)
+        return let(first, lambda e: F.when(e.isNull(), "O").otherwise(F.concat(F.when(e["start"] == t["start"], "B-").otherwise("I-"), e["label"])))
 
-    return F.transform(spans, one)
+    return let(entities, lambda every: F.transform(spans, lambda t: one(every, t)))
 
 
 def bio_from_spans(spans: Column, entities: Column, table: dict[str, str] = SPAN_CORPUS) -> Column:
@@ -38,12 +38,13 @@ def bio_from_spans(spans: Column, entities: Column, table: dict[str, str] = SPAN
     begins it, later entities win over earlier ones, and labels outside the table are dropped."""
     known = F.filter(F.transform(entities, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.element_at(mapping(table), F.regexp_replace(e["label"], "_[^_]*$", "")).alias("label"))), lambda e: e["label"].isNotNull())
 
-    def one(t: Column, i: Column) -> Column:
-        e = F.try_element_at(F.filter(known, lambda e: (e["start"] <= t["start"]) & (t["end"] <= e["end"])), F.lit(-1))
-        inner = F.exists(F.slice(spans, 1, i), lambda p: p["start"] >= e["start"])
-        return F.when(e.isNull(), "O").otherwise(F.concat(F.when(inner, "I-").otherwise("B-"), e["label"]))
+    def one(spans: Column, known: Column, t: Column, i: Column) -> Column:
+        # A token begins its entity if the token before it starts outside.
+        label = lambda e: F.concat(F.when(F.when(i > 0, F.get(spans, i - 1)["start"] >= e["start"]), "I-").otherwise("B-"), e["label"])
+        last = F.try_element_at(F.filter(known, lambda e: (e["start"] <= t["start"]) & (t["end"] <= e["end"])), F.lit(-1))
+        return F.coalesce(let(last, lambda e: F.when(e.isNotNull(), label(e))), F.lit("O"))
 
-    return F.transform(spans, one)
+    return let(F.struct(known.alias("known"), spans.alias("spans")), lambda x: F.transform(x["spans"], lambda t, i: one(x["spans"], x["known"], t, i)))
 
 
 def decode_spans(literal: Column) -> Column:
@@ -62,11 +63,11 @@ def normalise(labels: Column) -> Column:
     """Labels mapped to final ones; a token of the same type as the one before goes on with it, whatever its own mark was."""
     types = F.transform(labels, lambda x: final_label(label_type(x)))
 
-    def mark(t: Column, i: Column) -> Column:
-        goes_on = F.when(i > 0, F.get(types, i - 1)).eqNullSafe(t)
-        return F.when(t.isNull(), "O").otherwise(F.concat(F.when(goes_on, "I-").otherwise("B-"), t))
+    def marked(types: Column) -> Column:
+        goes_on = lambda t, i: F.when(i > 0, F.get(types, i - 1)).eqNullSafe(t)
+        return F.transform(types, lambda t, i: F.when(t.isNull(), "O").otherwise(F.concat(F.when(goes_on(t, i), "I-").otherwise("B-"), t)))
 
-    return F.transform(types, mark)
+    return let(types, marked)
 
 
 def tags_of(labels: Column) -> Column:
@@ -76,24 +77,22 @@ def tags_of(labels: Column) -> Column:
 
 def label_spans(labels: Column) -> Column:
     """array<struct<type, start, end>> over token numbers; a type that changes ends a span, and an I- without one begins it."""
-    types = F.transform(labels, label_type)
+    def spans(labels: Column, types: Column) -> Column:
+        return let(types, lambda t: ends_and_starts(labels, t))
 
-    def opens(t: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(types, i - 1))
-        return t.isNotNull() & (F.get(labels, i).startswith("B-") | before.isNull() | (before != t))
+    def ends_and_starts(labels: Column, types: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(types, i - 1))
+        opens = lambda i: F.get(labels, i).startswith("B-") | before(i).isNull() | (before(i) != F.get(types, i))
+        starts = F.filter(F.transform(types, lambda t, i: F.when(t.isNotNull() & opens(i), i)), lambda i: i.isNotNull())
+        ends = F.filter(F.transform(types, lambda t, i: F.when(t.isNotNull() & ((i == F.size(labels) - 1) | F.get(types, i + 1).isNull() | opens(i + 1)), i + 1)), lambda i: i.isNotNull())
+        return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(types, s).alias("type"), s.alias("start"), e.alias("end")))
 
-    starts = F.filter(F.transform(types, lambda t, i: F.when(opens(t, i), i)), lambda i: i.isNotNull())
-
-    def span(s: Column) -> Column:
-        ends = F.filter(F.sequence(s + 1, F.size(labels)), lambda j: (j == F.size(labels)) | F.get(types, j).isNull() | F.coalesce(opens(F.get(types, j), j), F.lit(False)))
-        return F.struct(F.get(types, s).alias("type"), s.alias("start"), F.get(ends, 0).alias("end"))
-
-    return F.transform(starts, span)
+    return let(labels, lambda x: spans(x, F.transform(x, label_type)))
 
 
 def label_span_rows(rows: DataFrame, id_col: str = "row_id", labels_col: str = "bio_labels") -> DataFrame:
     """The spans of label_spans as rows: id, type, start, end; found by windows over a row's tokens, for rows of any length."""
-    tok = rows.select(id_col, F.posexplode(labels_col).alias("i", "label")).withColumn("t", label_type(F.col("label")))
+    tok = rows.select(id_col, F.posexplode_outer(labels_col).alias("i", "label")).filter("i is not null").withColumn("t", label_type(F.col("label")))
     order = Window.partitionBy(id_col).orderBy("i")
     before = F.lag("t").over(order)
     opens = F.col("t").isNotNull() & (F.col("label").startswith("B-") | before.isNull() | (before != F.col("t")))
@@ -114,13 +113,13 @@ def propagate(labels: Column, word_ids: Column, all_pieces: bool = True) -> Colu
     """A label for each piece of a tokenizer (word_ids: its word, null for special pieces): the word's on its first piece, then its
     continuation; null where a piece doesn't count."""
 
-    def one(w: Column, i: Column) -> Column:
+    def one(labels: Column, word_ids: Column, w: Column, i: Column) -> Column:
         own = F.get(labels, w)
         first = ~F.when(i > 0, F.get(word_ids, i - 1)).eqNullSafe(w)
         inner = F.regexp_replace(own, "^B-", "I-") if all_pieces else F.lit(None).cast("string")
         return F.when(w.isNull(), F.lit(None).cast("string")).when(first, own).otherwise(inner)
 
-    return F.transform(word_ids, one)
+    return let(F.struct(labels.alias("l"), word_ids.alias("w")), lambda x: F.transform(x["w"], lambda w, i: one(x["l"], x["w"], w, i)))
 
 
 def draw(*parts) -> Column:
@@ -148,6 +147,10 @@ def recase(words: Column, labels: Column, row: Column, seed: int = 0) -> Column:
 
 def first_error(text: Column, words: Column, labels: Column, entities: Column) -> Column:
     """What is wrong with an example, or null: lengths, labels outside the taxonomy, places, checksums, in this order."""
+    return let(F.struct(text.alias("t"), words.alias("w"), labels.alias("l"), entities.alias("e")), lambda x: _first_error(x["t"], x["w"], x["l"], x["e"]))
+
+
+def _first_error(text: Column, words: Column, labels: Column, entities: Column) -> Column:
     admitted = F.array(*[F.lit(x) for x in ADMITTED])
     strange = lambda label: ~F.array_contains(admitted, label)
     bad = lambda label, ok: F.exists(entities, lambda e: (e["label"] == label) & ~ok(e["value"]))
@@ -162,6 +165,10 @@ def first_error(text: Column, words: Column, labels: Column, entities: Column) -
 
 def derivation_error(text: Column, words: Column, labels: Column, entities: Column) -> Column:
     """As first_error, for examples whose tokens and labels must be those that text and entities give."""
+    return let(F.struct(text.alias("t"), words.alias("w"), labels.alias("l"), entities.alias("e")), lambda x: _derivation_error(x["t"], x["w"], x["l"], x["e"]))
+
+
+def _derivation_error(text: Column, words: Column, labels: Column, entities: Column) -> Column:
     return (
         F.when(words != tokens(text), "tokens").when(F.size(words) != F.size(labels), "length")
         .when(F.exists(entities, lambda e: ~cut_out(text, e["start"], e["end"]).eqNullSafe(e["value"])), "offset")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velatura.functions.classes import SPACE, WORD
-from velatura.functions.spans import SPAN, cut_out, exploded, fold, fuse, in_order, select_greedy, trim_space, widen_to_words
+from velatura.functions.spans import SPAN, cut_out, exploded, find, fold, fuse, in_order, let, select_greedy, trim_space, widen_to_words
 from velatura.operators.detect import SOFT_LABELS, detect
 
 #: Words of a window that a recogniser reads at once, and words that two windows share.
@@ -24,14 +24,21 @@ WINDOW_WORDS, SHARED_WORDS = 120, 20
 
 def chunks(text: Column, words: int = WINDOW_WORDS, shared: int = SHARED_WORDS) -> Column:
     """array<struct<chunk, start, end>>: windows of so many words, whole words only, the last one ending with the text's last word."""
-    from velatura.functions.spans import find
-
     step = max(1, words - shared)
-    found = find(text, f"[^{SPACE}]+")
-    n = F.size(found)
-    last = F.ceil(F.greatest(n - F.lit(words), F.lit(0)) / F.lit(step)).cast("int")
-    windows = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(windows, lambda i: F.struct(i.alias("chunk"), F.get(found, i * step)["start"].alias("start"), F.get(found, F.least(i * step + words, n) - 1)["end"].alias("end")))
+    ahead, rest = divmod(words, step)
+    some = lambda n: f"(?:[^{SPACE}]++[{SPACE}]*+){{1,{n}}}"
+    bare = lambda v: F.length(F.regexp_replace(v, f"[{SPACE}]+$", ""))
+
+    def windows(b: Column) -> Column:
+        """From blocks of `step` words: a window starts with one, and ends with a word of the block `ahead` of it."""
+        final = F.element_at(b, -1)
+        n = (F.size(b) - 1) * step + F.size(F.regexp_extract_all(final["value"], F.lit(f"([^{SPACE}]+)"), 1))
+        full = (lambda i: F.get(b, i + ahead)["start"] + bare(F.regexp_extract(F.get(b, i + ahead)["value"], f"^{some(rest)}", 0))) if rest else (lambda i: F.get(b, i + ahead - 1)["start"] + bare(F.get(b, i + ahead - 1)["value"]))
+        one = lambda i, n: F.struct(i.alias("chunk"), F.get(b, i)["start"].alias("start"), F.when(i * step + words >= n, final["start"] + bare(final["value"])).otherwise(full(i)).alias("end"))
+        return let(n, lambda n: F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(n - F.lit(words), F.lit(0)) / F.lit(step)).cast("int")), lambda i: one(i, n)))
+
+    kind = "array<struct<chunk:int,start:int,end:int>>"
+    return let(find(text, some(step)), lambda b: F.when(F.size(b) > 0, windows(b)).otherwise(F.array().cast(kind)))
 
 
 def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WINDOW_WORDS, shared: int = SHARED_WORDS) -> DataFrame:
@@ -66,8 +73,9 @@ def exclude(candidates: Column, labels: list[str]) -> Column:
     return F.filter(candidates, lambda c: ~F.array_contains(unwanted, c["label"]))
 
 
-@F.pandas_udf(f"array<{SPAN}>")
-def _select_by_marks(text: pd.Series, spans: pd.Series) -> pd.Series:
+def _select_by_marks(text: Column, spans: Column) -> Column:
+    """As select_greedy, by marks on the text's places."""
+
     def one(t: str, found) -> list[dict]:
         free, kept = np.ones(len(t or ""), bool), []
         rank = lambda s: (not s["validated"], s["source"] != "regex" or s["label"] in SOFT_LABELS, -s["score"], s["start"] - s["end"], s["ord"])
@@ -77,7 +85,11 @@ def _select_by_marks(text: pd.Series, spans: pd.Series) -> pd.Series:
                 kept.append(s)
         return kept
 
-    return pd.Series([one(t, s) if s is not None else [] for t, s in zip(text, spans)])
+    @F.pandas_udf(f"array<{SPAN}>")
+    def run(texts: pd.Series, every: pd.Series) -> pd.Series:
+        return pd.Series([one(t, s) if s is not None else [] for t, s in zip(texts, every)])
+
+    return run(text, spans)
 
 
 def merge(df: DataFrame, candidates_col: str = "candidates", text_col: str = "text", out: str = "spans", soft: tuple[str, ...] = SOFT_LABELS, engine: str = "native") -> DataFrame:
@@ -208,10 +220,11 @@ _BREAK = r"(?:[\xad‐-]?[ \t]*\n[ \t]*)?"
 _UNANCHORED = 4
 
 
-def value_pattern(value: str) -> str:
-    """Pattern of a dictionary value in running text: its characters, flexible white space, breaks at line ends, word boundaries."""
+def value_pattern(value: str, breaks: bool = True) -> str:
+    """Pattern of a dictionary value in running text: its characters, flexible white space, breaks at line ends (a text without
+    line ends needs none), word boundaries."""
     words = value.split()
-    body = r"\s+".join(_BREAK.join(re.escape(c) for c in w) for w in words)
+    body = r"\s+".join((_BREAK if breaks else "").join(re.escape(c) for c in w) for w in words)
     core = sum(c.isalnum() for c in value)
     flat = value.strip()
     inner = lambda c: c.isalnum() or c == "_"
@@ -241,7 +254,7 @@ def scrub(texts: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col
         for t, every in zip(text, found):
             counts, missing, residual, t = {}, [], [], t or ""
             every = sorted([] if every is None else list(every), key=lambda e: (-len(e["value"]), e["placeholder"]))
-            used = [(e["placeholder"], re.compile(value_pattern(e["value"]), re.I)) for e in every if e["use"]]
+            used = [(e["placeholder"], re.compile(value_pattern(e["value"], "\n" in t), re.I)) for e in every if e["use"]]
             for name, pattern in used:
                 t, n = pattern.subn(lambda m, name=name: name, t)
                 counts[name] = n
