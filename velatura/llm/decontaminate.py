@@ -81,7 +81,7 @@ class Benchmark:
 def strings(keys: np.ndarray) -> np.ndarray:
     """Rows of unsigned numbers as byte strings of one width that end in a byte other than zero."""
     out = np.full((len(keys), keys.shape[1] * 8 + 1), 1, np.uint8)
-    out[:, :-1] = keys.astype(">u8").view(np.uint8).reshape(len(keys), -1)
+    out[:, :-1] = keys.astype(">u8").view(np.uint8).reshape(len(keys), keys.shape[1] * 8)
     return out.view(f"S{out.shape[1]}").ravel()
 
 

@@ -97,7 +97,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_files(spark: SparkSession, folder: str, path: str) -> None:
     """The archive's records as WARC files, one for each partition, through Spark's own text writer."""
-    text = read_records(spark, folder).select(F.decode("record", F.lit("UTF-8")).alias("value"))
+    text = read_records(spark, folder).select(F.decode("record", "UTF-8").alias("value"))
     # A record ends in a line feed, and the writer ends each row in one.
     text.select(F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.option("lineSep", "\n").text(path)
 
