@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from velatura.functions.classes import SPACE, WORD
 
 MARK = "\x01"
+_BLOCK = 64
 SPAN = "struct<label:string,start:int,end:int,score:double,validated:boolean,source:string,ord:int>"
 VALUE = "struct<start:int,end:int,value:string>"
 
@@ -27,17 +28,27 @@ def find(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches, leftmost and not overlapping.
 
     The JVM's replacement marks each match on both sides, and a split at the marks gives texts and matches by turns; starts are
-    sums of lengths. Marks in the text itself count as spaces. The pattern may not have capturing groups.
+    sums of lengths, kept for every 64th part and summed from there, so that the work grows with the number of matches. Marks
+    in the text itself count as spaces. The pattern may not have capturing groups.
     """
     clean = F.translate(text, MARK, " ")
     parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{VALUE}>").alias("found"), F.lit(False).alias("inside"))
-
-    def step(a: Column, part: Column) -> Column:
-        here = F.struct(a["at"].alias("start"), (a["at"] + F.length(part)).alias("end"), part.alias("value"))
-        return F.struct((a["at"] + F.length(part)).alias("at"), F.when(a["inside"], F.array_append(a["found"], here)).otherwise(a["found"]).alias("found"), (~a["inside"]).alias("inside"))
-
-    return F.aggregate(parts, empty, step, lambda a: a["found"])
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    block = lambda k: F.floor(k / _BLOCK).cast("int")
+
+    def bases(x: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), block(F.size(x["n"]) - 1)), lambda b: total(F.slice(x["n"], b * _BLOCK + 1, _BLOCK)))
+        grow = lambda a, s: F.struct((a["at"] + s).alias("at"), F.array_append(a["all"], a["at"] + s).alias("all"))
+        return F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all")), grow, lambda a: a["all"])
+
+    def matches(x: Column, base: Column) -> Column:
+        start = lambda k: F.get(base, block(k)) + total(F.slice(x["n"], block(k) * _BLOCK + 1, k % _BLOCK))
+        one = lambda k: let(start(k), lambda at: F.struct(at.alias("start"), (at + F.get(x["n"], k)).alias("end"), F.get(x["p"], k).alias("value")))
+        return F.transform(F.sequence(F.lit(1), F.size(x["p"]) - 2, F.lit(2)), one)
+
+    none = F.array().cast(f"array<{VALUE}>")
+    placed = lambda p: let(F.struct(p.alias("p"), F.transform(p, F.length).alias("n")), lambda x: let(bases(x), lambda base: matches(x, base)))
+    return let(parts, lambda p: F.when(F.size(p) > 2, placed(p)).otherwise(none))
 
 
 def span(label: Column, start: Column, end: Column, score: Column, validated: Column, source: Column, ord_: Column) -> Column:
