@@ -55,33 +55,33 @@ def stratified_sample(df: DataFrame, size: int, id_col: str, strata: list[str],
     Later tags count what earlier ones took, so tags go one after the other (there are some twenty); each step ranks candidates
     by a hash of the id and keeps ids only. The subset is a list of ids, joined with the rows at the end.
     """
-    index = df.select(F.col(id_col).alias("id"), *strata, F.col(tags_col).alias("tags"), draw(seed, F.col(id_col)).alias("u")).persist()
+    index = df.select(F.col(id_col).alias("__id"), *strata, F.col(tags_col).alias("__tags"), draw(seed, F.col(id_col)).alias("__u")).persist()
     total = index.count()
     size = min(size, total)
-    tags = tag_counts(index).orderBy("n_rows", "tag").collect()  # one row for each kind of entity
+    tags = tag_counts(index, "__tags").orderBy("n_rows", "tag").collect()  # one row for each kind of entity
     spark = df.sparkSession
-    chosen = spark.createDataFrame([], index.select("id").schema)
+    chosen = spark.createDataFrame([], index.select("__id").schema)
     n_chosen = 0
     for t in tags:
         need = (floors or {}).get(t.tag, default_floor)
-        own = index.filter(F.array_contains("tags", t.tag))
-        have = own.join(chosen, "id", "left_semi").count()
+        own = index.filter(F.array_contains("__tags", t.tag))
+        have = own.join(chosen, "__id", "left_semi").count()
         take = min(need - have, size - n_chosen)
         if take > 0:
-            more = own.join(chosen, "id", "left_anti").orderBy("u", "id").limit(take).select("id")
+            more = own.join(chosen, "__id", "left_anti").orderBy("__u", "__id").limit(take).select("__id")
             chosen = chosen.unionByName(more).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else chosen.unionByName(more).persist()
             n_chosen = chosen.count()
-    taken = index.join(chosen, "id", "left_semi").groupBy(*strata).agg(F.count(F.lit(1)).alias("have"))
-    quota = index.groupBy(*strata).agg(F.count(F.lit(1)).alias("pool")).join(taken, strata, "left")
-    quota = quota.select(*strata, "pool", (F.bround(F.lit(size) * F.col("pool") / F.lit(max(total, 1))) - F.coalesce("have", F.lit(0))).alias("deficit"))
-    before = Window.orderBy(F.desc("pool"), *strata).rowsBetween(Window.unboundedPreceding, -1)  # over strata, not rows
-    quota = quota.withColumn("deficit", F.greatest("deficit", F.lit(0))).withColumn("room", F.lit(size - n_chosen) - F.coalesce(F.sum("deficit").over(before), F.lit(0)))
-    rest = index.join(chosen, "id", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(*strata).orderBy("u", "id")))
-    chosen = chosen.unionByName(rest.join(quota, strata).filter(F.col("k") <= F.least("deficit", "room")).select("id")).persist()
+    taken = index.join(chosen, "__id", "left_semi").groupBy(*strata).agg(F.count(F.lit(1)).alias("__have"))
+    quota = index.groupBy(*strata).agg(F.count(F.lit(1)).alias("__pool")).join(taken, strata, "left")
+    quota = quota.select(*strata, "__pool", (F.bround(F.lit(size) * F.col("__pool") / F.lit(max(total, 1))) - F.coalesce("__have", F.lit(0))).alias("__deficit"))
+    before = Window.orderBy(F.desc("__pool"), *strata).rowsBetween(Window.unboundedPreceding, -1)  # over strata, not rows
+    quota = quota.withColumn("__deficit", F.greatest("__deficit", F.lit(0))).withColumn("__room", F.lit(size - n_chosen) - F.coalesce(F.sum("__deficit").over(before), F.lit(0)))
+    rest = index.join(chosen, "__id", "left_anti").withColumn("__k", F.row_number().over(Window.partitionBy(*strata).orderBy("__u", "__id")))
+    chosen = chosen.unionByName(rest.join(quota, strata).filter(F.col("__k") <= F.least("__deficit", "__room")).select("__id")).persist()
     short = size - chosen.count()
     if short > 0:
-        chosen = chosen.unionByName(index.join(chosen, "id", "left_anti").orderBy("u", "id").limit(short).select("id"))
-    return df.join(chosen.withColumnRenamed("id", id_col), id_col, "left_semi")
+        chosen = chosen.unionByName(index.join(chosen, "__id", "left_anti").orderBy("__u", "__id").limit(short).select("__id"))
+    return df.join(chosen.withColumnRenamed("__id", id_col), id_col, "left_semi")
 
 
 def quotas(df: DataFrame, size: int, strata: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,8 +84,6 @@ def is_pdf(path: Column, content: Column) -> Column:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, text, error of text files: UTF-8 (with or without a mark), else UTF-16, else Latin-1. PDF files need a reader that isn't
     here and come with an error, as do other extensions."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(content: pd.Series) -> pd.Series:
         def one(b: bytes) -> str:
