@@ -45,11 +45,11 @@ hits AS (SELECT doc_id, start, start + length(value) AS end_, value FROM placed
 
 
 # --- detection -----------------------------------------------------------------------------------------------------------------
-_HIT = ["doc_id", "label", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end_pos"), "value", "validated"]
+_HIT = ("doc_id", "label", "cast(start AS bigint) AS start", "cast(end AS bigint) AS end_pos", "value", "validated")
 
 
 def _detected(docs: DataFrame, *names: str) -> DataFrame:
-    return detect_rows(docs, detectors=tuple(BY_NAME[n] for n in names), grouped_iban=False).select(*_HIT)
+    return detect_rows(docs, detectors=tuple(BY_NAME[n] for n in names), grouped_iban=False).selectExpr(*_HIT)
 
 
 def _sql_detect(source_ctes: str, source: str, pattern: str, label: str, check: str | None = None, strict: bool = True, key: str = "doc_id", text: str = "text", trim: str = "") -> str:
@@ -102,7 +102,7 @@ for _name, (_rx, _label, _check, _strict, _trim) in _RENDERED.items():
 @query(f"""WITH RECURSIVE {_RK} found AS (SELECT doc_id, strpos(text, iban_text) - 1 AS start, iban_text AS value FROM rendered WHERE iban_right)
 SELECT doc_id, 'IBAN' AS label, start::BIGINT AS start, start::BIGINT + length(value) AS end_pos, value, true AS validated FROM found""")
 def detect_iban_grouped(spark, sf_dir):
-    return detect_rows(R.rendered(spark, sf_dir), detectors=(), grouped_iban=True).select(*_HIT)
+    return detect_rows(R.rendered(spark, sf_dir), detectors=(), grouped_iban=True).selectExpr(*_HIT)
 
 
 def _sql_checks(label: str, col: str, ok: str) -> str:
@@ -473,12 +473,14 @@ def strata_counts(spark, sf_dir):
     return dataset.strata_counts(_t(spark, sf_dir, "documents"), ["lang", "source"])
 
 
-_TAGS = F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, "CF"), F.when(F.col("doc_id") % 3 == 0, "IBAN"), F.when(F.col("doc_id") % 31 == 0, "TARGA")), lambda x: x.isNotNull())
+def _tags():
+    """Tags that follow from the id."""
+    return F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, "CF"), F.when(F.col("doc_id") % 3 == 0, "IBAN"), F.when(F.col("doc_id") % 31 == 0, "TARGA")), lambda x: x.isNotNull())
 
 
 @query("SELECT tag, count(*)::BIGINT AS n_rows FROM (SELECT unnest(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'CF' END, CASE WHEN doc_id % 3 = 0 THEN 'IBAN' END, CASE WHEN doc_id % 31 = 0 THEN 'TARGA' END], lambda x: x IS NOT NULL)) AS tag FROM documents) GROUP BY tag")
 def tag_counts(spark, sf_dir):
-    return dataset.tag_counts(_t(spark, sf_dir, "documents").withColumn("tags", _TAGS))
+    return dataset.tag_counts(_t(spark, sf_dir, "documents").withColumn("tags", _tags()))
 
 
 @query("""WITH c AS (SELECT lang, source, count(*) AS pool FROM documents GROUP BY lang, source), q AS (SELECT *, 137.0 * pool / sum(pool) OVER () AS x FROM c)
@@ -490,7 +492,7 @@ def stratified_quota(spark, sf_dir):
 @query("SELECT least(300, count(*))::BIGINT AS n_rows, least(20, count(*) FILTER (doc_id % 31 = 0))::BIGINT AS n_rare FROM documents")
 def stratified_sample(spark, sf_dir):
     """Size of the subset and its rows with the rarest tag, counted up to the floor."""
-    d = _t(spark, sf_dir, "documents").withColumn("tags", _TAGS)
+    d = _t(spark, sf_dir, "documents").withColumn("tags", _tags())
     s = dataset.stratified_sample(d, 300, "doc_id", ["source", "lang"], floors={"TARGA": 20}, default_floor=10)
     return s.agg(F.count(F.lit(1)).alias("n_rows"), F.least(F.lit(20), F.count_if(F.col("doc_id") % 31 == 0)).alias("n_rare"))
 
@@ -529,7 +531,7 @@ def longest_rows(spark, sf_dir):
 @query("""SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (doc_id % 3 = 0)::BIGINT AS n_tagged, count(*) FILTER (regexp_matches(text, '(?i)licen[sc]e'))::BIGINT AS n_keyword,
   count(*) FILTER (regexp_matches(text, '(?i)licen[sc]e') AND doc_id % 3 <> 0)::BIGINT AS n_keyword_only FROM documents""")
 def absence_proof(spark, sf_dir):
-    return dataset.absence(_t(spark, sf_dir, "documents").withColumn("tags", _TAGS), "tags", "IBAN", "text", "(?i)licen[sc]e")
+    return dataset.absence(_t(spark, sf_dir, "documents").withColumn("tags", _tags()), "tags", "IBAN", "text", "(?i)licen[sc]e")
 
 
 @query("SELECT p_brand, 'm-v1.' || max(p_size) AS name, '1.' || max(p_size) AS version FROM part GROUP BY p_brand")
