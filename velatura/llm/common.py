@@ -47,14 +47,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
         if not batch.num_rows:
             continue
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-        if (total := int(size.sum())) <= limit:
+        if int(size.sum()) <= limit:
             yield batch
             continue
         part = (np.cumsum(size) - 1).clip(0) // limit
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
-        del total
 
 
 def blobs(batch: pa.RecordBatch, column: int) -> list[bytes]:
