@@ -22,3 +22,50 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, packed)) == sorted(map(key, ran))
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_run_equals_brute_force(spark):
+    """Every stage by plain Python: the model's scores, counted lines, all pairs of fingerprints, windows, and the tokenizer's ids."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers
+    from test_sharding_lines_warc import brute_lines
+    from test_text_operators import brute_fingerprint, brute_leaks
+    from tokenizers import Tokenizer
+
+    from velatura.llm.quality_classifier import score, train
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    weights = train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if score(weights, (r.text or "").encode()) >= 0.3]
+    rows = [(d, t) for d, _, _, t in brute_lines(rows)]
+    prints, root = [brute_fingerprint(t) for _, t in rows], list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= 2:
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    least = {}
+    for r, (d, _) in zip(root, rows):
+        least[r] = min(d, least.get(r, d))
+    rows = [(d, t) for r, (d, t) in zip(root, rows) if d == least[r]]
+    leaks = brute_leaks(rows, items)
+    rows = [(d, t) for d, t in rows if leaks[d][1] == 0]
+    tok, exp = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for d, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            exp[(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == exp
+    filled = Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 1024 and len(filled) <= 1.05 * sum(filled.values()) / 1024 + 1
