@@ -7,17 +7,23 @@ over the bits it has left, at most twice; then 44 bits or more are fixed and no
 Inside a node the fingerprints are sorted by Gray rank into a binary tree. Each group keeps a mask of the bits its members share
 and their pattern, and the differences between two groups' patterns bound those of all their members: whole groups are skipped
 once they have too many. A node sends on only a spanning forest of its links, so that no group's pairs are ever listed.
+
+Bits only estimate similarity, and no limit of bits holds all pairs of a given similarity. Where the shared part of the shingles
+themselves is asked for, similar_documents finds all such pairs: two sets of similarity t share one of their first n - ceil(t n) + 1
+shingles in any common order, so the sets meet in a list of such a shingle, and each pair found there is compared whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from velatura.llm.common import blobs, cut, prepare, rows, sliced
 
@@ -28,21 +34,31 @@ LEAF = 32
 #: Group pairs of a tree that are looked at together.
 FRONTIER = 1 << 14
 _CHUNK = 1 << 15
+#: Members from which a shingle's list is linked by a star first, documents in the sample that orders shingles, shingles it names.
+LIST_MEMBERS = 64
+SAMPLE_DOCS = 20_000
+COMMON = 1 << 18
+#: Ids whose texts are read again that are broadcast; beyond them: a join.
+BROADCAST_IDS = 1 << 20
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """SimHash of a whole text's word shingles, repeats included, under XXH64."""
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text, in order, repeats included; a text of fewer words is one shingle."""
     found = text.lower().split()
-    if not found:
-        return 0
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(found), seed)
-    joined = b" ".join(found)
+        return np.array([digest(joined, seed)] if found else [], np.uint64)
     size = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(size + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    spans = zip((end - size)[: 1 - words].tolist(), end[words - 1 :].tolist())
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - words + 1)
+    spans = zip((end - size)[: len(found) - words + 1].tolist(), end[words - 1 :].tolist())
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(found) - words + 1)
+
+
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """SimHash of a whole text's word shingles, repeats included, under XXH64."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8), bitorder="little").reshape(-1, BITS)
@@ -273,3 +289,205 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col
     # Rows without an id in components without any: one row for each component, found by its own fingerprint.
     lone = docs.filter(docs[id_col].isNull()).select(F.struct("*").alias("__row"), F.col(text_col).cast("binary").alias("__text"))
     return kept.unionByName(lone.dropDuplicates(["__text"]).select("__row.*"))
+
+
+def _set_digest(found: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(found.tobytes()))
+
+
+def _parity(found: np.ndarray) -> np.ndarray:
+    """Two to four bits for each shingle, each the parity of those that fall on it: two sets differ in at least as many shingles
+    as these in bits. The number of bits is a power of two, so that the exclusive or of both halves is that of half as many."""
+    width = 1 << max(6, (2 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *[v.view(np.int64) for v in values]])))
+
+
+_LONGS = pa.list_(pa.int64())
+
+
+def _set_marks(words: int, seed: int, level: Fraction, common):
+    """In: id, text. Out: id, the set's digest (fp), size and parity bits, and its first shingles, rare ones before common ones."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("bits", _LONGS), ("prefix", _LONGS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = common.value
+        for batch in sliced(batches, 1):
+            sets, prefixes = [np.unique(shingle_hashes(t, words, seed)) for t in blobs(batch, 1)], []
+            for found in sets:
+                size = len(found) + int(len(found) * -level // 1) + 1 if len(found) else 0
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+                    found = found[np.argsort(np.where(names[at] == found, counts[at], 0), kind="stable")]
+                prefixes.append(found[:size])
+            yield rows(schema, batch.column(0), [_set_digest(x) for x in sets], list(map(len, sets)), _lists([_parity(x) for x in sets]), _lists(prefixes))
+
+    return run, "doc_id long, fp long, n long, bits array<long>, prefix array<long>"
+
+
+def _sets(words: int, seed: int):
+    """In: id, text. Out: the digest of each text's set of shingles, and the set."""
+    schema = pa.schema([("fp", pa.int64()), ("found", _LONGS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            sets = [np.unique(shingle_hashes(t, words, seed)) for t in blobs(batch, 1)]
+            yield rows(schema, [_set_digest(x) for x in sets], _lists(sets))
+
+    return run, "fp long, found array<long>"
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of batches sorted by the first, cut between its values, with the place of each row in its list and the list's size."""
+
+    def ready(own: list[np.ndarray]):
+        start = np.flatnonzero(np.concatenate([[True], own[0][1:] != own[0][:-1]]))
+        size = np.diff(np.append(start, len(own[0])))
+        return own, np.arange(len(own[0])) - np.repeat(start, size), np.repeat(size, size)
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        done = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last list may go on in the next batch
+        if done >= 1 << 15:
+            yield ready([c[:done] for c in held])
+            held = [c[done:] for c in held]
+    if held is not None:
+        yield ready(held)
+
+
+def _shared_lists():
+    """In: shingle, fp, n, pos, sorted by shingle and fp. Out: each once, with the list's size, of lists with several members."""
+    schema = pa.schema([(c, pa.int64()) for c in ("shingle", "fp", "n", "pos", "members")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, rank, _ in _whole_lists(batches):
+            new = np.concatenate([[True], own[1][1:] != own[1][:-1]]) | (rank == 0)
+            members = np.add.reduceat(new.astype(np.int64), np.flatnonzero(rank == 0))
+            size = np.repeat(members, np.diff(np.append(np.flatnonzero(rank == 0), len(rank))))
+            keep = new & (size > 1)
+            yield rows(schema, *[c[keep] for c in (*own, size)])
+
+    return run, "shingle long, fp long, n long, pos long, members long"
+
+
+def _list_pairs(level: Fraction, star: bool):
+    """In: shingle, fp, n, pos, root, sorted by shingle. Out: pairs of a list with different roots that can be similar by their sizes
+    and by the shingle's places; with star, only those with one member, that the shingle chooses."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    num, den = level.numerator, level.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shingle, fp, n, pos, root), rank, size in _whole_lists(batches):
+
+            def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+                near = (root[x] != root[y]) & (np.minimum(most, np.minimum(n[x], n[y])) * (num + den) >= num * (n[x] + n[y]))
+                a, b = fp[x[near]], fp[y[near]]
+                return rows(schema, np.minimum(a, b), np.maximum(a, b))
+
+            every = np.arange(len(fp))
+            if star:
+                yield pairs(every - rank + np.mod(shingle, size), every)
+                continue
+            for shift in range(1, int(size.max())):
+                at = np.flatnonzero(size - rank > shift)
+                yield pairs(at, at + shift)
+
+    return run, "a long, b long"
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", list_members: int = LIST_MEMBERS) -> DataFrame:
+    """For each document: doc_id, fp (the digest of its set of word shingles) and root (equal for documents connected by links).
+
+    Linked are all pairs whose sets of shingles have a shared part (intersection by union) of the similarity or more, and no others.
+    Shingles are ordered by their number in a sample of the documents and by hash; any order gives the same result, rare shingles
+    first give short lists. In long lists one member is compared with all others first, then pairs that are still apart.
+
+    Defined results: texts without words, or null, have equal sets; a text of fewer words than a shingle is one shingle; repeated
+    rows each get a row; an empty table gives no rows. Shingles stand for their 64-bit hashes.
+    """
+    spark, level = docs.sparkSession, Fraction(str(similarity))
+    num, den = level.numerator, level.denominator
+    prepare(spark)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    sampled = source.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(*_sets(words, seed)).select(F.explode("found").alias("shingle"))
+    counted = sampled.groupBy("shingle").count().filter("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    names, counts = counted.column(0).to_numpy().view(np.uint64), counted.column(1).to_numpy()
+    order = np.argsort(names)
+    common = spark.sparkContext.broadcast((names[order], counts[order]))
+    marked = cut(source.mapInArrow(*_set_marks(words, seed, level, common)))
+    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    entries = marked.select("fp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "fp", "n", F.col("pos").cast("long").alias("pos"))
+    shared = cut(entries.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInArrow(*_shared_lists()))
+
+    def paired(lists: DataFrame, star: bool) -> DataFrame:
+        return lists.select("shingle", "fp", "n", "pos", "root").repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(*_list_pairs(level, star))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        of = lambda p: prints.select(F.col("fp").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
+        least = F.least(F.size("bits_a"), F.size("bits_b"))
+        half = lambda c: F.when(F.size(c) == 2 * least, F.zip_with(F.slice(c, 1, least), F.slice(c, least + 1, least), lambda x, y: x.bitwiseXOR(y))).otherwise(F.slice(c, 1, least))
+        apart = F.aggregate(F.zip_with(half("bits_a"), half("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        differ = F.when(F.greatest(F.size("bits_a"), F.size("bits_b")) <= 2 * least, apart).otherwise(0)  # beyond that, only the sets tell
+        total = F.col("n_a") + F.col("n_b")
+        open_ = pairs.distinct().join(of("a"), "a").join(of("b"), "b").filter((total - differ) * (num + den) >= 2 * num * total)
+        open_ = cut(open_.select("a", "b", total.alias("total")))
+        need = prints.join(open_.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "smallest")
+        need = cut(need)
+        ids = cut(need.select(F.col("smallest").alias("__id")).distinct())
+        few = ids.count() <= BROADCAST_IDS
+        texts = source.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        sets = cut(texts.mapInArrow(*_sets(words, seed)).join(need.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+        with_sets = open_.join(sets.select(F.col("fp").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("found").alias("y")), "b")
+        return cut(with_sets.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= num * F.col("total")).select("a", "b"))
+
+    alone = shared.withColumn("root", F.col("fp"))
+    long_ = shared.filter(F.col("members") > list_members)
+    links = confirmed(paired(alone.filter(F.col("members") <= list_members), False).unionByName(paired(alone.filter(F.col("members") > list_members), True)))
+    roots = components(links)
+    if not long_.isEmpty():
+        rooted = long_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        roots = components(links.unionByName(confirmed(paired(rooted, False))))
+    return marked.select("doc_id", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def _one_row_each(docs: DataFrame, found: DataFrame, prints, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, unchanged, that stand for a component each: the one of the smallest id, null being the largest, and of equal
+    ids the one of the smallest fp. found: doc_id, fp and root of each row; prints: the function of Arrow batches that makes fp."""
+    found = cut(found)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("k"))
+    stays = cut(first.select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp")))
+    key = docs[id_col].cast("long")
+    kept = docs.join(stays.select("__id").distinct(), key.eqNullSafe(F.col("__id")), "left_semi")
+    repeated = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again")))
+    if repeated.isEmpty():
+        return kept
+    # Ids of several rows: their texts' own fp tells which row is meant, and rows that are equal in both are of one component.
+    same = kept[id_col].cast("long").eqNullSafe(F.col("__again"))
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            own = pa.Table.from_batches(list(prints(iter([batch.select([0, 1])])))).combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column(0), own.column("fp").combine_chunks().cast(schema.field("fp").type), batch.column(2)], names=["__own", "__print", "__row"])
+
+    several = kept.join(repeated, same, "left_semi")
+    packed = several.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).cast("binary").alias("__text"), F.struct("*").alias("__row"))
+    printed = packed.mapInArrow(run, StructType([StructField("__own", LongType()), StructField("__print", LongType()), StructField("__row", packed.schema["__row"].dataType)]))
+    right = printed.join(stays, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
+    return kept.join(repeated, same, "left_anti").unionByName(right.dropDuplicates(["__own", "__print"]).select("__row.*"))
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, unchanged, of each group that similar_documents connects: that of the smallest id, null being the largest."""
+    return _one_row_each(docs, similar_documents(docs, words, similarity, seed, id_col, text_col), _sets(words, seed)[0], id_col, text_col)
