@@ -252,6 +252,30 @@ def runs_of(text: str) -> Iterator[tuple[list[str], bool, list[tuple[int, int]]]
         yield [before, *shapes, ""], first, places
 
 
+def _values(kind: int, text: str, places: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of the valid values in tokens tagged as one: from each start the longest, then on after it, or after a start without any.
+
+    A part of a text without a domain has none either, and an address of four numbers is one token, so that no other ends need trying
+    for these kinds; numbers end where a further token's digits would be too many.
+    """
+    if KINDS[kind] == "email":
+        places = [(places[0][0], places[-1][1])]
+    if KINDS[kind] in ("email", "ip"):
+        yield from ((a, b) for a, b in places if _valid(KINDS[kind], text[a:b]))
+        return
+    most = 19 if KINDS[kind] == "card" else 15
+    held = [(a, b, n) for a, b in places if (n := len(digits(text[a:b])))]
+    k = 0
+    while k < len(held):
+        stop, total = k, 0
+        while stop < len(held) and (total := total + held[stop][2]) <= most:
+            stop += 1
+        last = next((j for j in range(stop - 1, k - 1, -1) if _valid(KINDS[kind], text[held[k][0] : held[j][1]])), None)
+        if last is not None:
+            yield held[k][0], held[last][1]
+        k = k + 1 if last is None else last + 1
+
+
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(spans of the patterns, those with the field's added) of each text, sorted by kind and start."""
     base = [sorted(base_spans(t)) if _TRIGGER.search(t) else [] for t in texts]
@@ -271,12 +295,7 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
             kind, end = (int(tags[t]) - 1) // 2, t + 1
             while end < len(tags) and tags[end] == tags[t] + 1:
                 end += 1
-            a = places[t][0]
-            for last in range(end - 1, max(t, end - 9) - 1, -1):  # tokens too many at the end don't cost the value before them
-                if _valid(KINDS[kind], texts[i][a : places[last][1]]):
-                    added[i].append((kind, a, places[last][1]))
-                    end = last + 1
-                    break
+            added[i] += [(kind, a, b) for a, b in _values(kind, texts[i], places[t:end])]
             t = end
     out = []
     for own, more in zip(base, added):
