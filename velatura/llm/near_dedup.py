@@ -354,7 +354,7 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.nd
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [c.to_numpy() for c in batch.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         done = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last list may go on in the next batch
         if done >= 1 << 15:
@@ -379,18 +379,45 @@ def _shared_lists():
     return run, "shingle long, fp long, n long, pos long, members long"
 
 
+class _Bits:
+    """Parity bits of rows, by their number of words, and the fewest shingles that two rows can differ in."""
+
+    def __init__(self, column: pa.Array):
+        values, start = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        self.size, self.at, self.of = np.diff(start), np.zeros(len(start) - 1, np.int64), {}
+        for w in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == w)
+            self.at[own] = np.arange(len(own))
+            self.of[w] = values[start[own][:, None] + np.arange(w)]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)  # sizes that are further apart than a factor of two: only the sets tell
+        x, y = np.where(self.size[x] <= self.size[y], x, y), np.where(self.size[x] <= self.size[y], y, x)
+        for w, few in self.of.items():
+            for v in (w, 2 * w):
+                own = np.flatnonzero((self.size[x] == w) & (self.size[y] == v))
+                for i in range(0, len(own), 4096):
+                    k = own[i : i + 4096]
+                    more = self.of[v][self.at[y[k]]]
+                    out[k] = _popcount(few[self.at[x[k]]] ^ (more if v == w else more[:, :w] ^ more[:, w:])).sum(1, dtype=np.int64)
+        return out
+
+
 def _list_pairs(level: Fraction, star: bool):
-    """In: shingle, fp, n, pos, root, sorted by shingle. Out: pairs of a list with different roots that can be similar by their sizes
-    and by the shingle's places; with star, only those with one member, that the shingle chooses."""
+    """In: shingle, fp, n, pos, root, bits, sorted by shingle. Out: pairs of a list with different roots that can be similar by their
+    sizes, the shingle's places and their bits; with star, only those with one member, that the shingle chooses."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     num, den = level.numerator, level.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shingle, fp, n, pos, root), rank, size in _whole_lists(batches):
+        for (shingle, fp, n, pos, root, bits), rank, size in _whole_lists(batches):
+            parity = _Bits(pa.array(bits, _LONGS))
 
             def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
                 most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
                 near = (root[x] != root[y]) & (np.minimum(most, np.minimum(n[x], n[y])) * (num + den) >= num * (n[x] + n[y]))
+                x, y = x[near], y[near]
+                near = (n[x] + n[y] - parity.apart(x, y)) * (num + den) >= 2 * num * (n[x] + n[y])
                 a, b = fp[x[near]], fp[y[near]]
                 return rows(schema, np.minimum(a, b), np.maximum(a, b))
 
@@ -431,7 +458,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     shared = cut(entries.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInArrow(*_shared_lists()))
 
     def paired(lists: DataFrame, star: bool) -> DataFrame:
-        return lists.select("shingle", "fp", "n", "pos", "root").repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(*_list_pairs(level, star))
+        return lists.select("shingle", "fp", "n", "pos", "root", "bits").repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(*_list_pairs(level, star))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         of = lambda p: prints.select(F.col("fp").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
@@ -451,12 +478,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         with_sets = open_.join(sets.select(F.col("fp").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("found").alias("y")), "b")
         return cut(with_sets.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= num * F.col("total")).select("a", "b"))
 
-    alone = shared.withColumn("root", F.col("fp"))
+    alone = shared.withColumn("root", F.col("fp")).withColumn("bits", F.array().cast("array<long>"))
     long_ = shared.filter(F.col("members") > list_members)
     links = confirmed(paired(alone.filter(F.col("members") <= list_members), False).unionByName(paired(alone.filter(F.col("members") > list_members), True)))
     roots = components(links)
     if not long_.isEmpty():
-        rooted = long_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = long_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(prints.select("fp", "bits"), "fp")
         roots = components(links.unionByName(confirmed(paired(rooted, False))))
     return marked.select("doc_id", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
 
