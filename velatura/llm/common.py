@@ -1,9 +1,9 @@
-"""What the operators of this subpackage share: session set-up, cutting lineage, and walking Arrow batches."""
+"""What the operators of this subpackage share: session set-up, cutting lineage, joins with hot keys, and walking Arrow batches."""
 
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -11,23 +11,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from velatura.functions.lineage import ensure_folder
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Text bytes that a Python worker holds at once, unless a single text is longer.
 SLICE_BYTES = 4 << 20
+#: A key that holds more than one in so many rows is hot, so there are fewer hot keys than this.
+HOT_SHARE = 1000
+#: Rows up to which the right side of a join is broadcast whole.
+FEW_ROWS = 1 << 17
 
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and make sure that there is a checkpoint folder.
 
-    The folder is spark.checkpoint.dir where the cluster names one; only without it (as in tests) a local one is made.
+    The folder is spark.checkpoint.dir where the cluster names one.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    ensure_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,11 +41,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared checkpoint folder."""
+    prepare(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, n_col: str, total: int, how: str = "left") -> DataFrame:
+    """A join of many rows with a side that has each key once, and in n_col how many rows on the left have the key.
+
+    A short right side is broadcast whole. Of a longer one only hot keys are, each with over a thousandth of the `total` rows, so there are fewer
+    than a thousand of them; all others shuffle, and none of those can fill a task.
+    """
+    right_rows = right.drop(n_col)
+    if right.count() <= FEW_ROWS:
+        return left.join(F.broadcast(right_rows), key, how)
+    is_hot = F.col(n_col) * HOT_SHARE > total
+    hot = right.filter(is_hot)
+    names = F.broadcast(hot.select(key))
+    return left.join(names, key, "left_semi").join(F.broadcast(hot.drop(n_col)), key, how).unionByName(left.join(names, key, "left_anti").join(right.filter(~is_hot).drop(n_col), key, how))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches where the bytes of a column reach the limit, so that work and memory are balanced by bytes."""
     for batch in batches:

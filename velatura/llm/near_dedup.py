@@ -1,12 +1,12 @@
 """SimHash near-duplicates, linked through a Gray-order hierarchical index of the fingerprints.
 
-Upper nodes of the index factor bits that their members share: a node fixes the value of some bits, and its members can differ
-only in the rest. Two fingerprints that differ in at most two bits agree in at least one of any three disjoint sets of bits, so
-each fingerprint stands in three nodes (one for each third of the 64 bits). A node with too many members is divided in the same way
-over the bits it has left, at most twice; then 44 bits or more are fixed and no node can have over 2**20 members, whatever the data.
-Inside a node the fingerprints are sorted by Gray rank into a binary tree. Each group keeps a mask of the bits its members share
-and their pattern, and the differences between two groups' patterns bound those of all their members: whole groups are skipped
-once they have too many. A node sends on only a spanning forest of its links, so that no group's pairs are ever listed.
+Upper nodes of the index factor bits that their members share. At the top stand d + 1 disjoint sets of the 64 bits, for links of at most d
+differing bits: two such fingerprints agree in one of the sets, so a node is a set with its bits, and each fingerprint stands in d + 1
+nodes. A node with too many members is divided in the same way over the bits it has left, at most twice. Nodes are dealt over the
+cluster; a task sorts all fingerprints of its nodes by node and Gray rank and builds one tree over them. A tree's node holds the
+mask of the bits that its members share and their pattern; going down, a pair of nodes adds the differences in the bits that
+both fix and their parents did not, and is pruned as a whole once they are more than d, or once no upper node has members in both.
+What a task sends on is a spanning forest of its links, so that no group's pairs are ever listed.
 
 Bits only estimate similarity, and no limit of bits holds all pairs of a given similarity. Where the shared part of the shingles
 themselves is asked for, similar_documents finds all such pairs: two sets of similarity t share one of their first n - ceil(t n) + 1
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from velatura.llm.common import blobs, cut, prepare, rows, sliced
+from velatura.llm.common import attach, blobs, cut, prepare, rows, sliced
 
 BITS = 64
-#: Members from which a node is divided, and of a leaf of the tree inside a node.
-NODE_MEMBERS = 256
+#: Members from which an upper node is divided, rows from which a task builds a tree, and members of a tree's leaf.
+NODE_MEMBERS = 1 << 14
+TREE_ROWS = 1 << 15
 LEAF = 32
 #: Group pairs of a tree that are looked at together.
 FRONTIER = 1 << 14
@@ -107,77 +108,85 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def link_all(values: np.ndarray, limit: int, forest: Forest, base: int = 0) -> None:
-    """Link those of the values (sorted by Gray rank, with the forest's numbers from base on) that differ in at most limit bits."""
-    n = len(values)
-    leaves = -(-n // LEAF)
-    full = 1 << max(0, (leaves - 1).bit_length())
-    one = np.append(values, np.repeat(values[-1:], full * LEAF - n))
-    levels = [(np.bitwise_or.reduce(one.reshape(full, LEAF), 1), np.bitwise_and.reduce(one.reshape(full, LEAF), 1))]
-    while len(levels[-1][0]) > 1:
-        hi, lo = levels[-1]
-        levels.append((hi[::2] | hi[1::2], lo[::2] & lo[1::2]))
-    masks = [(~(hi ^ lo), lo & ~(hi ^ lo)) for hi, lo in levels]
-    offsets = np.arange(LEAF)
-
-    def uniform() -> np.ndarray:
+class GrayTree:
+    """The index of fingerprints that are sorted by upper node and Gray rank: leaves of LEAF members, two children a node."""
+
+    def __init__(self, values: np.ndarray, upper: np.ndarray):
+        n = len(values)
+        leaves = 1 << max(0, (-(-n // LEAF) - 1).bit_length())
+        self.n, self.values = n, np.append(values, np.repeat(values[-1:], leaves * LEAF - n))
+        upper = np.append(upper, np.repeat(upper[-1:], leaves * LEAF - n)).reshape(leaves, LEAF)
+        some, every = (f.reduce(self.values.reshape(leaves, LEAF), 1) for f in (np.bitwise_or, np.bitwise_and))
+        first, last = upper[:, 0], upper[:, -1]
+        self.levels = []  # from leaves to the root: mask of shared bits, their pattern, the first and the last upper node
+        while True:
+            mask = ~(some ^ every)
+            self.levels.append((mask, every & mask, first, last))
+            if len(some) == 1:
+                break
+            some, every, first, last = some[::2] | some[1::2], every[::2] & every[1::2], first[::2], last[1::2]
+
+    def link(self, limit: int, forest: Forest) -> None:
+        """Link all members of an upper node that differ in at most limit bits; the forest has a number for each member."""
+        pending = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        whole = self._uniform(forest)
+        while pending:
+            level, a, b, differ = pending.pop()
+            if len(a) > FRONTIER:
+                pending += [(level, a[FRONTIER:], b[FRONTIER:], differ[FRONTIER:]), (level, a[:FRONTIER], b[:FRONTIER], differ[:FRONTIER])]
+                continue
+            mask, pattern, first, last = self.levels[level]
+            fixed = mask[a] & mask[b]
+            if level < len(self.levels) - 1:
+                above = self.levels[level + 1][0]
+                fixed &= ~(above[a >> 1] & above[b >> 1])  # the parents have counted theirs
+            differ = differ + _popcount((pattern[a] ^ pattern[b]) & fixed)
+            near = (differ <= limit) & (first[b] <= last[a])
+            a, b, differ = a[near], b[near], differ[near]
+            if level:
+                same = a == b
+                left, right = 2 * a, 2 * b
+                down = [(left, right, differ), (left + 1, right + 1, differ), (left, right + 1, differ), (left[~same] + 1, right[~same], differ[~same])]
+                a, b, differ = (np.concatenate(x) for x in zip(*down))
+                if level == 1:
+                    order = np.argsort(b - a, kind="stable")
+                    a, b, differ = a[order], b[order], differ[order]
+                pending.append((level - 1, a, b, differ))
+                continue
+            for i in range(0, len(a), 512):
+                x, y = a[i : i + 512], b[i : i + 512]
+                open_ = (whole[x] < 0) | (whole[x] != whole[y])
+                x, y = x[open_], y[open_]
+                p, q = x[:, None] * LEAF + np.arange(LEAF), y[:, None] * LEAF + np.arange(LEAF)
+                close = _popcount(self.values[p][:, :, None] ^ self.values[q][:, None, :]) <= limit
+                k, u, v = np.nonzero(close)
+                u, v = np.minimum(p[k, u], self.n - 1), np.minimum(q[k, v], self.n - 1)
+                if (u != v).any():
+                    forest.link(u, v)
+                    whole = self._uniform(forest)
+
+    def _uniform(self, forest: Forest) -> np.ndarray:
         """The component of each leaf, or -1 if it has several."""
-        root = np.append(forest.root[base : base + n], np.repeat(forest.root[base + n - 1], full * LEAF - n)).reshape(full, LEAF)
+        root = np.append(forest.root, np.repeat(forest.root[-1:], len(self.values) - self.n)).reshape(-1, LEAF)
         return np.where((root == root[:, :1]).all(axis=1), root[:, 0], -1)
 
-    pending = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    whole = uniform()
-    while pending:
-        level, a, b = pending.pop()
-        if len(a) > FRONTIER:
-            pending += [(level, a[FRONTIER:], b[FRONTIER:]), (level, a[:FRONTIER], b[:FRONTIER])]
-            continue
-        mask, pattern = masks[level]
-        near = _popcount((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= limit
-        a, b = a[near], b[near]
-        if level:
-            left, right = 2 * a, 2 * b
-            same = a == b
-            pairs = np.concatenate([np.stack(p, 1) for p in ((left, right), (left + 1, right + 1), (left, right + 1), (left[~same] + 1, right[~same]))])
-            if level == 1:
-                pairs = pairs[np.argsort(pairs[:, 1] - pairs[:, 0], kind="stable")]
-            pending.append((level - 1, pairs[:, 0], pairs[:, 1]))
-            continue
-        for i in range(0, len(a), 512):
-            x, y = a[i : i + 512], b[i : i + 512]
-            open_ = (whole[x] < 0) | (whole[x] != whole[y])
-            x, y = x[open_], y[open_]
-            p, q = x[:, None] * LEAF + offsets, y[:, None] * LEAF + offsets
-            close = _popcount(one[p][:, :, None] ^ one[q][:, None, :]) <= limit
-            k, u, v = np.nonzero(close)
-            u, v = np.minimum(p[k, u], n - 1), np.minimum(q[k, v], n - 1)
-            if len(u):
-                forest.link(base + u, base + v)
-                whole = uniform()
+
+def node_links(node: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each fingerprint with one of its component, over whole upper nodes; all of them enter the tree."""
+    order = np.lexsort((gray_rank(fp), node))
+    node, fp = node[order], fp[order]
+    forest = Forest(len(fp))
+    GrayTree(fp, np.cumsum(np.concatenate([[0], node[1:] != node[:-1]]))).link(limit, forest)
+    own = np.flatnonzero(forest.root != np.arange(len(fp)))
+    return fp[own], fp[forest.root[own]]
 
 
 def _node_links(limit: int):
-    """In: (node, fp), sorted by node. Out: links of each fingerprint with one of its component inside the node."""
+    """In: (node, fp), sorted by node. Out: their links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((gray_rank(fp), node))
-        node, fp = node[order], fp[order]
-        forest = Forest(len(fp))
-        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        size = np.diff(np.append(start, len(fp)))
-        rank = np.arange(len(fp)) - np.repeat(start, size)
-        left = np.where(np.repeat(size, size) <= LEAF, np.repeat(size, size) - rank, 0)  # in small nodes: members from here on
-        for shift in range(1, LEAF):
-            at = np.flatnonzero(left > shift)
-            if not len(at):
-                break
-            at = at[_popcount(fp[at] ^ fp[at + shift]) <= limit]
-            forest.link(at, at + shift)
-        for s, m in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist()):
-            link_all(fp[s : s + m], limit, forest, s)
-        own = np.flatnonzero(forest.root != np.arange(len(fp)))
-        return rows(schema, fp[own].view(np.int64), fp[forest.root[own]].view(np.int64))
+        return rows(schema, *(x.view(np.int64) for x in node_links(node, fp, limit)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -187,7 +196,7 @@ def _node_links(limit: int):
             node = np.concatenate([node, batch.column(0).to_numpy()])
             fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
             done = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on in the next batch
-            if done >= 1 << 15:
+            if done >= TREE_ROWS:
                 yield links(node[:done], fp[:done])
                 node, fp = node[done:], fp[done:]
         if len(fp):
@@ -196,10 +205,10 @@ def _node_links(limit: int):
     return run, "a long, b long"
 
 
-def _thirds(mask: int) -> list[int]:
-    """Three disjoint sets of bits that make up the mask."""
+def _parts(mask: int, n: int) -> list[int]:
+    """n disjoint sets of bits that make up the mask."""
     bits = [i for i in range(BITS) if mask >> i & 1]
-    cuts = [0, len(bits) // 3, 2 * len(bits) // 3, len(bits)]
+    cuts = [k * len(bits) // n for k in range(n + 1)]
     return [sum(1 << i for i in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -207,15 +216,15 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> BITS - 1 else x
 
 
-def hamming_links(prints: DataFrame, node_members: int = NODE_MEMBERS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) such that those within two bits are connected, and no others."""
-    limit = 2
+def hamming_links(prints: DataFrame, limit: int = 2, node_members: int = NODE_MEMBERS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) such that those within `limit` bits are connected, and no others."""
+    sets = limit + 1
     rows_, found = prints.select("fp", F.lit(0).cast("long").alias("node"), F.lit(0).alias("path")), None
     masks = {0: (1 << BITS) - 1}
     for depth in (1, 2, 3):
-        below = {p: [(3 * p + 1 + i, m) for i, m in enumerate(_thirds(free))] for p, free in masks.items()}
+        below = {p: [(sets * p + 1 + i, m) for i, m in enumerate(_parts(free, sets))] for p, free in masks.items()}
         child = lambda i: F.element_at(F.create_map(*[F.lit(x) for p, c in below.items() for x in (p, _signed(c[i][1]))]), F.col("path"))  # noqa: B023, E731
-        parts = F.array(*[F.struct((F.col("path") * 3 + 1 + i).alias("path"), F.col("fp").bitwiseAND(child(i)).alias("value")) for i in range(3)])
+        parts = F.array(*[F.struct((F.col("path") * sets + 1 + i).alias("path"), F.col("fp").bitwiseAND(child(i)).alias("value")) for i in range(sets)])
         spread = rows_.select("fp", "node", F.explode(parts).alias("part")).select("fp", F.xxhash64("node", "part.path", "part.value").alias("node"), "part.path")
         sizes = spread.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
         sized = cut(spread.join(sizes, "node"))
@@ -254,41 +263,35 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", node_members: int = NODE_MEMBERS) -> DataFrame:
-    """For each document: doc_id, fp (the fingerprint as a signed number) and component_id (the smallest doc_id reachable over
-    links of at most two differing bits, itself included).
-
-    Defined results: a text without words, or null, has fingerprint 0 and is linked like any other; a text of fewer words than a
-    shingle is one shingle; repeated rows each get a row; null ids are never the smallest; an empty table gives no rows.
-    """
+def _linked(docs: DataFrame, words: int, limit: int, seed: int, id_col: str, text_col: str, node_members: int) -> DataFrame:
+    """doc_id, fp, root (equal in a component) and component_id of each row."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     marked = cut(source.mapInArrow(*_fingerprints(words, seed)))
-    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    roots = components(hamming_links(prints, node_members))
-    rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")))
+    roots = components(hamming_links(prints, limit, node_members))
+    rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "smallest", "n", F.coalesce("root", "fp").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("fp", "root", "component_id", "n")
+    total = marked.count()
+    return attach(marked, cut(named), "fp", "n", total, "inner").select("doc_id", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, of the document with the smallest id of each component; a repeated row stays once.
+def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", node_members: int = NODE_MEMBERS) -> DataFrame:
+    """For each document: doc_id, fp (the fingerprint as a signed number) and component_id (the smallest doc_id reachable over
+    links of at most `limit` differing bits, itself included).
 
-    A component without any id keeps one of its rows.
+    Defined results: a text without words, or null, has fingerprint 0 and is linked like any other; a text of fewer words than a
+    shingle is one shingle; repeated rows each get a row; null ids are never the smallest, and a component of null ids only has none;
+    other columns are not looked at; an empty table gives no rows.
     """
-    found = cut(near_duplicates(docs, words, seed, id_col, text_col))
-    stays = found.filter(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("__stays")).distinct()
-    key = docs[id_col].cast("long")
-    kept = docs.join(stays, key == F.col("__stays"), "left_semi")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("doc_id").isNotNull())
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    nameless = found.filter(F.col("component_id").isNull())
-    if nameless.isEmpty():
-        return kept
-    # Rows without an id in components without any: one row for each component, found by its own fingerprint.
-    lone = docs.filter(docs[id_col].isNull()).select(F.struct("*").alias("__row"), F.col(text_col).cast("binary").alias("__text"))
-    return kept.unionByName(lone.dropDuplicates(["__text"]).select("__row.*"))
+    return _linked(docs, words, limit, seed, id_col, text_col, node_members).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, unchanged, of each component of near_duplicates: that of the smallest id, null being the largest, and of
+    equal ids that of the smallest fingerprint; rows equal in both are one. Columns of any name pass through."""
+    found = _linked(docs, words, limit, seed, id_col, text_col, NODE_MEMBERS)
+    return _one_row_each(docs, found, _fingerprints(words, seed)[0], id_col, text_col)
 
 
 def _set_digest(found: np.ndarray) -> int:
@@ -491,28 +494,31 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 def _one_row_each(docs: DataFrame, found: DataFrame, prints, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs, unchanged, that stand for a component each: the one of the smallest id, null being the largest, and of equal
     ids the one of the smallest fp. found: doc_id, fp and root of each row; prints: the function of Arrow batches that makes fp."""
-    found = cut(found)
+    found = cut(found.select("doc_id", "fp", "root"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("k"))
-    stays = cut(first.select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp")))
-    key = docs[id_col].cast("long")
-    kept = docs.join(stays.select("__id").distinct(), key.eqNullSafe(F.col("__id")), "left_semi")
-    repeated = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again")))
+    stays = cut(first.select(F.col("k.doc_id").alias("id"), F.col("k.fp").alias("fp")))
+    repeated = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    # The rows travel as one column, so that no name of theirs can clash.
+    packed = docs.select(F.col(id_col).cast("long").alias("own"), F.struct("*").alias("row"))
+    stay_ids = stays.select("id").distinct()
+    some = lambda df, ids, name, how: df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("own").eqNullSafe(F.col(name)), how)
     if repeated.isEmpty():
-        return kept
+        # Fewer ids go than stay, so these are what is looked up where they are few.
+        gone = found.select("doc_id").join(stays, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").distinct()
+        return some(packed, cut(gone), "doc_id", "left_anti").select("row.*")
+    kept = some(packed, stay_ids, "id", "left_semi")
     # Ids of several rows: their texts' own fp tells which row is meant, and rows that are equal in both are of one component.
-    same = kept[id_col].cast("long").eqNullSafe(F.col("__again"))
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("own", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
-            own = pa.Table.from_batches(list(prints(iter([batch.select([0, 1])])))).combine_chunks()
-            yield pa.RecordBatch.from_arrays([batch.column(0), own.column("fp").combine_chunks().cast(schema.field("fp").type), batch.column(2)], names=["__own", "__print", "__row"])
-
-    several = kept.join(repeated, same, "left_semi")
-    packed = several.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).cast("binary").alias("__text"), F.struct("*").alias("__row"))
-    printed = packed.mapInArrow(run, StructType([StructField("__own", LongType()), StructField("__print", LongType()), StructField("__row", packed.schema["__row"].dataType)]))
-    right = printed.join(stays, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
-    return kept.join(repeated, same, "left_anti").unionByName(right.dropDuplicates(["__own", "__print"]).select("__row.*"))
+            made = pa.Table.from_batches(list(prints(iter([batch.select([0, 1])])))).combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column(0), made.column("fp").combine_chunks().cast(schema.field("fp").type), batch.column(2)], names=["own", "print", "row"])
+
+    several = some(kept, repeated, "doc_id", "left_semi").select("own", F.col("row").getField(text_col).cast("binary").alias("text"), "row")
+    printed = several.mapInArrow(run, StructType([StructField("own", LongType()), StructField("print", LongType()), StructField("row", packed.schema["row"].dataType)]))
+    right = printed.join(stays, F.col("own").eqNullSafe(F.col("id")) & (F.col("print") == F.col("fp")), "left_semi")
+    return some(kept, repeated, "doc_id", "left_anti").select("row.*").unionByName(right.dropDuplicates(["own", "print"]).select("row.*"))
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
