@@ -1,16 +1,21 @@
 """Removal of lines that many documents share, with two Bloom filters in front of the exact count.
 
-1. Every document sends the 64-bit hashes of its distinct keys, summed before the shuffle. The task that owns a hash range runs
-   them past two Bloom filters, for hashes seen once and seen twice; a hash that comes a third time is a suspect. False
-   positives add suspects, and nothing can remove one.
-2. Only the keys of suspects shuffle, as whole strings, for the exact number of documents and the largest id of each.
+1. Every task hashes the distinct keys of its documents into two filters, for hashes seen once and seen twice. What leaves the task are
+   the filters, as the places of their bits. Merging two tasks' filters keeps `twice | twice | once & once`, so a key that two
+   documents hold is in the merged second filter, and false positives only add suspects.
+2. The merged second filter, of a fixed size, goes to all tasks. Only the keys that it knows shuffle, as whole strings, for the exact
+   number of documents and the largest id of each.
 3. The confirmed keys go to the documents: as a broadcast map behind a check of its bytes, by a join beyond it.
 
+Past the number of lines that filters of the fixed size hold well, each range of hashes has filters of its own in the task that owns the
+range: hashes travel to it (eight bytes a line), and what it finds suspect fills the filter of step 2. Both ways confirm the same keys.
+
 A key is a line without `[\\x20\\x09-\\x0D]` at both ends, with A-Z in lower case.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from velatura.llm.common import blobs, cut, prepare, rows, sliced
+from velatura.llm.common import blobs, cut, fresh, prepare, rows, sliced
 
-#: Bits of each filter in each task. More hashes than a filter holds well only mean more suspects.
-FILTER_BITS = 1 << 25
+#: Bits of a merged filter: so many for each line, from least to most. Past MOST_BITS / LEAST_A_LINE lines, filters go by ranges of hashes.
+BITS_A_LINE, LEAST_A_LINE = 8, 4
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
+#: Bits of each filter of a range of hashes. More hashes than a filter holds well only mean more suspects.
+RANGE_BITS = 1 << 25
 PROBES = 4
-#: Largest number of suspect hashes, and of bytes of confirmed keys, that is broadcast; beyond it a join is used.
-BROADCAST_HASHES = 4_000_000
+#: Parts that a filter is merged in.
+PARTS = 64
+#: Largest number of bytes of confirmed keys that is broadcast; beyond it a join is used.
 BROADCAST_BYTES = 32 << 20
 #: Hashes that a task gathers before it sums and sends them.
 FLUSH = 1 << 20
@@ -50,43 +59,71 @@ def _hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key)
 
 
-class BloomPair:
-    """Filters for hashes seen once and seen twice."""
+def _hashes(text: bytes, min_chars: int) -> list[int]:
+    """Hashes of a text's distinct keys."""
+    return [_hash(k) for k in set(keys_of(text, min_chars)) if k is not None] if len(text) >= min_chars else []
+
 
-    def __init__(self, bits: int = FILTER_BITS, probes: int = PROBES):
-        self.bits, self.probes = bits, probes
-        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+def places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each hash in a filter, one row for each hash."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return ((hashes[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+class BloomPair:
+    """Filters of one task for hashes seen once and seen twice."""
 
-    def _places(self, hashes: np.ndarray) -> np.ndarray:
-        step = (hashes >> np.uint64(32)) | np.uint64(1)
-        return (hashes[:, None] + step[:, None] * np.arange(self.probes, dtype=np.uint64)) % np.uint64(self.bits)
+    def __init__(self, bits: int = RANGE_BITS):
+        self.bits = bits
+        self.once, self.twice = np.zeros(bits, bool), np.zeros(bits, bool)
 
     def third(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Take in distinct hashes, each seen so many times more; those seen three times or more by now (or, rarely, fewer)."""
-        places = self._places(hashes)
-        cell, bit = (places >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
-        had_once, had_twice = ((f[cell] & bit).astype(bool).all(axis=1) for f in (self.once, self.twice))
-        seen = times + had_once + had_twice
-        np.bitwise_or.at(self.once, cell.ravel(), bit.ravel())
-        again = seen >= 2
-        np.bitwise_or.at(self.twice, cell[again].ravel(), bit[again].ravel())
+        at = places(hashes, self.bits)
+        seen = times + self.once[at].all(axis=1) + self.twice[at].all(axis=1)
+        self.once[at] = True
+        self.twice[at[seen >= 2]] = True
         return hashes[seen >= 3]
 
 
-def _sightings(min_chars: int):
+def _packed(at: np.ndarray) -> bytes:
+    """Sorted numbers as compressed bytes of their differences."""
+    return zlib.compress(np.ascontiguousarray(np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(held), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+
+
+def _filters(bits: int, hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """A task's two filters: of each part, the places of the bits of all hashes, and of those seen twice."""
+    schema = pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+    size = bits // PARTS
+    once, twice = (np.unique(places(h, bits)) for h in (hashes, hashes[times >= 2]))
+    edges = [np.searchsorted(at, np.arange(PARTS + 1) * size) for at in (once, twice)]
+    own = [i for i in range(PARTS) if edges[0][i] < edges[0][i + 1]]
+    held = [[_packed(at[e[i] : e[i + 1]] - i * size) for i in own] for at, e in zip((once, twice), edges)]
+    return rows(schema, own, *held)
+
+
+_FILTERS = "part int, once binary, twice binary"
+
+
+def _sightings(min_chars: int, bits: int | None):
+    """Each task's filters, if their bits are given; otherwise its hashes, summed before they shuffle."""
     schema = pa.schema([("hash", pa.int64()), ("times", pa.int32())])
 
     def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
         hashes, times = np.unique(np.concatenate(parts), return_counts=True)
-        return rows(schema, hashes.view(np.int64), np.minimum(times, 3).astype(np.int32))
+        return rows(schema, hashes.view(np.int64), np.minimum(times, 3).astype(np.int32)) if bits is None else _filters(bits, hashes, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in sliced(batches, 0):
             for text in blobs(batch, 0):
-                found = {_hash(k) for k in set(keys_of(text, min_chars)) if k is not None} if len(text) >= min_chars else ()
-                if found:
-                    parts.append(np.fromiter(found, np.uint64, len(found)))
+                if found := _hashes(text, min_chars):
+                    parts.append(np.array(found, np.uint64))
                     n += len(found)
             if n >= FLUSH:
                 yield summed(parts)
@@ -94,59 +131,83 @@ def _sightings(min_chars: int):
         if parts:
             yield summed(parts)
 
-    return run, "hash long, times int"
+    return run, "hash long, times int" if bits is None else _FILTERS
 
 
-def _suspects(bits: int):
-    schema = pa.schema([("hash", pa.int64())])
+def _owned(range_bits: int, bits: int):
+    """Hashes that a task owns, past its two filters; the suspects among them as a filter of the common size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = BloomPair(bits)
+        pair, found = BloomPair(range_bits), [np.zeros(0, np.uint64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             hashes, at = np.unique(batch.column(0).to_numpy().view(np.uint64), return_inverse=True)
             times = np.bincount(at, weights=batch.column(1).to_numpy(), minlength=len(hashes)).astype(np.int64)
-            yield rows(schema, pair.third(hashes, np.minimum(times, 3)).view(np.int64))
+            found.append(pair.third(hashes, np.minimum(times, 3)))
+        suspects = np.unique(np.concatenate(found))
+        for i in range(0, len(suspects), FLUSH):
+            part = suspects[i : i + FLUSH]
+            yield _filters(bits, part, np.full(len(part), 2))
+
+    return run, _FILTERS
+
+
+def _merged(bits: int):
+    """Filters of one part each, sorted by part, to the merged second filter of the part."""
+    schema, size = pa.schema([("part", pa.int32()), ("bits", pa.binary())]), bits // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, once, twice = None, np.zeros(size, bool), np.zeros(size, bool)
+        for batch in batches:
+            for own, first, second in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != part and part is not None:
+                    yield rows(schema, [part], [np.packbits(twice).tobytes()])
+                    once[:], twice[:] = False, False
+                part, at = own, _unpacked(first)
+                twice[at[once[at]]] = True
+                twice[_unpacked(second)] = True
+                once[at] = True
+        if part is not None:
+            yield rows(schema, [part], [np.packbits(twice).tobytes()])
 
-    return run, "hash long"
+    return run, "part int, bits binary"
 
 
-def _candidates(min_chars: int, known):
-    """(doc_id, key, hash) of each distinct key of each row; only suspects, if they are known as a sorted array."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("hash", pa.int64())])
+def _candidates(min_chars: int, known, bits: int):
+    """(doc_id, key) of each distinct key of each row that the filter knows."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suspects = None if known is None else set(known.value.tolist())
+        seen = np.frombuffer(known.value, np.uint8)
         for batch in sliced(batches, 1):
-            ids, found = [], []
+            ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), blobs(batch, 1)):
-                for key in set(keys_of(text, min_chars)):
-                    if key is not None and (suspects is None or (h := _hash(key)) in suspects):
-                        ids.append(doc_id)
-                        found.append((key, _hash(key) if suspects is None else h))
-            yield rows(schema, ids, [k for k, _ in found], np.array([h for _, h in found], np.uint64).view(np.int64))
+                own = [k for k in set(keys_of(text, min_chars)) if k is not None] if len(text) >= min_chars else []
+                keys += own
+                ids += [doc_id] * len(own)
+            at = places(np.fromiter(map(_hash, keys), np.uint64, len(keys)), bits)
+            hit = np.flatnonzero((seen[at >> 3] & (128 >> (at & 7)).astype(np.uint8)).astype(bool).all(axis=1)).tolist()
+            yield rows(schema, [ids[i] for i in hit], [keys[i] for i in hit])
 
-    return run, "doc_id long, key binary, hash long"
+    return run, "doc_id long, key binary"
 
 
-def _keep(out_schema: pa.Schema, id_at: int, text_at: int, min_chars: int, known, n_chars_at: int | None, extra: bool):
-    """Drop lines. The keys to drop stand in the broadcast map key -> keeper, or else in the last column of each row."""
+def _keep(out_schema: pa.Schema, text_at: int, min_chars: int, known, n_chars_at: int | None, extra: bool):
+    """Drop lines. The keys to drop stand in the broadcast map key -> keeper, with the row's id in the last column; or else in the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keepers = known.value if known is not None else None
         for batch in sliced(batches, text_at):
-            ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist()
-            listed = batch.column(batch.num_columns - 1).to_pylist() if keepers is None else None
+            texts, last = batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             out, n_lines, n_dropped = [], [], []
-            for i, text in enumerate(texts):
+            for text, own in zip(texts, last):
                 raw = (text or "").encode()
                 lines = raw.split(b"\n")
                 if keepers is not None:
-                    doc_id = ids[i]
-                    kept = [line for line, key in zip(lines, keys_of(raw, min_chars)) if key is None or keepers.get(key, doc_id) == doc_id] if len(raw) >= min_chars else lines
+                    kept = [line for line, key in zip(lines, keys_of(raw, min_chars)) if key is None or keepers.get(key, own) == own] if len(raw) >= min_chars else lines
                 else:
-                    drop = set(listed[i] or ())
+                    drop = set(own or ())
                     kept = [line for line, key in zip(lines, keys_of(raw, min_chars)) if key not in drop] if drop else lines
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
@@ -161,46 +222,58 @@ def _keep(out_schema: pa.Schema, id_at: int, text_at: int, min_chars: int, known
     return run
 
 
-def confirmed_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, broadcast_hashes: int = BROADCAST_HASHES) -> tuple[DataFrame, DataFrame]:
+def suspects(text: DataFrame, min_chars: int, most_bits: int = MOST_BITS, range_bits: int = RANGE_BITS) -> tuple[bytes, int]:
+    """The merged filter of keys (of column text) that may be in several rows, and its number of bits."""
+    n_lines = text.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n")).first().n or 0
+    bits = min(most_bits, max(LEAST_BITS, 1 << (BITS_A_LINE * n_lines - 1).bit_length()))
+    if n_lines * LEAST_A_LINE <= bits:
+        sent = text.select(F.col("text").cast("binary")).mapInArrow(*_sightings(min_chars, bits))
+    else:
+        sent = text.select(F.col("text").cast("binary")).mapInArrow(*_sightings(min_chars, None)).repartition("hash").mapInArrow(*_owned(range_bits, bits))
+    parts = sent.repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(*_merged(bits)).collect()  # bits / 8 bytes in all
+    merged = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        size = len(r.bits)
+        merged[r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return merged.tobytes(), bits
+
+
+def confirmed_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, range_bits: int = RANGE_BITS) -> tuple[DataFrame, DataFrame]:
     """(key, keeper) of every key in at least min_docs documents, and the (doc_id, key) rows that they were counted from."""
     if min_docs < 3:
-        raise ValueError("two filters find keys seen three times or more; min_docs must be at least 3")
+        raise ValueError("filters by ranges find keys seen three times or more; min_docs must be at least 3")
     spark = docs.sparkSession
     prepare(spark)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    seen = text.select("text").mapInArrow(*_sightings(min_chars)).repartition("hash")
-    suspects = cut(seen.mapInArrow(*_suspects(filter_bits)).distinct())
-    if suspects.count() <= broadcast_hashes:
-        array = np.array([r.hash for r in suspects.collect()], np.int64).view(np.uint64)
-        found = text.mapInArrow(*_candidates(min_chars, spark.sparkContext.broadcast(array)))
-    else:
-        found = text.mapInArrow(*_candidates(min_chars, None)).join(suspects, "hash", "left_semi")
-    found = cut(found.select("doc_id", "key"))
+    known, bits = suspects(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_chars, most_bits, range_bits)
+    text = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    found = cut(text.mapInArrow(*_candidates(min_chars, spark.sparkContext.broadcast(known), bits)))
     counted = found.groupBy("key").agg(F.countDistinct(F.struct("doc_id")).alias("n_docs"), F.max("doc_id").alias("keeper"))
     return cut(counted.filter(F.col("n_docs") >= min_docs).select("key", "keeper")), found
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, filter_bits: int = FILTER_BITS, broadcast_hashes: int = BROADCAST_HASHES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, most_bits: int = MOST_BITS, range_bits: int = RANGE_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows with their texts after the drop; with counts, also n_lines (before) and n_dropped.
 
     Keys of at least min_chars code points found in at least min_docs documents (different ids) lose all their lines, except in
     the largest id that holds them, where all stay. A column n_chars, if there is one, follows each changed text.
 
-    Defined results: a null text stays null and has one empty line; rows of one id count as one document; a null id counts as
-    a document, is never the largest, and loses its lines; columns of other names and types pass through; an empty table gives none.
+    Defined results: a null text stays null and has one empty line; ids are compared as 64-bit numbers, whatever their type (a text that
+    isn't a number is a null id); rows of one id count as one document; a null id counts as a document, is never the largest,
+    and loses its lines; columns of other names and types pass through; an empty table gives none.
     """
     spark = docs.sparkSession
-    confirmed, found = confirmed_keys(docs, min_chars, min_docs, id_col, text_col, filter_bits, broadcast_hashes)
+    confirmed, found = confirmed_keys(docs, min_chars, min_docs, id_col, text_col, most_bits, range_bits)
     size = confirmed.agg(F.sum(F.length("key") + 64).alias("bytes")).first().bytes or 0
     columns = docs.columns
     out = T.StructType(docs.schema.fields + ([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if counts else []))
-    arrow = to_arrow_schema(out)
-    at = dict(id_at=columns.index(id_col), text_at=columns.index(text_col), min_chars=min_chars, n_chars_at=columns.index("n_chars") if "n_chars" in columns else None, extra=counts)
+    own = docs.withColumn(fresh("own_id", docs), F.col(id_col).try_cast("long"))
+    at = dict(text_at=columns.index(text_col), min_chars=min_chars, n_chars_at=columns.index("n_chars") if "n_chars" in columns else None, extra=counts)
     if size <= broadcast_bytes:
         known = spark.sparkContext.broadcast({bytes(r.key): r.keeper for r in confirmed.collect()})
-        return docs.mapInArrow(_keep(arrow, known=known, **at), out)
+        return own.mapInArrow(_keep(to_arrow_schema(out), known=known, **at), out)
     lost = found.distinct().join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    # Ids stay distinct from a document's own columns by their order, not by their names.
-    lost = lost.groupBy(F.col("doc_id").alias("__lost_id")).agg(F.collect_list("key").alias("__lost_keys"))
-    joined = docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["__lost_id"]), "left").select(*[docs[c] for c in columns], "__lost_keys")
-    return joined.mapInArrow(_keep(arrow, known=None, **at), out)
+    # A document's own keys, so no list is longer than its text.
+    lost_id, lost_keys = fresh("lost_id", own), fresh("lost_keys", own)
+    lost = lost.groupBy(F.col("doc_id").alias(lost_id)).agg(F.collect_list("key").alias(lost_keys))
+    joined = own.join(lost, F.col(own.columns[-1]).eqNullSafe(F.col(lost_id)), "left").select(*columns, lost_keys)
+    return joined.mapInArrow(_keep(to_arrow_schema(out), known=None, **at), out)
