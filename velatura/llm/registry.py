@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.llm.common import table
+from velatura.llm.common import cut, remove, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from velatura.llm.warc import archive, archive_folder, read_index
+    from velatura.llm.warc import archive, archive_folder, parse_records, read_records
 
     folder = archive_folder(spark)
     archive(table(spark, sf_dir, "pages"), folder, min_bytes=1000)
-    return read_index(spark, folder)
+    found = cut(parse_records(read_records(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, folder)
+    return found
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

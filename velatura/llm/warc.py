@@ -7,60 +7,69 @@ equal payloads are one response and revisits of it; a record's full bytes and it
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.llm.common import prepare
+from velatura.llm.common import attach, cut, prepare, shared_folder
 
 #: Fixed values of the WARC 1.0 format.
 VERSION = "WARC/1.0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 CRLF = "\r\n"
+#: Records that read one copy of their payload.
+COPY_RECORDS = 10_000
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def _urn(page: Column) -> Column:
-    """A stable record id of a page, as a URN."""
-    h = F.md5(F.coalesce(page.cast("string"), F.lit("")).cast("binary"))
+def _urn(*parts: Column) -> Column:
+    """A record id of what tells a record from all others, as a URN."""
+    h = F.md5(F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in parts]).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ([F.lit("-")] if a > 1 else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write payloads (address, payload) and headers (address, header) of all pages to a folder.
+    """Write payloads (address, payload, copies) and headers (address, copy, header) of all pages to a folder.
 
     Of pages with equal payloads of at least min_bytes bytes, those with the largest id are responses and the others revisits of
-    it; smaller payloads are all responses. The payload is the HTML in UTF-8.
+    it; smaller payloads are all responses. The payload is the HTML in UTF-8. Only counts by address shuffle: of payloads that occur once
+    the row itself is stored, of others that with the largest id. COPY_RECORDS headers read one copy of a payload, so that no
+    payload gathers all its records in one task.
 
-    Defined results: null HTML is an empty payload; repeated rows get a record each, of one type; a null id is never the largest, and
-    a group without any id is all responses; line ends in a URL are encoded, so that a header stays one line; other columns
-    are not looked at; an empty table writes empty tables.
+    Defined results: null HTML is an empty payload; repeated rows get a record each, of one type and with ids of their own; a null id is
+    never the largest, and a group without any id is all responses; line ends in a URL are encoded, so that a header stays one
+    line; other columns are not looked at; an empty table writes empty tables.
     """
-    prepare(pages.sparkSession)
+    spark = pages.sparkSession
+    prepare(spark)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    narrow = pages.select(
-        F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.sha2(payload, 256).alias("address"),
-        F.octet_length(payload).cast("long").alias("n_bytes"), F.sha1(payload).alias("digest"),
-    )
-    stored = pages.select(F.sha2(payload, 256).alias("address"), payload.alias("payload"))
-    stored.groupBy("address").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{folder}/payloads")
-    # Only payloads that occur again need a look at their group, so the join's right side holds nothing of all the others.
-    again = narrow.filter(F.col("n_bytes") >= min_bytes).groupBy("address").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("address", "keeper")
-    joined = narrow.join(again, "address", "left")
-    revisit = F.col("keeper").isNotNull() & ~F.col("page").eqNullSafe(F.col("keeper"))
+    narrow = cut(pages.select(
+        F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.sha2(payload, 256).alias("address"), F.octet_length(payload).cast("long").alias("n_bytes"),
+        F.sha1(payload).alias("digest"), F.monotonically_increasing_id().alias("tie"),
+    ))
+    # Of equal payloads: the largest id, and the first of its rows.
+    first = F.max(F.struct("page", (-F.col("tie")).alias("tie")))
+    again = cut(narrow.groupBy("address").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("address", F.col("first.page").alias("keeper"), (-F.col("first.tie")).alias("keeper_tie"), "n"))
+    total = narrow.count()
+    stored = attach(pages.select(F.col(id_col).cast("long").alias("page"), F.sha2(payload, 256).alias("address"), payload.alias("payload")), again.withColumn("copies", F.ceil(F.col("n") / COPY_RECORDS).cast("int")), "address", "n", total)
+    once = stored.filter(F.col("copies").isNull()).select("address", "payload", F.lit(1).alias("copies"))
+    several = stored.filter(F.col("copies").isNotNull() & F.col("page").eqNullSafe(F.col("keeper"))).select("address", "payload", "copies").dropDuplicates(["address"])
+    once.unionByName(several).write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    joined = attach(narrow, again.withColumn("records", F.col("n")), "address", "n", total)
+    revisit = F.col("keeper").isNotNull() & (F.col("n_bytes") >= min_bytes) & ~F.col("page").eqNullSafe(F.col("keeper"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     length = F.lit(len(HTTP_HEAD)) + F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))
     header = F.concat(
-        F.lit(VERSION + CRLF), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", _urn(F.col("page"))),
+        F.lit(VERSION + CRLF), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", _urn(F.col("address"), F.col("page"), F.col("tie"))),
         line("WARC-Target-URI", F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         line("WARC-Date", F.lit(date)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), line("WARC-Page-ID", F.coalesce(F.col("page").cast("string"), F.lit(""))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", _urn(F.col("keeper"))), line("WARC-Refers-To-Page-ID", F.col("keeper").cast("string")), line("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", _urn(F.col("address"), F.col("keeper"), F.col("keeper_tie"))), line("WARC-Refers-To-Page-ID", F.col("keeper").cast("string")), line("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", length.cast("string")), F.lit(CRLF + HTTP_HEAD),
     )
-    joined.select("address", header.alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
+    copy = F.pmod(F.col("tie"), F.coalesce(F.ceil(F.col("records") / COPY_RECORDS), F.lit(1))).cast("int")
+    joined.select("address", copy.alias("copy"), header.alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
 
 
 def _field(name: str) -> Column:
@@ -69,30 +78,40 @@ def _field(name: str) -> Column:
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
-    """The payloads; one that doesn't have its address as SHA-256 fails the job."""
-    found = spark.read.schema("address string, payload binary").parquet(f"{folder}/payloads")
+    """The payloads, a row for each copy that headers read; one that doesn't have its address as SHA-256 fails the job."""
+    found = spark.read.schema("address string, payload binary, copies int").parquet(f"{folder}/payloads")
     wrong = F.raise_error(F.concat(F.lit("payload does not match its address "), "address")).cast("string")
-    return found.select(F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(wrong).alias("address"), "payload")
+    checked = found.select(F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(wrong).alias("address"), "payload", "copies")
+    return checked.select("address", "payload", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record: page_id, payload_bytes, payload_digest (SHA-1 of the full payload, hex), record_type, refers_to.
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The original records: record (bytes, as in a WARC file) and payload (in full, for revisits as well; of responses it is null, as
+    the record holds it). Headers and payloads are joined by address."""
+    headers = spark.read.schema("address string, copy int, header string").parquet(f"{folder}/headers")
+    revisit = _field("WARC-Type") == "revisit"
+    record = F.concat(F.col("header").cast("binary"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit((2 * CRLF).encode()))
+    return headers.join(_stored(spark, folder), ["address", "copy"]).select(record.alias("record"), F.when(revisit, F.col("payload")).alias("payload"))
 
-    Lengths and digests are taken from the stored bytes; a digest that differs from the one in the header fails the job.
-    """
-    payloads = _stored(spark, folder).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("stored"))
-    headers = spark.read.schema("address string, header string").parquet(f"{folder}/headers")
-    said = headers.select("address", _field("WARC-Page-ID").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"), _field("WARC-Refers-To-Page-ID").cast("long").alias("refers_to"), F.substring(_field("WARC-Payload-Digest"), 6, 40).alias("said"))
-    digest = F.when(F.col("said") == F.col("stored"), F.col("stored")).otherwise(F.raise_error(F.lit("payload digest differs from the record's")).cast("string"))
-    return said.join(payloads, "address").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
+def parse_records(records: DataFrame) -> DataFrame:
+    """A row for each record: page_id, record_type, refers_to, payload (full), payload_bytes and payload_digest (SHA-1, hex), all
+    taken from the record's bytes; only a revisit's payload comes from beside it.
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records: page_id, record (bytes, as in a WARC file) and payload (in full, for revisits as well)."""
-    headers = spark.read.schema("address string, header string").parquet(f"{folder}/headers")
-    own = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    record = F.concat(F.col("header").cast("binary"), own, F.lit((2 * CRLF).encode()))
-    return headers.join(_stored(spark, folder), "address").select(_field("WARC-Page-ID").cast("long").alias("page_id"), record.alias("record"), "payload")
+    A record whose length differs from its Content-Length, or whose payload from its digest, fails the job.
+    """
+    # The header is text; its bytes end at the first empty line.
+    head = F.substring_index(F.col("record").cast("string"), 2 * CRLF, 1)
+    cut_ = records.select("record", "payload", F.concat(head, F.lit(CRLF)).alias("header"), (F.octet_length(head) + 4).alias("at"))
+    said = cut_.select("*", _field("Content-Length").cast("int").alias("size"))
+    whole = (F.octet_length("record") == F.col("at") + F.col("size") + 4) & (F.substring(F.col("record"), F.col("at") + F.col("size") + 1, F.lit(4)) == F.lit((2 * CRLF).encode()))
+    block = F.when(whole, F.substring(F.col("record"), F.col("at") + 1, F.col("size"))).otherwise(F.raise_error(F.lit("record differs from its Content-Length")).cast("binary"))
+    parsed = said.select(
+        _field("WARC-Page-ID").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"), _field("WARC-Refers-To-Page-ID").cast("long").alias("refers_to"), F.substring(_field("WARC-Payload-Digest"), 6, 40).alias("said"),
+        F.when(_field("WARC-Type") == "revisit", F.col("payload")).otherwise(F.substring(block, F.lit(len(HTTP_HEAD) + 1), F.col("size") - len(HTTP_HEAD))).alias("payload"),
+    ).select("*", F.sha1("payload").alias("found"))
+    digest = F.when(F.col("said") == F.col("found"), F.col("found")).otherwise(F.raise_error(F.lit("payload digest differs from the record's")).cast("string"))
+    return parsed.select("page_id", "record_type", "refers_to", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
 
 
 def write_files(spark: SparkSession, folder: str, path: str) -> None:
@@ -129,5 +148,4 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
-    prepare(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+    return shared_folder(spark, "warc")
