@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velatura.llm.common import blobs, prepare, rows, sliced
+from velatura.llm.common import blobs, cut, prepare, rows, sliced
 
-#: Text bytes of a shard whose suffixes are sorted together, and of benchmark text sent to the tasks at once.
+#: Text bytes of a shard whose suffixes are sorted together, and of benchmark text sent to the tasks at once (some 100 bytes of
+#: memory a word there).
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -36,29 +37,38 @@ class Benchmark:
     """The test suffixes of some items: word numbers from 1, and each distinct window with the places it has in items."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
-        self.window, self.vocabulary, self.names = window, {}, []
-        self.sequences: list[np.ndarray] = []
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if not ids:
-                continue
-            at = len(self.names)
-            self.names.append(name)
-            self.sequences.append(np.array(ids, np.int64))
-            for i in range(max(1, len(ids) - window + 1)):
-                places.setdefault(tuple(ids[i : i + window]), []).append((at, i))
+        self.window, self.vocabulary = window, {}
+        number = self.vocabulary.setdefault
+        found = [(name, [number(w, len(self.vocabulary) + 1) for w in words_of(text)]) for name, text in items]
+        found = [(name, ids) for name, ids in found if ids]
+        self.names = [name for name, _ in found]
         self.bits = max(1, len(self.vocabulary).bit_length())
         self.per_key = min(63 // self.bits, window)
         self.n_keys = -(-window // self.per_key)
-        windows = list(places)
-        self.length = np.array([len(w) for w in windows], np.int64)
-        self.shortest = int(self.length.min()) if windows else 0
-        self.first, self.last = self._bounds(windows)
-        self.place_start = np.cumsum([0, *map(len, places.values())])
-        flat = [p for v in places.values() for p in v]
-        self.place_item = np.array([p[0] for p in flat], np.int64)
-        self.place_word = np.array([p[1] for p in flat], np.int64)
+        self.sizes = size = np.array([len(ids) for _, ids in found], np.int64)
+        words = np.fromiter((x for _, ids in found for x in ids), np.int64, int(size.sum()))
+        first, n = np.cumsum(size) - size, np.maximum(1, size - window + 1)
+        item = np.repeat(np.arange(len(found)), n)
+        word = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        length, start = np.minimum(size, window)[item], first[item] + word
+        padded = np.append(words, np.zeros(window, np.int64))
+        columns = [np.where(length > j, padded[start + j], 0) for j in range(window)]
+        low = strings(self.packed(np.stack(columns, axis=1)))
+        _, one, which = np.unique(low, return_index=True, return_inverse=True)
+        # A window's word numbers end in zeros where it is short, so equal strings are equal windows.
+        top = (1 << self.bits) - 1
+        high = np.stack([np.where(length[one] > j, c[one], top) for j, c in enumerate(columns)], axis=1)
+        self.length, self.first, self.last = length[one], low[one], strings(self.packed(high))
+        self.shortest = int(self.length.min()) if len(one) else 0
+        order = np.argsort(which, kind="stable")
+        self.place_start = np.searchsorted(which[order], np.arange(len(one) + 1))
+        self.place_item, self.place_word = item[order], word[order]
+        # Places of each window by the window before it in the item, and by the one after it; -1 at an item's ends.
+        full = length == window
+        before = np.where((word > 0) & full, np.concatenate([[-1], which[:-1]]) if len(which) else which, -1)
+        after = np.where((word + 1 < n[item]) & full, np.append(which[1:], -1) if len(which) else which, -1)
+        self.beside = [_by_neighbour(which, x, len(one)) for x in (before, after)]
+        self.all_item, self.all_word = item, word
 
     def packed(self, words: np.ndarray) -> np.ndarray:
         """Fixed-width byte strings that sort as rows of word numbers do; words: one column for each word compared."""
@@ -71,11 +81,12 @@ class Benchmark:
                     keys[:, k] |= words[:, w].astype(np.uint64)
         return keys
 
-    def _bounds(self, windows: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.zeros((len(windows), self.window), np.int64), np.full((len(windows), self.window), (1 << self.bits) - 1, np.int64)
-        for i, w in enumerate(windows):
-            low[i, : len(w)] = high[i, : len(w)] = w
-        return strings(self.packed(low)), strings(self.packed(high))
+
+def _by_neighbour(which: np.ndarray, neighbour: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of (window, neighbouring window), and these pairs as one number."""
+    pair = which * (n + 1) + neighbour + 1
+    order = np.argsort(pair, kind="stable")
+    return order, pair[order]
 
 
 def strings(keys: np.ndarray) -> np.ndarray:
@@ -128,16 +139,15 @@ def _search(shared, shard_bytes: int, locate: bool):
         at, window = occurrences(sequence, bench)
         doc = np.searchsorted(starts, at, "right") - 1
         hits, items, matches = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        for d in np.unique(doc).tolist():
-            here = doc == d
-            p, w = at[here] - starts[d], window[here]
+        order = np.lexsort((window, at))
+        at, window, doc = at[order], window[order], doc[order]
+        own, first = np.unique(doc, return_index=True)
+        for d, a, b in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(doc)]):
+            p, w = at[a:b] - starts[d], window[a:b]
             edge = np.zeros(lengths[d] + 1, np.int64)
-            old = hits[d] or []
-            for a, b in zip(old[::2], old[1::2]):
-                edge[a] += 1
-                edge[b] -= 1
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + bench.length[w], -1)
+            old = np.array(hits[d] or [], np.int64)
+            np.add.at(edge, np.concatenate([p, old[::2]]), 1)
+            np.add.at(edge, np.concatenate([p + bench.length[w], old[1::2]]), -1)
             turns = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])))
             hits[d] = turns.tolist()
             distinct = np.unique(w)
@@ -155,24 +165,37 @@ def _search(shared, shard_bytes: int, locate: bool):
     return run, "row long, text binary, n_words long, hits array<int>, items array<string>, matches array<struct<item_id string, item_word int, doc_word int, n_words int>>"
 
 
+def _ends(position: np.ndarray, window: np.ndarray, bench: Benchmark, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, item word, document word) of all places at which a match can't go on by `step` words, that is -1 or 1: pairs of a window's
+    places in both texts whose neighbours are different windows. Pairs with equal neighbours are passed over as ranges."""
+    full = bench.length[window] == bench.window
+    beside = np.full(len(position), -1)
+    of = np.flatnonzero(full)
+    at = np.searchsorted(position[of], position[of] + step).clip(max=len(of) - 1) if len(of) else of
+    beside[of] = np.where(position[of][at] == position[of] + step, window[of][at], -1)
+    order, pair = bench.beside[step > 0]
+    base = window * (len(bench.length) + 1)
+    bounds = [np.searchsorted(pair, base, "left"), np.searchsorted(pair, base + beside + 1, "left"), np.searchsorted(pair, base + beside + 1, "right"), np.searchsorted(pair, base + len(bench.length), "right")]
+    none = beside < 0  # nothing to pass over
+    bounds[1], bounds[2] = np.where(none, bounds[3], bounds[1]), np.where(none, bounds[3], bounds[2])
+    low, high = np.concatenate([bounds[0], bounds[2]]), np.concatenate([bounds[1], bounds[3]])
+    n = high - low
+    place = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return bench.all_item[place], bench.all_word[place], np.repeat(np.concatenate([position, position]), n)
+
+
 def longest(position: np.ndarray, window: np.ndarray, bench: Benchmark) -> list[dict]:
-    """Maximal verbatim matches in one document: places of windows that lie on one diagonal of the two texts, joined."""
-    n = np.diff(bench.place_start)[window]
-    of = np.repeat(np.arange(len(window)), n)
-    place = np.repeat(bench.place_start[window] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    item, i, p, size = bench.place_item[place], bench.place_word[place], position[of], bench.length[window[of]]
-    order = np.lexsort((p, p - i, item))
-    item, i, p, size = item[order], i[order], p[order], size[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (item[1:] != item[:-1]) | (p[1:] - i[1:] != p[:-1] - i[:-1]) | (p[1:] != p[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p)) - 1
-    return [{"item_id": bench.names[item[a]], "item_word": int(i[a]), "doc_word": int(p[a]), "n_words": int(p[b] - p[a] + size[b])} for a, b in zip(first.tolist(), last.tolist())]
+    """Maximal verbatim matches in one document, from its windows sorted by position: the places where matches begin and those where they
+    end, each in the order of diagonals of the two texts, belong together one by one. The work grows with the number of matches."""
+    begin, end = (np.stack(_ends(position, window, bench, step)) for step in (-1, 1))
+    begin, end = (x[:, np.lexsort((x[2], x[2] - x[1], x[0]))] for x in (begin, end))
+    n_words = end[2] - begin[2] + np.minimum(bench.sizes[begin[0]], bench.window)
+    return [{"item_id": bench.names[i], "item_word": j, "doc_word": p, "n_words": n} for i, j, p, n in zip(*begin.tolist(), n_words.tolist())]
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> Iterator[Benchmark]:
-    """The items in blocks, each of about block_bytes at most; a single longer item is a block of its own."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
+    """The distinct items in blocks, each of about block_bytes at most; a single longer item is a block of its own."""
+    items = cut(benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).distinct())
     size = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
     n_blocks = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
