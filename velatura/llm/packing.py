@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences, as hierarchical residual packing.
 
 Tokens: a text divides before white space that follows something else; the byte-level tokenizer ends a pre-token at each such place,
-so the parts' ids, one after the other, are the text's. Each distinct part is encoded once and remembered.
+so the parts' ids, one after the other, are the text's. Distinct short parts are encoded once and remembered, up to a number of bytes.
 
 Packing: every task packs the pieces it has just made by best fit, largest first. Full or nearly full bins are final. The others
 go on as items of their own length: groups of bounded size pack them again, in fewer and fewer groups, until one group has
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from velatura.llm.common import blobs, cut, prepare, rows, sliced
 
-#: Items that one group packs, and parts that a task remembers.
+#: Items that one group packs.
 GROUP_ITEMS = 1 << 16
-REMEMBERED = 800_000
+#: Bytes of a part up to which it is remembered, and of all that a worker remembers: parts and ids, each with ENTRY_BYTES of overhead.
+SHORT_PART, ENTRY_BYTES = 128, 180
+REMEMBERED_BYTES = 192 << 20
 #: Groups of one round that meet in one group of the next.
 FAN_IN = 8
 #: Characters that regular expression libraries may class differently; parts that hold one are encoded as they are.
@@ -52,6 +54,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.pattern = regex.compile(PATTERN)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self._core(json.loads(self.tokenizer.to_str()), PATTERN)
@@ -90,19 +93,22 @@ class Encoder:
         merge = self.merge
         return b"".join([array("I", merge(p.encode())).tobytes() for p in self.pattern.findall(text)])
 
-    def learn(self, missing: set[bytes]) -> None:
-        known, ids = self.known, self._ids
-        for part in missing:
-            # A run of these marks after a letter is a pre-token of its own.
-            core = part.rstrip(b".,;:!?#*$%&|")
-            if core != part and len(core) > 1 and core[-1:].isalpha() and b"<" not in core:
-                if core not in known:
-                    known[core] = ids(core)
-                if (marks := part[len(core) :]) not in known:
-                    known[marks] = ids(marks)
-                known[part] = known[core] + known[marks]
-            else:
-                known[part] = ids(part)
+    def _keep(self, part: bytes, ids: bytes) -> bytes:
+        self.known[part] = ids
+        self.held += len(part) + len(ids) + ENTRY_BYTES
+        return ids
+
+    def learn(self, part: bytes) -> bytes:
+        """The ids of a part that isn't known; a short one is known from now on."""
+        known = self.known
+        if len(part) > SHORT_PART:
+            return self._ids(part)
+        # A run of these marks after a letter is a pre-token of its own.
+        core = part.rstrip(b".,;:!?#*$%&|")
+        if core != part and len(core) > 1 and core[-1:].isalpha() and b"<" not in core:
+            marks = part[len(core) :]
+            return self._keep(part, b"".join([known[x] if x in known else self._keep(x, self._ids(x)) for x in (core, marks)]))
+        return self._keep(part, self._ids(part))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text."""
@@ -112,10 +118,10 @@ class Encoder:
             try:
                 yield b"".join([known[p] for p in parts])
             except KeyError:
-                if len(known) > REMEMBERED:  # then all of this text's parts are learnt anew
+                if self.held > REMEMBERED_BYTES:
                     known.clear()
-                self.learn(set(parts).difference(known))
-                yield b"".join([known[p] for p in parts])
+                    self.held = 0
+                yield b"".join([known[p] if p in known else self.learn(p) for p in parts])
 
 
 _encoders: dict[str, Encoder] = {}
