@@ -2,7 +2,7 @@
 
 Long texts divide at safe boundaries: a place before a space that follows another character. No piece of the vocabulary spans such
 a place (this is looked up when the model is loaded; without it whole texts are encoded), so counts of parts add up to the
-text's. The distinct parts of a batch go to the library in calls balanced by bytes, and their counts are remembered.
+text's. The distinct parts of a batch go to the library in calls balanced by bytes, and counts of short ones are remembered.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from velatura.llm.common import prepare, rows, sliced
 
-#: Bytes of one call to the library, and parts that a task remembers.
-CALL_BYTES = 1 << 16
-REMEMBERED = 600_000
+#: Characters of one call to the library.
+CALL_CHARS = 1 << 16
+#: Characters of a part up to which it is remembered, and bytes of all that a worker remembers, each part with ENTRY_BYTES of overhead.
+SHORT_PART, ENTRY_BYTES = 128, 160
+REMEMBERED_BYTES = 128 << 20
 #: Characters that a model may take for a space or drop; texts that hold one are encoded whole.
 _WHOLE = re.compile("[\\x00\u2581\u200b]")
 _PART = re.compile(r" *[^ ]+(?: +\Z)?")
@@ -30,6 +32,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.known: dict[str, int] = {}
+        self.held = 0
         if path.endswith(".model"):
             import sentencepiece
 
@@ -48,10 +51,10 @@ class Counter:
             self.safe = self.prefixed = False
 
     def balanced(self, texts: list[str]) -> Iterator[list[str]]:
-        """The texts in calls of about CALL_BYTES each; a longer text is a call of its own."""
+        """The texts in calls of about CALL_CHARS each; a longer text is a call of its own."""
         call, size = [], 0
         for text in texts:
-            if call and size + len(text) > CALL_BYTES:
+            if call and size + len(text) > CALL_CHARS:
                 yield call
                 call, size = [], 0
             call.append(text)
@@ -70,14 +73,21 @@ class Counter:
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [self.parts(t) for t in texts]
-        missing = {p for parts in split for p in parts}.difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
+        every = {p for parts in split for p in parts}
+        missing = every.difference(self.known)
+        if self.held > REMEMBERED_BYTES:
             self.known.clear()
-            missing = {p for parts in split for p in parts}
+            self.held, missing = 0, every
+        found = {}
         for call in self.balanced(list(missing)):
-            self.known.update(zip(call, self.lengths(call)))
-        get = self.known.__getitem__
-        return [sum(map(get, parts)) for parts in split]
+            found.update(zip(call, self.lengths(call)))
+        short = {p: n for p, n in found.items() if len(p) <= SHORT_PART}
+        self.known.update(short)
+        self.held += sum(4 * len(p) if not p.isascii() else len(p) for p in short) + ENTRY_BYTES * len(short)
+        if len(short) == len(found):
+            get = self.known.__getitem__
+            return [sum(map(get, parts)) for parts in split]
+        return [sum(found[p] if p in found else self.known[p] for p in parts) for parts in split]
 
 
 _counters: dict[str, Counter] = {}
