@@ -10,6 +10,7 @@ decoding, with the same best path. A tagged span must pass the check of its kind
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +48,7 @@ def luhn(number: str) -> bool:
 def _valid(kind: str, value: str) -> bool:
     if kind == "ip":
         parts = value.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(d := digits(value)) <= 19 and luhn(d)
     if kind == "phone":
@@ -72,18 +73,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-@lru_cache(1 << 16)
-def shape(core: str) -> str:
+#: Characters of a token up to which its shape is remembered, and symbols of a shape that are told one by one.
+SHORT_TOKEN, LONG_SHAPE = 64, 64
+_RUN = re.compile(r"[0-9]+|[A-Z]+|[^\W\d_]+|.", re.S)
+
+
+def _symbols(core: str) -> list[str]:
     """Letters to a or A, digits to 9 with their number (up to three, 4, 5 to 12, 13 to 19, more), other characters as they are."""
     out = []
-    for m in re.finditer(r"[0-9]+|[A-Z]+|[^\W\d_]+|.", core[:64], re.S):
+    for m in _RUN.finditer(core):
         s = m[0]
         if s[0].isascii() and s[0].isdigit():
             n = len(s)
             out.append("9" * n if n < 4 else "9{4}" if n == 4 else "9{5-12}" if n < 13 else "9{13-19}" if n < 20 else "9{+}")
         else:
             out.append("A" if s.isascii() and s.isupper() else "a" if s.isalpha() else s)
-    return "".join(out)
+    return out
+
+
+def _shape(core: str) -> str:
+    found = _symbols(core)
+    if len(found) <= LONG_SHAPE:
+        return "".join(found)
+    return "~" + "".join(sorted({x if x in ("a", "A") or x[0] == "9" or x.isascii() else "?" for x in found}))
+
+
+_short_shape = lru_cache(1 << 16)(_shape)
+
+
+def shape(core: str) -> str:
+    """The shape of a whole token: its symbols in order; of a token with more than LONG_SHAPE of them, each that occurs, once."""
+    return _short_shape(core) if len(core) <= SHORT_TOKEN else _shape(core)
 
 
 def _coarse(s: str) -> str:
@@ -299,11 +319,23 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
             t = end
     out = []
     for own, more in zip(base, added):
-        new = [x for x in more if not any(x[1] < e and s < x[2] for _, s, e in own)] if own else more
+        new = untouched(more, own) if own else more
         out.append((own, sorted([*own, *new]) if new else own))
     return out
 
 
+def untouched(spans: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that touch none of the others: these become disjoint stretches in order, of which each span looks up one."""
+    starts, ends = [], []
+    for _, a, b in sorted(others, key=lambda x: x[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [x for x in spans if (k := bisect_right(ends, x[1])) == len(ends) or starts[k] >= x[2]]
+
+
 def find_personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base and spans (kind:start:end, by kind in
     the order of KINDS and start, comma-joined; code points, end exclusive; spans holds the field's as well).
