@@ -13,14 +13,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velatura.llm.common import blobs, prepare, rows, sliced
+from velatura.llm.common import blobs, cut, prepare, rows, sliced
 
 BITS = 20
-#: At most so many labelled rows are trained on: those whose hashed ids are smallest.
+#: At most so many labelled rows are trained on: those whose hashed ids are smallest, as long as their texts have so many bytes in all.
 TRAIN_ROWS = 6000
+TRAIN_BYTES = 64 << 20
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\x09-\x0d]+")
 _DITTO = np.uint64(1)
 
@@ -74,11 +75,13 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, epochs: int = 4, bits: int = BITS) -> np.ndarray:
-    """Weights, with the intercept last. Learns from at most train_rows labelled rows that aren't held out, on whole texts.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, epochs: int = 4, bits: int = BITS) -> np.ndarray:
+    """Weights, with the intercept last. Learns from at most train_rows labelled rows that aren't held out, on whole texts of at most
+    train_bytes bytes in all.
 
     Both classes weigh alike in sum. Labels other than 0 and 1, null ids and ids that occur twice with different labels are left
-    out; without any label, or with one class only, all weights are zero and each score is a half.
+    out; of rows with one id the one of the smallest text counts; without any label, or with one class only, all weights are zero
+    and each score is a half.
     """
     prepare(docs.sparkSession)
     clean = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other"))
@@ -92,8 +95,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             yield rows(schema, batch.column(0), batch.column(1), [p for p, _ in found], [v for _, v in found])
 
     # The chosen rows are at most train_rows pairs of numbers, so their broadcast is bounded.
-    picked = texts.join(F.broadcast(chosen), "id").select("id", F.col("label").cast("int").alias("label"), "text")
-    got = picked.mapInArrow(run, "id long, label int, places array<int>, values array<float>").toArrow()
+    picked = cut(texts.join(F.broadcast(chosen), "id").groupBy("id", F.col("label").cast("int").alias("label")).agg(F.min(F.coalesce("text", F.lit(b""))).alias("text")))
+    before = Window.orderBy(F.xxhash64("id"), "id")  # over train_rows rows at most
+    fits = picked.select("id", F.sum(F.octet_length("text")).over(before).alias("n")).filter(F.col("n") <= train_bytes).select("id")
+    got = picked.join(F.broadcast(fits), "id", "left_semi").mapInArrow(run, "id long, label int, places array<int>, values array<float>").toArrow()
     label = got.column("label").to_numpy()
     if len(set(label.tolist())) < 2:
         return np.zeros((1 << bits) + 1, np.float32)
@@ -130,7 +135,11 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3,
 
 
 def drop_low_quality(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of docs, unchanged, that score at least the threshold."""
+    """The rows of docs, unchanged, that score at least the threshold.
+
+    Defined results: null and empty texts have the score of the intercept; repeated rows are judged one by one; ids are not looked at; columns
+    of any name and type pass through; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared, at = spark.sparkContext.broadcast(weights), docs.columns.index(text_col)
