@@ -25,14 +25,15 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 
 def test_run_equals_brute_force(spark):
-    """Every stage by plain Python: the model's scores, counted lines, all pairs of fingerprints, windows, and the tokenizer's ids."""
+    """Every stage by plain Python: the model's scores, counted lines, all pairs of five-word shingle sets, windows, and the tokenizer's ids."""
     import zlib
     from collections import Counter
 
     import numpy as np
     import public_tokenizers
+    from test_near_copies import brute_groups
     from test_sharding_lines_warc import brute_lines
-    from test_text_operators import brute_fingerprint, brute_leaks
+    from test_text_operators import brute_leaks
     from tokenizers import Tokenizer
 
     from velatura.llm.quality_classifier import score, train
@@ -42,15 +43,7 @@ def test_run_equals_brute_force(spark):
     weights = train(docs, labels)
     rows = [(r.doc_id, r.text) for r in docs.collect() if score(weights, (r.text or "").encode()) >= 0.3]
     rows = [(d, t) for d, _, _, t in brute_lines(rows)]
-    prints, root = [brute_fingerprint(t) for _, t in rows], list(range(len(rows)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(rows)):
-            for j in range(i):
-                if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= 2:
-                    root[i] = root[j] = min(root[i], root[j])
-                    changed = True
+    root = brute_groups([t for _, t in rows])
     least = {}
     for r, (d, _) in zip(root, rows):
         least[r] = min(d, least.get(r, d))
@@ -69,3 +62,52 @@ def test_run_equals_brute_force(spark):
     for r in got:
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 1024 and len(filled) <= 1.05 * sum(filled.values()) / 1024 + 1
+
+
+LONG = [" ".join(f"{c}{i}" for i in range(80)) for c in "abc"]
+ROWS = [(1, LONG[0]), (1, LONG[0]), (1, LONG[1]), (2, LONG[0] + " end"), (None, LONG[0]), (None, LONG[2]), (3, None), (4, ""), (5, None), (6, "x " * 30_000), (7, "word " * 9)]
+
+
+@pytest.fixture
+def small(spark):
+    """Rows with nulls, repeated ids and rows, empty and long texts, and columns whose names the operators might use themselves."""
+    rows = [(d, t, "en", "s", len(t or ""), "x", 1, 2, 3, 4) for d, t in ROWS]
+    names = "row string, own int, fp int, id int, __row int"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+
+
+def test_stages_with_odd_rows(spark, small):
+    """The quality stage judges each row alone, the next two leave one row of each group, and packing has all pieces of every row."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, small, SF)
+        assert got.columns == small.columns, name
+        kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        if name == "near_dedup":
+            assert kept == sorted([(1, LONG[0]), (1, LONG[1]), (None, LONG[2]), (3, None), (6, "x " * 30_000), (7, "word " * 9)], key=repr)
+        elif name == "quality_classifier":
+            assert all(x in ROWS for x in kept) and len({kept.count(x) in (0, ROWS.count(x)) for x in ROWS}) == 1
+        else:
+            assert kept == sorted(ROWS, key=repr), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, small, SF).collect()
+    assert len([r for r in pieces if r.piece == 0]) == len(ROWS) and max(r.length for r in pieces) <= 1024
+
+
+def test_stages_of_an_empty_table(spark, small):
+    docs = small.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0 and docs.columns == small.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_run_leaves_no_folders(spark):
+    from velatura.llm.common import prepare
+
+    prepare(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = {p.name for p in folder.glob("*-*") if p.name.startswith(("pipeline-", "warc-"))}
+    corpus_pipeline.run(spark, SF).count()
+    from velatura.llm.registry import QUERIES
+
+    QUERIES["op3_warc_archive"](spark, SF).count()
+    assert {p.name for p in folder.glob("*-*") if p.name.startswith(("pipeline-", "warc-"))} == before

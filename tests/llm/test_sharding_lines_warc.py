@@ -63,7 +63,10 @@ def brute_lines(docs, min_chars=20, min_docs=3):
 LINES = ["A line that many documents do share", "  a LINE that many documents do share\t", "éééééééééééééééééééé", "ééééééééééééééééééé", "short", "", "unique %d and long enough to count"]
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_hashes": -1, "broadcast_bytes": -1}, {"filter_bits": 64}])
+RANGES = {"most_bits": 1 << 9}  # too few bits for these lines, so that filters go by ranges of hashes
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": -1}, RANGES, RANGES | {"broadcast_bytes": -1, "range_bits": 64}])
 def test_line_dedup_equals_brute_force(spark, limits):
     rng = random.Random(1)
     docs = [(i, "\n".join(x % i if "%d" in x else x for x in rng.choices(LINES, k=rng.randrange(6)))) for i in range(60)]
@@ -76,6 +79,25 @@ def test_line_dedup_equals_brute_force(spark, limits):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": -1}, RANGES])
+def test_ids_of_other_types_and_clashing_names(spark, limits):
+    rows = [("1", LINES[0], 1, 2, 3), ("2", LINES[0] + "\nshort", 1, 2, 3), ("10", LINES[0], 1, 2, 3), (None, LINES[0], 1, 2, 3), ("9", None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, own_id int, lost_id int, lost_keys int")
+    got = line_dedup.dedup_lines(df, **limits)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {"1": "", "2": "short", "10": LINES[0], None: "", "9": None}
+
+
+def test_only_suspected_repeats_shuffle(spark):
+    """Of keys in one document only, the merged filter knows few."""
+    docs = [(i, "\n".join([f"line {i} {j} that no other document has" for j in range(20)] + [LINES[0]] * (i % 50 == 0))) for i in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    for limits in ({}, RANGES | {"most_bits": 1 << 14}):
+        confirmed, found = line_dedup.confirmed_keys(df, **limits)
+        assert [r.keeper for r in confirmed.collect()] == [950]
+        assert 20 <= found.count() < 2000, limits
+
+
 PAGES = [(1, "u", "a" * 1200), (2, "u", "a" * 1200), (9, "u\r\nX: y", "a" * 1200), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", "WARC/1.0\r\n\r\n" * 100 + "é"), (None, "u", "a" * 1200), (7, "u", "b" * 70000), (7, "u", "b" * 70000)]
 
 
@@ -83,7 +105,7 @@ def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(p, u, h, "x") for p, u, h in PAGES], "page_id long, url string, html string, address string")
     folder = str(tmp_path / "a")
     warc.archive(df, folder)
-    got = warc.read_index(spark, folder).collect()
+    got = warc.parse_records(warc.read_records(spark, folder)).collect()
     assert len(got) == len(PAGES)
     payloads = defaultdict(list)
     for p, _, h in PAGES:
@@ -94,16 +116,59 @@ def test_warc_round_trip(spark, tmp_path):
         keeper = 9 if body == b"a" * 1200 else None
         revisit = keeper is not None and r.page_id != keeper
         assert (r.record_type, r.refers_to) == (("revisit", keeper) if revisit else ("response", None))
+        assert bytes(r.payload) == body
     assert spark.read.parquet(f"{folder}/payloads").count() == len({(h or "") for _, _, h in PAGES})
+    own, refers = [], set()
     for r in warc.read_records(spark, folder).collect():
-        assert bytes(r.payload) == payloads[r.page_id][0] and bytes(r.record).startswith(b"WARC/1.0\r\n") and bytes(r.record).endswith(b"\r\n\r\n")
+        assert bytes(r.record).startswith(b"WARC/1.0\r\n") and bytes(r.record).endswith(b"\r\n\r\n")
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        assert int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0]) == len(rest) - 4
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        assert int(fields[b"Content-Length"]) == len(rest) - 4
+        page = int(fields[b"WARC-Page-ID"]) if fields[b"WARC-Page-ID"] else None
+        http, _, held = rest[:-4].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK") and held == (b"" if fields[b"WARC-Type"] == b"revisit" else payloads[page][0])
+        own.append(fields[b"WARC-Record-ID"])
+        refers |= {fields[b"WARC-Refers-To"]} if b"WARC-Refers-To" in fields else set()
+    assert len(set(own)) == len(PAGES) and refers <= set(own)
     warc.write_files(spark, folder, str(tmp_path / "w"))
     back = warc.read_files(spark, str(tmp_path / "w") + "/*.txt").collect()
     assert sorted((r.page_id or 0, r.record_type) for r in back) == sorted((r.page_id or 0, r.record_type) for r in got)
 
 
+def test_a_hot_payload_is_read_in_copies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "COPY_RECORDS", 10)
+    df = spark.createDataFrame([(i, "u", "a" * 1500 if i % 3 else f"{i}" * 400) for i in range(150)], "page_id long, url string, html string")
+    folder = str(tmp_path / "h")
+    warc.archive(df, folder)
+    assert spark.read.parquet(f"{folder}/payloads").filter("copies = 10").count() == 1
+    assert spark.read.parquet(f"{folder}/headers").groupBy("address", "copy").count().agg(F.max("count")).first()[0] <= 20
+    got = {r.page_id: (r.record_type, r.refers_to, bytes(r.payload)) for r in warc.parse_records(warc.read_records(spark, folder)).collect()}
+    assert got == {i: ("response", None, f"{i}".encode() * 400) if i % 3 == 0 else ("response" if i == 149 else "revisit", None if i == 149 else 149, b"a" * 1500) for i in range(150)}
+    warc.archive(df.limit(0), str(tmp_path / "e"))
+    assert warc.parse_records(warc.read_records(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_a_join_with_hot_keys(spark, monkeypatch):
+    from velatura.llm import common
+
+    left = spark.createDataFrame([(i % 7 if i % 2 else 100, i) for i in range(3000)] + [(None, -1), (55, -2)], "k int, v int")
+    right = left.filter("k is not null and k <> 55").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("k") * 2)
+    exp = sorted(map(tuple, left.join(right.drop("n"), "k", "left").collect()), key=repr)
+    for few, share in ((1 << 17, 1000), (0, 1000), (0, 3), (0, 1)):
+        monkeypatch.setattr(common, "FEW_ROWS", few)
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        assert sorted(map(tuple, common.attach(left, right, "k", "n", 3000).collect()), key=repr) == exp
+
+
+def test_checkpoint_folder_is_shared_on_a_cluster():
+    from velatura.functions.lineage import checkpoint_folder
+
+    assert checkpoint_folder("hdfs://x/y", "spark://host:7077") == "hdfs://x/y" and checkpoint_folder(None, "local[4]")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            checkpoint_folder(None, master)
+
+
 def test_a_changed_payload_is_noticed(spark, tmp_path):
     folder = str(tmp_path / "a")
     warc.archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), folder)
@@ -113,4 +178,4 @@ def test_a_changed_payload_is_noticed(spark, tmp_path):
     shutil.rmtree(f"{folder}/payloads")
     shutil.move(f"{folder}/p2", f"{folder}/payloads")
     with pytest.raises(Exception, match="does not match"):
-        warc.read_index(spark, folder).collect()
+        warc.read_records(spark, folder).collect()

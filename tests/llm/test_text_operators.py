@@ -56,6 +56,46 @@ def test_leaks_equal_brute_force(spark, block_bytes):
     assert not any(r.contaminated for r in none) and decontaminate.find_leaks(d.limit(0), b).count() == 0
 
 
+def brute_matches(doc, item, w=10):
+    """Maximal matches by walking all diagonals."""
+    ws, ts = (WORD.findall(t.translate(LOWER)) for t in (doc, item))
+    w = min(w, len(ts))
+    out = set()
+    for shift in range(-len(ts) + 1, len(ws)):
+        run = 0
+        for i in range(len(ts) + 1):
+            if i < len(ts) and 0 <= i + shift < len(ws) and ts[i] == ws[i + shift]:
+                run += 1
+            else:
+                if run >= w:
+                    out.add((i - run, i - run + shift, run))
+                run = 0
+    return out
+
+
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(12)
+    items = [(str(i), " ".join(rng.choices(["a", "b", "c"], weights=[8, 2, 1], k=rng.randrange(1, 40)))) for i in range(12)]
+    bench = decontaminate.Benchmark([(n, t.encode()) for n, t in items], 5)
+    for _ in range(30):
+        doc = " ".join(rng.choices(["a", "b", "c", "other"], weights=[8, 2, 1, 1], k=60))
+        words = np.array([bench.vocabulary.get(x, 0) for x in decontaminate.words_of(doc.encode())], np.int64)
+        at, window = decontaminate.occurrences(words, bench)
+        order = np.lexsort((window, at))
+        got = {(m["item_id"], m["item_word"], m["doc_word"], m["n_words"]) for m in decontaminate.longest(at[order], window[order], bench)}
+        assert got == {(n, *m) for n, t in items for m in brute_matches(doc, t, 5)}
+
+
+def test_repeated_words_cost_in_proportion():
+    import time
+
+    began = time.time()
+    bench = decontaminate.Benchmark([("i", b"e " * 20_000)], 10)
+    at, window = decontaminate.occurrences(np.ones(20_000, np.int64), bench)
+    found = decontaminate.longest(at, window, bench)
+    assert len(found) == 2 * 19_991 - 1 and max(m["n_words"] for m in found) == 20_000 and time.time() - began < 20
+
+
 def brute_fingerprint(text):
     ws = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").translate(LOWER).encode())
     if not ws:
@@ -85,24 +125,41 @@ def test_components_equal_brute_force(spark, node_members):
     exp = Counter((d, fps[i], min(least[root[i]], default=None)) for i, (d, _) in enumerate(docs))
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == exp
     kept = [r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()]
-    assert sorted(kept) == sorted({c for _, _, c in exp})
+    assert sorted(kept) == sorted({c for _, _, c in exp}) and near_dedup.drop_near_duplicates(df.limit(0)).count() == 0
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_tree_links_what_all_pairs_do():
-    rng = np.random.default_rng(0)
-    for n, spread in ((900, 10), (1500, 14)):
+@pytest.mark.parametrize("limit", [0, 1, 2, 4])
+def test_tree_links_what_all_pairs_do(limit):
+    rng = np.random.default_rng(limit)
+    for n, spread in ((1, 1), (2, 2), (33, 6), (900, 10), (1500, 14)):
         x = rng.integers(0, 2**63, 9, dtype=np.uint64)[rng.integers(0, 9, n)]
         for _ in range(5):
             x = x ^ np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, spread, n).astype(np.uint64), np.uint64(0))
         x = np.unique(x)
         x = x[np.argsort(near_dedup.gray_rank(x))]
         tree, every = near_dedup.Forest(len(x)), near_dedup.Forest(len(x))
-        near_dedup.link_all(x, 2, tree)
-        every.link(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2))
+        near_dedup.GrayTree(x, np.zeros(len(x), np.int64)).link(limit, tree)
+        every.link(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= limit))
         assert (tree.root == every.root).all()
 
 
+def test_every_fingerprint_enters_the_tree_and_most_pairs_are_pruned(monkeypatch):
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    fp = np.unique(np.concatenate([fp, fp[:5000] ^ (np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64))]))
+    taken, compared = [], []
+    build, compare = near_dedup.GrayTree.__init__, near_dedup._popcount
+    monkeypatch.setattr(near_dedup.GrayTree, "__init__", lambda self, values, upper: (taken.append(len(values)), build(self, values, upper))[1])
+    monkeypatch.setattr(near_dedup, "_popcount", lambda x: (compared.append(x.size), compare(x))[1])
+    got = set()
+    for mask in near_dedup._parts((1 << 64) - 1, 3):
+        a, b = near_dedup.node_links((fp & np.uint64(mask)).view(np.int64), fp, 2)
+        got |= set(zip(a.tolist(), b.tolist()))
+    assert taken == [len(fp)] * 3 and sum(compared) < 0.05 * len(fp) ** 2
+    assert all((a ^ b).bit_count() > 0 for a, b in got) and len(got) >= 4990
+
+
 ODD = ["a", "b", "The", "é", "ß", " ", "  ", "\n", "\t", " x", "'s", "1", "23", "!", "#", "\xa0", "日本", "<|endoftext|>", "<s>", "▁", "\x1c", "\x85", "😀", "\r\n", ".", "​", "½", "_", "ﬁ"]
 
 
@@ -121,12 +178,39 @@ def test_encoder_equals_the_library():
     assert all(np.frombuffer(g, "<u4").tolist() == e.ids for g, e in zip(got, exp))
 
 
-def test_counts_equal_the_library():
+def test_counts_equal_the_library(monkeypatch):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     model, texts = sentencepiece.SentencePieceProcessor(model_file=path), odd_texts(4000, 2)
-    assert token_counts.Counter(path).counts(texts) == [len(model.encode(t)) for t in texts]
+    exp = [len(model.encode(t)) for t in texts]
+    assert token_counts.Counter(path).counts(texts) == exp
+    monkeypatch.setattr(token_counts, "REMEMBERED_BYTES", 3000)
+    monkeypatch.setattr(token_counts, "SHORT_PART", 2)
+    counter = token_counts.Counter(path)
+    assert [n for i in range(0, 4000, 50) for n in counter.counts(texts[i : i + 50])] == exp
+
+
+def test_remembered_parts_are_bounded_by_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 5000)
+    encoder, library, texts = packing.Encoder(path), Tokenizer.from_file(path), [*odd_texts(600, 3), "long" * 100 + " and " + "!" * 500]
+    for t, got in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert encoder.held <= 5000 + 40 * (2 * packing.SHORT_PART + packing.ENTRY_BYTES)
+
+
+@pytest.mark.parametrize("letters", ["日月火水木金土", "abcdefghij", "x"])
+def test_ten_megabytes_without_spaces(letters):
+    rng = random.Random(1)
+    text = "".join(rng.choices(letters, k=(10 << 20) // len(letters[0].encode())))
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = next(encoder.encode([text.encode()]))
+    assert encoder.tokenizer.decode(np.frombuffer(ids, "<u4").tolist()) == text and not encoder.known
+    counter = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
+    assert counter.counts([text])[0] > 1000 and not counter.known
 
 
 def test_count_tokens_rows(spark):
@@ -160,10 +244,18 @@ def test_packing(spark, group_items):
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
             exp[(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == exp
-    assert len(sequences) <= 1.1 * sum(r.length for r in got) / 1024 + 2
+    assert len(sequences) <= len(packing.best_fit(np.array([r.length for r in got]), 1024)[2]) + 2
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_is_close_to_the_lower_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(6)
+    for group_items in (1 << 16, 200):
+        got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_items=group_items).agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("k")).first()
+        print(f"{got.k} sequences, lower bound {-(-got.n // 1024)}")
+        assert got.k <= 1.01 * got.n / 1024 + 1
+
+
 def test_best_fit_never_overfills():
     sizes = np.random.default_rng(1).integers(1, 1024, 3000)
     bins, place, filled = packing.best_fit(sizes, 1023)
@@ -224,15 +316,153 @@ def test_classifier_tells_junk_it_has_not_seen(spark):
     assert {r.score for r in quality_classifier.quality_scores(docs, nothing).collect()} == {0.5}
 
 
+SF = "/root/testdata/sf0.1"
+
+
+def real_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    return docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels
+
+
+def test_forest_on_labels_it_has_not_seen(spark):
+    docs, labels = real_labels(spark)
+    judged = quality_rules.judge(docs, labels.filter("doc_id % 2 = 0")).join(labels, "doc_id").filter("doc_id % 2 = 1 AND NOT base_failed").collect()
+    good, bad = ([r.kept for r in judged if r.quality == q] for q in (1, 0))
+    print(f"unseen rows that pass the base rules: of {len(bad)} bad {bad.count(False)} turned away, of {len(good)} good {good.count(False)}")
+    assert len(bad) > 50 and bad.count(False) >= 0.97 * len(bad) and good.count(False) <= 0.01 * len(good)
+
+
+def test_forest_scores_equal_a_walk(spark):
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(300, 4))
+    forest = quality_rules.IsolationForest(points, points.min(0), points.max(0), trees=20, sample=64)
+
+    def walk(x):
+        total = 0.0
+        for feature, value, left, right, path in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] < value[at] else right[at]
+            total += path[at]
+        return 2 ** (-total / 20 / forest.usual)
+
+    odd = np.vstack([points[:40], points[:5] * 9])
+    got = forest.scores(odd)
+    assert np.allclose(got, [walk(x) for x in odd]) and got[40:].min() > np.median(got[:40])
+
+
+def brute_train(rows, epochs=4, alpha=1.0, beta=1.0, l1=0.02, l2=0.05):
+    """FTRL-proximal over dictionaries; rows: (id, places, values, label)."""
+    z, n = defaultdict(float), defaultdict(float)
+    share = Counter(label for *_, label in rows)
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - (l1 if z[k] > 0 else -l1)) / ((beta + n[k] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for i, places, values, label in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])):
+            x = [*zip(places, values), ("intercept", 1.0)]
+            w = {k: weight(k) for k, _ in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x)))
+            for k, v in x:
+                g = 0.5 * len(rows) / share[label] * (p - label) * v
+                sigma = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in list(z)}
+
+
+def test_classifier_equals_brute_force(spark):
+    docs, labels, rows = labelled(spark, 60)
+    own = [(d, *quality_classifier.features(t.encode(), 12), q) for d, t, q in rows[:60] if zlib.crc32(str(d).encode()) % 5]
+    exp = brute_train([(d, p.tolist(), v.tolist(), q) for d, p, v, q in own])
+    got = quality_classifier.train(docs.filter("doc_id < 60"), labels, bits=12)
+    assert np.isclose(got[-1], exp["intercept"], atol=1e-4)
+    assert all(np.isclose(got[k], w, atol=1e-4) for k, w in exp.items() if k != "intercept") and np.count_nonzero(got) == sum(w != 0 for w in exp.values())
+
+
+def test_classifier_on_held_out_labels(spark):
+    docs, labels = real_labels(spark)
+    scored = quality_classifier.quality_scores(docs, quality_classifier.train(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
+    score, truth = np.array([r.score for r in scored]), np.array([r.quality for r in scored])
+    order = np.argsort(score, kind="stable")
+    ranks = np.empty(len(order))
+    ranks[order] = np.arange(1, len(order) + 1)
+    auc = (ranks[truth == 1].sum() - (truth == 1).sum() * ((truth == 1).sum() + 1) / 2) / ((truth == 1).sum() * (truth == 0).sum())
+    right = np.mean((score >= 0.3) == (truth == 1))
+    print(f"{len(scored)} held-out rows: AUC {auc:.4f}, right at 0.3 {right:.4f}")
+    assert len(scored) > 200 and auc > 0.99 and right > 0.98
+
+
+def test_training_is_bounded_by_bytes_and_repeated_ids(spark):
+    docs, labels, _ = labelled(spark, 60)
+    again = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" zzz"))))
+    assert np.array_equal(quality_classifier.train(docs, labels), quality_classifier.train(again, labels))
+    assert not quality_classifier.train(docs, labels, train_bytes=0).any()
+    a, b = (sorted((r.doc_id, r.kept) for r in quality_rules.judge(x, labels).select("doc_id", "kept").distinct().collect()) for x in (docs, docs.unionByName(docs)))
+    assert a == b
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
+def brute_valid(kind, value):
+    digits = [ord(c) - 48 for c in value if c in "0123456789"]
+    if kind == 1:
+        return all((p.lstrip("0") or "0") in {str(i) for i in range(256)} for p in value.split("."))
+    if kind == 2:
+        doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(digits[::-1])]
+        return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+    return kind == 0 or 9 <= len(digits) <= 15
+
+
+def test_very_long_numbers(spark):
+    texts = ["0" * 5000 + ".1.1.1", "1" * 5000 + ".1.1.1", "x " + "9" * 100_000, "+1" + "2" * 50_000]
+    got = [r.spans for r in pii_tagger.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["ip:0:5006", "", "", ""]
+
+
+def test_shapes_are_of_whole_tokens():
+    assert pii_tagger.shape("x" * 70 + "@y.z") == "a@a.a"
+    assert "@" in pii_tagger.shape("a-" * 500 + "@") and "9" in pii_tagger.shape("a-" * 500 + "7") and "9" not in pii_tagger.shape("a-" * 500)
+    assert len(pii_tagger.shape("".join(map(chr, range(33, 40_000))))) < 400
+
+
+def test_fifty_thousand_values_take_seconds():
+    import time
+
+    text, began = "mail a@b.com and +1 (826) 555-4081 190.137.223.204 x " * 25_000, time.time()
+    (base, every), = pii_tagger.all_spans([text], pii_tagger.train())
+    assert len(base) == 50_000 and len(every) == 75_000 and time.time() - began < 60
+    rng = random.Random(3)
+    for _ in range(300):
+        spans, others = ([(0, a, a + rng.randrange(1, 6)) for a in (rng.randrange(40) for _ in range(n))] for n in (6, 5))
+        assert pii_tagger.untouched(spans, others) == [x for x in spans if not any(x[1] < e and s < x[2] for _, s, e in others)]
+
+
+def test_added_spans_on_held_out_values():
+    """Values that the field hasn't been trained on (another seed), rendered as texts, against the patterns alone."""
+    field, found, right, true, by_patterns = pii_tagger.train(), 0, 0, 0, 0
+    texts, spans = [], []
+    for tokens, tags in pii_tagger.labelled_table(600, seed=99):
+        at, own = 0, []
+        for token, tag in zip(tokens, tags):
+            if tag[0] == "B":
+                own.append([pii_tagger.KINDS.index(tag[2:]), at, at + len(token)])
+            elif tag[0] == "I":
+                own[-1][2] = at + len(token)
+            at += len(token) + 1
+        texts.append(" ".join(tokens))
+        spans.append({(k, a, b) for k, a, b in own if brute_valid(k, texts[-1][a:b])})
+    for exp, (base, every) in zip(spans, pii_tagger.all_spans(texts, field)):
+        true, found, right, by_patterns = true + len(exp), found + len(set(every)), right + len(exp & set(every)), by_patterns + len(exp & set(base))
+    print(f"values {true}, patterns find {by_patterns}, with the field {right} of {found}")
+    assert right / true >= 0.95 and right / found >= 0.9 and right > by_patterns
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(7)
     parts = ["a", "1", "23", "@", ".", " ", "-", "+", "(", ")", "192.168.0.1", "x@y.com", "4111111111111111", "é", "%", "999", "@b.c"]
     for _ in range(5000):
         t = "".join(rng.choices(parts, k=rng.randrange(16)))
-        exp = [(k, *m.span()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, t) if k == 0 or pii_tagger._valid(pii_tagger.KINDS[k], m[0])]
+        exp = [(k, *m.span()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, t) if brute_valid(k, m[0])]
         assert sorted(pii_tagger.base_spans(t)) == sorted(exp), t
 
 
