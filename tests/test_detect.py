@@ -4,10 +4,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from velatura.functions import checksums
+from velatura.functions import checksums, plain
 from velatura.functions.spans import find
+from velatura.operators import rows as R
 from velatura.operators.detect import detect_rows
-from velatura.operators.generate import Filler
+from velatura.operators.generate import BUILT_IN, Draws
 from velatura.operators.iban import LENGTHS, find_grouped
 
 WHOLE = [
@@ -54,12 +55,28 @@ def test_places_equal_finditer(spark):
 def test_checks_equal_plain_python(spark):
     rows = []
     for i in range(200):
-        f = Filler(1, i)
-        rows.append((f.cf(), f.piva(), f.iban()))
+        d = Draws(1, i)
+        rows.append(tuple(BUILT_IN[k](d) for k in ("tax code", "vat number", "account number")))
     wrong = [("RSSMRA85H12F205Z", "12345678901", "IT60X0542811101000000123457"), (None, None, None), ("", "", ""), ("ééé", "123", "IT")]
     df = spark.createDataFrame(rows + wrong, "cf string, piva string, iban string").select(checksums.tax_code_ok(F.col("cf")).alias("a"), checksums.vat_ok(F.col("piva")).alias("b"), checksums.iban_ok(F.col("iban")).alias("c"), checksums.vat_ok_strict(F.col("piva")).alias("d"))
     got = df.collect()
     assert all(all(r) for r in got[:200]) and not any(any(r) for r in got[200:])
+    assert [(plain.tax_code_ok(a), plain.vat_ok(b), plain.iban_ok(c)) for a, b, c in rows + wrong if a is not None] == [(r.a, r.b, r.c) for r, x in zip(got, rows + wrong) if x[0] is not None]
+
+
+PIECES = [v for _, v in WHOLE] + NOTHING + ["RSSMRA85M01H501Z", "a", "x1", " ", "  ", "\n", ".", "-", "/", "é", "٣", "12", "€", "R.G.", "IT60", "www.", "@", "(", "0612345678", "+39"]
+
+
+def test_both_engines_find_the_same(spark):
+    """The expressions of the JVM and the plain functions, on texts where values touch and break off."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(PIECES) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for h in detect_rows(df).collect():
+        got.setdefault(h.doc_id, set()).add((h.label, h.start, h.end, h.score, h.validated, h.source, h.ord))
+    for i, t in enumerate(texts):
+        assert got.get(i, set()) == set(R.detect(t)), t
 
 
 def test_luhn(spark):

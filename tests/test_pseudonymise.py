@@ -1,10 +1,13 @@
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from velatura.functions.spans import SPAN, fold
 from velatura.operators import pseudonymise as P
+from velatura.operators import rows as R
 
 KIND = f"doc_id long, text string, candidates array<{SPAN}>"
 
@@ -54,6 +57,97 @@ def test_merge_equals_brute_force(spark, engine):
         assert got[i] == brute_merge(text, cands), (text, cands)
 
 
+def brute_restore(text, mapping):
+    """One name after the other, the longest first."""
+    for name in sorted(mapping, key=lambda k: -len(k)):
+        text = re.sub(r"\**\[?\s*" + re.escape(name[1:-1]) + r"\s*\]?\**", lambda m, name=name: mapping[name], text)
+    return text
+
+
+def test_restore_equals_one_name_after_the_other():
+    rng = random.Random(4)
+    mapping = {"[X_1]": "a$1", "[X_12]": "b", "[EMAIL_3]": "c d", "[LONG_X_1]": "e", "[X_100]": "f"}
+    parts = ["[X_1]", "X_12", "[ EMAIL_3 ]", "**[X_1]**", "X_13", "X_1000", "LONG_X_1", "LONG_X_2", " ", "*", "[", "]", "q", "\n", "EMAIL_"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        assert R.restore(text, mapping) == brute_restore(text, mapping), text
+
+
+def test_restore_and_merge_are_linear():
+    n = 20_000
+    text = "w1 a@b.com, " * n
+    began = time.time()
+    spans = [("EMAIL", 12 * i + 3, 12 * i + 10, 0.9, False, "regex", i) for i in range(n)] + [("DATE", 12 * i, 12 * i + 2, 0.5, False, "model", n + i) for i in range(n)]
+    entities = R.number(text, R.merge(text, spans))
+    done, mapping, segments = R.rewrite(text, entities)
+    assert len(entities) == 2 * n and R.restore(done, mapping) == text and "".join(s[2] or s[0] for s in segments) == done
+    distinct = " ".join(f"u{i}@b.com" for i in range(n))
+    done, mapping, _ = R.rewrite(distinct, R.number(distinct, R.merge(distinct, R.detect(distinct))))
+    assert len(mapping) == n and R.restore(done, mapping).replace(" ", "") == distinct.replace(" ", "")
+    assert R.merge("x" * 200_000, [("CF", i, i + 1, 0.9, False, "regex", i) for i in range(0, 200_000, 10)])[0][:3] == ("CF", 0, 200_000)
+    assert R.restore(" " * 300_000 + "*" * 300_000, {"[X_1]": "v"}) == " " * 300_000 + "*" * 300_000
+    assert time.time() - began < 20
+
+
+def brute_analysis(text, model, excluded=()):
+    """Every step by its definition: candidates, one against all, keys by casefold, and texts from back to front."""
+    found = [c for c in [*model, *R.detect(text)] if c[0] not in excluded]
+    numbers, names, out = {}, {}, text
+    entities = brute_merge(text, found)
+    for label, a, b in entities:
+        key = (label, " ".join(text[a:b].split()).casefold())
+        if key not in names:
+            numbers[label] = numbers.get(label, 0) + 1
+            names[key] = (f"[{label}_{numbers[label]}]", text[a:b])
+    for label, a, b in reversed(entities):
+        out = out[:a] + names[(label, " ".join(text[a:b].split()).casefold())][0] + out[b:]
+    return out, dict(names.values()), len(entities)
+
+
+VALUES = ["a.b@c.it", "A.B@C.IT", "00743110157", "RSSMRA85H12F205Y", "IT60 X054 2811 1010 0000 0123 456", "333-123-4567", "€ 12.500,00", "AB 123 CD", "www.example.org/x", "Prot. n. 456/2024", "12/06/1985", "4111 1111 1111 1111", "Straße", "STRASSE", "x", "Mario Rossi", "é", ",", "."]
+
+
+@pytest.mark.parametrize("excluded", [(), ("EMAIL", "DATE")])
+def test_analysis_equals_brute_force(spark, excluded):
+    """All detectors and a recogniser's candidates, that overlap them and each other."""
+    rng = random.Random(6)
+    rows, models = [], []
+    for i in range(250):
+        text = "".join(rng.choice(VALUES) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randrange(12)))
+        own = [(rng.choice(["FULLNAME", "CITY", "DATE"]), a, min(len(text), a + rng.randrange(1, 12)), rng.choice([0.5, 0.95]), False, "model", k) for k in range(rng.randrange(5)) if text for a in [rng.randrange(len(text))]]
+        rows.append((i, text, "x"))
+        models.append((i, own))
+    model = spark.createDataFrame([m for m in models if m[1]], f"doc_id long, model_candidates array<{SPAN}>")
+    got = {r.doc_id: r for r in P.analyse(spark.createDataFrame(rows, "doc_id long, text string, n_chars string"), list(excluded), model=model).select("doc_id", "anonymized_text", "mapping", "n_entities", "segments", "entities", "excluded_tags").collect()}
+    for (i, text, _), (_, own) in zip(rows, models):
+        r = got[i]
+        assert (r.anonymized_text, r.mapping, r.n_entities) == brute_analysis(text, own, excluded), text
+        assert "".join(s.t for s in r.segments) == text and all(e.value == text[e.start : e.end] for e in r.entities) and list(r.excluded_tags) == sorted(excluded)
+
+
+def brute_scrub(text, entries):
+    """One value after the other, the longest first."""
+    counts = {}
+    for name, value, _ in sorted(entries, key=lambda e: (-len(e[1]), e[0])):
+        text, n = re.subn(P.value_pattern(value), name, text, flags=re.I)
+        counts[name] = n
+    return text, counts
+
+
+def test_scrub_equals_one_value_after_the_other():
+    rng = random.Random(8)
+    words = ["Mario", "Rossi", "ROSSI", "Anna", "Srl", "Bianchi-Neri", "a.b@c.it", "+39", "333", "Ros", "(Milano)"]
+    for _ in range(1500):
+        values = list({" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(rng.randrange(5))})
+        entries = [(f"[N_{i}]", v, sum(c.isalnum() for c in v) >= 2) for i, v in enumerate(values)]
+        glued = rng.random() < 0.3
+        text = "".join(rng.choice([*words, *values, "Ros-\nsi", "mario\n rossi"]) + rng.choice([" ", "" if glued else " ", ", ", "\n", "  "]) for _ in range(rng.randrange(10)))
+        done, counts, missing, skipped, residual = P.scrub_text(text, entries)
+        exp = brute_scrub(text, entries)
+        assert (done, counts) == exp or glued and sum(counts.values()) >= sum(exp[1].values()), (text, values)
+        assert missing == sorted(k for k, n in counts.items() if not n) and skipped == [] and residual == []
+
+
 TEXT = "Mail a.b@c.it e A.B@C.IT, poi x@y.it; P.IVA 00743110157, ancora a.b@c.it."
 
 

@@ -8,58 +8,64 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velatura.functions import checksums
+from velatura.functions import checksums, plain
 from velatura.functions.classes import unicode
 from velatura.functions.spans import SPAN, exploded, find, span
 
 
 @dataclass(frozen=True)
 class Detector:
-    """A label's pattern. strict: a match that fails the check is dropped; otherwise the check only sets `validated`.
+    """A label's pattern, written with \\w \\d \\s \\b. strict: a match that fails the check is dropped; otherwise the check only sets `validated`.
 
-    gate: the name in GATES of a cheap test of the whole text without which the pattern can't match. trim: characters that a match may not end in.
+    check and plain: the check as a Column and of one value. gate: the name in GATES of a cheap test of the whole text without which the
+    pattern can't match. trim: characters that a match may not end in. fold: upper and lower case are the same.
     """
 
     name: str
     label: str
-    pattern: str
+    source: str
     check: Callable[[Column], Column] | None = None
+    plain: Callable[[str], bool] | None = None
     strict: bool = True
     gate: str = "any"
     trim: str = ""
+    fold: bool = False
+
+    @property
+    def pattern(self) -> str:
+        """The pattern for the JVM, whose own classes are narrower."""
+        return ("(?iu)" if self.fold else "") + unicode(self.source)
 
 
 #: Tests of whole texts, each made once for all detectors that name it.
 GATES: dict[str, Callable[[Column], Column]] = {
     "any": lambda t: t.isNotNull(), "digit": lambda t: t.rlike(r"\p{Nd}"), "at": lambda t: F.contains(t, F.lit("@")), "dot": lambda t: t.rlike(r"://|[A-Za-z0-9]\.[A-Za-z0-9]"),
 }
-#: The patterns of the rule net. Word, digit and space classes are widened to Unicode by `unicode`.
+#: The patterns of the rule net.
 DETECTORS = (
     Detector("email", "EMAIL", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", gate="at"),
-    Detector("cf", "CF", unicode(r"\b[A-Za-z]{6}\d{2}[A-Za-z]\d{2}[A-Za-z]\d{3}[A-Za-z]\b"), checksums.tax_code_ok, strict=False, gate="digit"),
+    Detector("cf", "CF", r"\b[A-Za-z]{6}\d{2}[A-Za-z]\d{2}[A-Za-z]\d{3}[A-Za-z]\b", checksums.tax_code_ok, plain.tax_code_ok, strict=False, gate="digit"),
     Detector(
         "cf_omocodic", "CF",
-        unicode(r"\b[A-Za-z]{6}[\dLMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][\dLMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][\dLMNPQRSTUVlmnpqrstuv]{3}[A-Za-z]\b"), checksums.tax_code_ok,
+        r"\b[A-Za-z]{6}[\dLMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][\dLMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][\dLMNPQRSTUVlmnpqrstuv]{3}[A-Za-z]\b", checksums.tax_code_ok, plain.tax_code_ok,
     ),
-    Detector("iban", "IBAN", unicode(r"\b[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}\b"), checksums.iban_ok, gate="digit"),
-    Detector("card", "CREDITCARDNUMBER", unicode(r"(?<!\d)\d(?:[ .\-]?\d){12,18}(?!\d)"), checksums.luhn_ok, gate="digit"),
-    Detector("piva", "PIVA", unicode(r"(?<!\d)\d{11}(?!\d)"), checksums.vat_ok, gate="digit"),
-    Detector("phone", "TELEPHONENUM", unicode(r"(?<![\w.])(?:\+39[\s.\-]?)?(?:3\d{2}[\s.\-]?\d{3}[\s.\-]?\d{3,4}|0\d{1,3}[\s.\-]?\d{5,8})(?![\w])"), gate="digit"),
-    Detector("amount", "AMOUNT", "(?iu)" + unicode(r"(?:€|EUR|euro)\s?\d{1,3}(?:[.\s]\d{3})*(?:,\d{2})?|\d{1,3}(?:\.\d{3})*,\d{2}\s?(?:€|EUR|euro)"), gate="digit"),
-    Detector("plate", "TARGA", unicode(r"\b[A-Za-z]{2}[\s-]?\d{3}[\s-]?[A-Za-z]{2}\b"), gate="digit"),
+    Detector("iban", "IBAN", r"\b[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}\b", checksums.iban_ok, plain.iban_ok, gate="digit"),
+    Detector("card", "CREDITCARDNUMBER", r"(?<!\d)\d(?:[ .\-]?\d){12,18}(?!\d)", checksums.luhn_ok, plain.luhn_ok, gate="digit"),
+    Detector("piva", "PIVA", r"(?<!\d)\d{11}(?!\d)", checksums.vat_ok, plain.vat_ok, gate="digit"),
+    Detector("phone", "TELEPHONENUM", r"(?<![\w.])(?:\+39[\s.\-]?)?(?:3\d{2}[\s.\-]?\d{3}[\s.\-]?\d{3,4}|0\d{1,3}[\s.\-]?\d{5,8})(?![\w])", gate="digit"),
+    Detector("amount", "AMOUNT", r"(?:€|EUR|euro)\s?\d{1,3}(?:[.\s]\d{3})*(?:,\d{2})?|\d{1,3}(?:\.\d{3})*,\d{2}\s?(?:€|EUR|euro)", gate="digit", fold=True),
+    Detector("plate", "TARGA", r"\b[A-Za-z]{2}[\s-]?\d{3}[\s-]?[A-Za-z]{2}\b", gate="digit"),
     Detector(
         "url", "URL",
-        "(?iu)" + unicode(
-            r"(?:https?|ftp)://[^\s<>\"']+|www\.[A-Za-z0-9\-._~%]+\.[A-Za-z]{2,}(?:/[^\s<>\"']*)?"
-            r"|\b(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:it|com|net|org|eu|info|io|dev|app|gov|edu|cloud|online|site|blog)\b(?:/[^\s<>\"']*)?"
-        ),
-        gate="dot", trim=".,;:!?)]}»\"'",
+        r"(?:https?|ftp)://[^\s<>\"']+|www\.[A-Za-z0-9\-._~%]+\.[A-Za-z]{2,}(?:/[^\s<>\"']*)?"
+        r"|\b(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:it|com|net|org|eu|info|io|dev|app|gov|edu|cloud|online|site|blog)\b(?:/[^\s<>\"']*)?",
+        gate="dot", trim=".,;:!?)]}»\"'", fold=True,
     ),
     Detector(
         "docid", "DOCID",
-        "(?iu)" + unicode(r"\b(?:R\.?G\.?\s*N\.?R\.?|R\.?G\.?|RG|Prot\.?|protocollo|Rep\.?|repertorio)(?:\s*(?:n\.?|num\.?|nro\.?))?\s*\d{1,8}(?:[/\-]\d{2,4})?\b"), gate="digit",
+        r"\b(?:R\.?G\.?\s*N\.?R\.?|R\.?G\.?|RG|Prot\.?|protocollo|Rep\.?|repertorio)(?:\s*(?:n\.?|num\.?|nro\.?))?\s*\d{1,8}(?:[/\-]\d{2,4})?\b", gate="digit", fold=True,
     ),
-    Detector("date", "DATE", unicode(r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)\d{2}(?:\s+\d{1,2}[:.]\d{2})?(?!\d)"), gate="digit"),
+    Detector("date", "DATE", r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)\d{2}(?:\s+\d{1,2}[:.]\d{2})?(?!\d)", gate="digit"),
 )
 #: Labels whose shape alone is no evidence: their spans yield to those of a recogniser.
 SOFT_LABELS = ("DATE",)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from velatura.functions.plain import remainder
 from velatura.functions.spans import SPAN
 
 #: Length of an account number by country, as registered under ISO 13616.
@@ -16,17 +17,13 @@ AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24
 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27
 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27
 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"""))
-#: Most separators in a row, and longest group after which one may stand.
+#: Most separators in a row, longest group after which one may stand, and what a number begins with.
 MAX_SEPARATORS, MAX_GROUP = 3, 5
 _HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}")
 _SEPARATOR = re.compile(r"[\s\x1c-\x1f\x85.\-]+")
 _CODE = re.compile(r"[A-Za-z0-9]+")
 
 
-def _remainder(code: str) -> int:
-    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
-
-
 def _grouped(text: str, start: int, length: int) -> int | None:
     """End of a number of `length` characters that starts here in groups, or None."""
     groups: list[str] = []
@@ -52,7 +49,7 @@ def _grouped(text: str, start: int, length: int) -> int | None:
     if len(groups) > 1 and (len({len(g) for g in groups[:-1]}) > 1 or len(groups[-1]) > len(groups[0])):
         return None
     code = "".join(groups).upper()
-    return at if 15 <= len(code) <= 34 and _remainder(code) == 1 else None
+    return at if 15 <= len(code) <= 34 and remainder(code) == 1 else None
 
 
 def find_grouped(text: str) -> list[tuple[int, int]]:

@@ -1,22 +1,23 @@
 """From candidates to a pseudonymised text: selection, numbering, dictionary, rewriting, statistics and restoring.
 
-All steps stay inside a row, so a whole run over documents is one narrow stage without a shuffle. Selection within one row costs
-the number of candidates times that of kept spans; for single documents with tens of thousands of candidates
-`engine="arrow"` marks places instead, in time linear in the text.
+All steps stay inside a row, so a whole run over documents is one narrow stage without a shuffle. Steps that carry state along a text run
+as Arrow functions (operators.rows), in time linear in the text; as expressions they would scan what they have kept for each
+span. `merge` and `select_greedy` also exist as expressions only (engine="native"), for clusters without Python workers.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velatura.functions.classes import SPACE, WORD
-from velatura.functions.spans import SPAN, cut_out, exploded, find, fold, fuse, in_order, let, select_greedy, trim_space, widen_to_words
-from velatura.operators.detect import SOFT_LABELS, detect
+from velatura.functions.spans import SPAN, cut_out, exploded, find, fuse, in_order, let, select_greedy, trim_space, widen_to_words
+from velatura.operators import rows
+from velatura.operators.detect import DETECTORS, SOFT_LABELS, Detector
 
 #: Words of a window that a recogniser reads at once, and words that two windows share.
 WINDOW_WORDS, SHARED_WORDS = 120, 20
@@ -73,29 +74,18 @@ def exclude(candidates: Column, labels: list[str]) -> Column:
     return F.filter(candidates, lambda c: ~F.array_contains(unwanted, c["label"]))
 
 
-def _select_by_marks(text: Column, spans: Column) -> Column:
-    """As select_greedy, by marks on the text's places."""
+def find_candidates(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, grouped_iban: bool = True, text_col: str = "text", out: str = "candidates") -> DataFrame:
+    """The rows with the candidates of the rule net, for the steps below. (A planner of Spark 4.1 can't evaluate Arrow functions over columns that
+    hold nested lambdas, as those of operators.detect do.)"""
+    return docs.withColumn(out, rows.detect_column(F.col(text_col), detectors, grouped_iban))
 
-    def one(t: str, found) -> list[dict]:
-        free, kept = np.ones(len(t or ""), bool), []
-        rank = lambda s: (not s["validated"], s["source"] != "regex" or s["label"] in SOFT_LABELS, -s["score"], s["start"] - s["end"], s["ord"])
-        for s in sorted(found, key=rank):
-            if free[s["start"] : s["end"]].all():
-                free[s["start"] : s["end"]] = False
-                kept.append(s)
-        return kept
 
-    @F.pandas_udf(f"array<{SPAN}>")
-    def run(texts: pd.Series, every: pd.Series) -> pd.Series:
-        return pd.Series([one(t, s) if s is not None else [] for t, s in zip(texts, every)])
-
-    return run(text, spans)
-
-
-def merge(df: DataFrame, candidates_col: str = "candidates", text_col: str = "text", out: str = "spans", soft: tuple[str, ...] = SOFT_LABELS, engine: str = "native") -> DataFrame:
+def merge(df: DataFrame, candidates_col: str = "candidates", text_col: str = "text", out: str = "spans", soft: tuple[str, ...] = SOFT_LABELS, engine: str = "arrow") -> DataFrame:
     """The rows with disjoint spans in the order of places: selected by priority, trimmed, widened to whole words, and fused."""
     text = F.col(text_col)
-    chosen = select_greedy(F.col(candidates_col), F.array(*[F.lit(s) for s in soft])) if engine == "native" else _select_by_marks(text, F.col(candidates_col))
+    if engine == "arrow":
+        return df.withColumn(out, rows.merge_column(text, F.col(candidates_col), soft))
+    chosen = select_greedy(F.col(candidates_col), F.array(*[F.lit(s) for s in soft]))
     some = lambda c, make: F.when(F.size(c) > 0, make(c)).otherwise(F.array().cast(f"array<{SPAN}>"))
     df = df.withColumn(out, F.when(F.size(candidates_col) > 0, in_order(chosen)).otherwise(F.array().cast(f"array<{SPAN}>")))
     df = df.withColumn(out, some(F.col(out), lambda c: trim_space(c, text)))
@@ -108,28 +98,7 @@ def number(df: DataFrame, spans_col: str = "spans", text_col: str = "text", out:
 
     Within a document, equal values (folded) of a label share a placeholder [LABEL_k], numbered by first occurrence.
     """
-    valued = F.transform(spans_col, lambda s: F.struct(s.alias("s"), cut_out(F.col(text_col), s["start"], s["end"]).alias("value")))
-    keyed = F.transform(valued, lambda v: F.struct(v["s"].alias("s"), v["value"].alias("value"), F.struct(v["s"]["label"].alias("label"), fold(v["value"]).alias("norm")).alias("key")))
-    df = df.withColumn("__keyed", keyed).withColumn("__keys", F.transform("__keyed", lambda k: k["key"]))
-    df = df.withColumn("__distinct", F.array_distinct("__keys"))
-
-    def named(k: Column, i: Column) -> Column:
-        rank = F.array_position(F.filter("__distinct", lambda d: d["label"] == k["key"]["label"]), k["key"])
-        s = k["s"]
-        return F.struct(
-            s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), k["value"].alias("value"),
-            F.concat(F.lit("["), s["label"], F.lit("_"), rank.cast("string"), F.lit("]")).alias("placeholder"), s["source"].alias("source"),
-            s["validated"].alias("validated"), (F.array_position("__keys", k["key"]) == i + 1).alias("first"),
-        )
-
-    return df.withColumn(out, F.transform("__keyed", named)).drop("__keyed", "__keys", "__distinct")
-
-
-def literal_pieces(entities: Column, text: Column) -> Column:
-    """Texts between entities, one more than there are entities."""
-    starts = F.concat(F.array(F.lit(0)), F.transform(entities, lambda e: e["end"]))
-    ends = F.concat(F.transform(entities, lambda e: e["start"]), F.array(F.length(text)))
-    return F.zip_with(starts, ends, lambda a, b: cut_out(text, a, b))
+    return df.withColumn(out, rows.number_column(F.col(text_col), F.col(spans_col)))
 
 
 def rewrite(df: DataFrame, reversible: bool = True, entities_col: str = "entities", text_col: str = "text") -> DataFrame:
@@ -137,20 +106,7 @@ def rewrite(df: DataFrame, reversible: bool = True, entities_col: str = "entitie
 
     Segments alternate literal texts and entities; irreversible ones don't hold an entity's text.
     """
-    e, text = F.col(entities_col), F.col(text_col)
-    pieces = literal_pieces(e, text)
-    out = df.withColumn("__pieces", pieces)
-    names = F.transform(e, lambda x: x["placeholder"])
-    joined = F.concat(F.array_join(F.zip_with(F.slice("__pieces", 1, F.size(e)), names, lambda a, b: F.concat(a, b)), ""), F.element_at("__pieces", -1))
-    firsts = F.filter(e, lambda x: x["first"])
-    mapping = F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["placeholder"], x["value"]))) if reversible else F.create_map().cast("map<string,string>")
-    seg = lambda t, label, ph, src, ok: F.struct(t.alias("t"), label.alias("label"), ph.alias("ph"), src.alias("src"), ok.alias("validated"))
-    null = F.lit(None)
-    literal = lambda t: seg(t, null.cast("string"), null.cast("string"), null.cast("string"), null.cast("boolean"))
-    pairs = F.zip_with(F.slice("__pieces", 1, F.size(e)), e, lambda a, x: F.array(literal(a), seg(x["value"] if reversible else null.cast("string"), x["label"], x["placeholder"], x["source"], x["validated"])))
-    every = F.concat(F.flatten(pairs), F.array(literal(F.element_at("__pieces", -1))))
-    segments = F.filter(every, lambda s: s["label"].isNotNull() | (F.length(s["t"]) > 0))
-    return out.withColumn("anonymized_text", joined).withColumn("mapping", mapping).withColumn("segments", segments).drop("__pieces")
+    return df.select("*", rows.rewrite_column(F.col(text_col), F.col(entities_col), reversible).alias("__rewritten")).select("*", "__rewritten.*").drop("__rewritten")
 
 
 def statistics(df: DataFrame, entities_col: str = "entities", text_col: str = "text") -> DataFrame:
@@ -166,15 +122,14 @@ def statistics(df: DataFrame, entities_col: str = "entities", text_col: str = "t
     )
 
 
-def analyse(docs: DataFrame, excluded: list[str] | None = None, reversible: bool = True, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", engine: str = "native") -> DataFrame:
-    """Detection to statistics for every document. model: (id, model_candidates) of a recogniser; they come before the rules'."""
-    found = detect(docs, text_col)
+def analyse(docs: DataFrame, excluded: list[str] | None = None, reversible: bool = True, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Detection to statistics for every document, in one Arrow function. model: (id, model_candidates) of a recogniser; they come before the rules'."""
+    found, given = docs, None
     if model is not None:
-        found = found.join(model, id_col, "left").withColumn("candidates", F.concat(F.coalesce("model_candidates", F.array().cast(f"array<{SPAN}>")), "candidates")).drop("model_candidates")
-    if excluded:
-        found = found.withColumn("candidates", exclude(F.col("candidates"), excluded))
-    done = statistics(rewrite(number(merge(found, text_col=text_col, engine=engine), text_col=text_col), reversible, text_col=text_col), text_col=text_col)
-    return done.withColumn("excluded_tags", F.array(*[F.lit(x) for x in sorted(excluded or [])]).cast("array<string>")).drop("candidates", "spans")
+        found, given = docs.join(model, id_col, "left"), F.col("model_candidates")
+    made = rows.analyse_column(F.col(text_col), given, excluded or [], reversible, WINDOW_WORDS, SHARED_WORDS)
+    done = found.select(*[F.col(c) for c in docs.columns], made.alias("__made")).select(*docs.columns, "__made.*")
+    return done.withColumn("excluded_tags", F.array(*[F.lit(x) for x in sorted(excluded or [])]).cast("array<string>"))
 
 
 def dictionary(analysed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -184,27 +139,12 @@ def dictionary(analysed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def simple_mask(df: DataFrame, spans_col: str = "spans", text_col: str = "text", out: str = "masked") -> DataFrame:
     """Each span as [LABEL], without numbers."""
-    e, text = F.col(spans_col), F.col(text_col)
-    pieces = literal_pieces(e, text)
-    masks = F.transform(e, lambda s: F.concat(F.lit("["), s["label"], F.lit("]")))
-    return df.withColumn("__p", pieces).withColumn(out, F.concat(F.array_join(F.zip_with(F.slice("__p", 1, F.size(e)), masks, lambda a, b: F.concat(a, b)), ""), F.element_at("__p", -1))).drop("__p")
-
-
-#: Characters that mean something in Java's patterns.
-_SPECIAL = r"([\\.\[\]{}()*+?^$|])"
+    return df.withColumn(out, rows.mask_column(F.col(text_col), F.col(spans_col)))
 
 
 def restore(text: Column, mapping: Column) -> Column:
-    """The text with every placeholder replaced by its value, the longest names first. Brackets, spaces inside them and asterisks
-    around them are optional, and there is no boundary on the right: without its dictionary entry, [X_12] reads as X_1 and a 2."""
-    entries = F.array_sort(F.transform(F.map_entries(mapping), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"].alias("v"))))
-
-    def put(t: Column, e: Column) -> Column:
-        inner = F.regexp_replace(F.substring(e["k"], F.lit(2), F.length(e["k"]) - 2), _SPECIAL, r"\\$1")
-        pattern = F.concat(F.lit(rf"\**\[?[{SPACE}]*"), inner, F.lit(rf"[{SPACE}]*\]?\**"))
-        return F.regexp_replace(t, pattern, F.regexp_replace(e["v"], r"([\\$])", r"\\$1"))
-
-    return F.aggregate(entries, text, put)
+    """The text with every placeholder replaced by its value; see rows.restore."""
+    return rows.restore_column(text, mapping)
 
 
 def glued_placeholder(text: Column) -> Column:
@@ -239,6 +179,86 @@ def worth_searching(value: Column) -> Column:
     return (F.length(core) >= 2) & ~core.rlike(r"^\p{N}{2}$")
 
 
+class Scrubber:
+    """All values of one dictionary as two patterns (values that need a word boundary on the left, and others), each a tree of characters, so that
+    values with a common beginning are tried together."""
+
+    def __init__(self, entries: list[tuple[str, str]], breaks: bool):
+        """entries: (placeholder, value), the most important first; of equal values the first counts."""
+        self.entries, self.breaks = entries, breaks
+        trees: dict[tuple[str, str], dict] = {}
+        for k, (_, value) in enumerate(entries):
+            core, flat = sum(c.isalnum() for c in value), value.strip()
+            edge = lambda c: c.isalnum() or c == "_" or core < _UNANCHORED  # noqa: B023, E731
+            node = trees.setdefault(r"(?<!\w)" if edge(flat[0]) else "", {})
+            for i, word in enumerate(flat.split()):
+                for c in ([" "] if i else []) + list(word):
+                    node = node.setdefault(c if c == " " or len(c.lower()) > 1 else c.lower(), {})
+            node.setdefault("", (k, r"(?!\w)" if edge(flat[-1]) else ""))
+        self.patterns: list[tuple[re.Pattern, list[int]]] = []
+        for left, tree in trees.items():
+            order: list[int] = []  # entry of each group
+            self.patterns.append((re.compile(left + self._emit(tree, order), re.I), order))
+
+    def _emit(self, node: dict, order: list[int], inside: bool = False) -> str:
+        """A node's alternatives, longer values before the one that ends here. inside: the character before belongs to the same word."""
+        out = []
+        while len(node) == 1 and "" not in node:
+            (c, node), = node.items()
+            out += [_BREAK if inside and c != " " and self.breaks else "", r"\s+" if c == " " else re.escape(c)]
+            inside = c != " "
+        ways = [self._emit({c: below}, order, inside) for c, below in node.items() if c]
+        if "" in node:  # its group comes after those of the longer ones
+            order.append(node[""][0])
+            ways.append(node[""][1] + "()")
+        return "".join(out) + (ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})")
+
+    def found(self, text: str) -> list[tuple[int, int, int]]:
+        """(entry, start, end): at each place the longest value of each pattern that begins there."""
+        out = []
+        for pattern, order in self.patterns:
+            at = 0
+            while m := pattern.search(text, at):
+                out.append((order[m.lastindex - 1], m.start(), m.end()))
+                at = m.start() + 1
+        return out
+
+    def replace(self, text: str, counts: list[int]) -> str:
+        """The text with values replaced, more important ones first where they overlap, until none is left: what stands next to a replaced
+        value is set off from it."""
+        hits = sorted(self.found(text))
+        if not hits:
+            return text
+        taken, kept = bytearray(len(text)), []
+        for k, a, b in hits:
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\x01" * (b - a)
+                kept.append((a, b, k))
+                counts[k] += 1
+        out, at = [], 0
+        for a, b, k in [*sorted(kept), (len(text), len(text), -1)]:
+            out.append(self.replace(text[at:a], counts) if a > at else "")
+            out.append(self.entries[k][0] if k >= 0 else "")
+            at = b
+        return "".join(out)
+
+
+def scrub_text(text: str, entries: list[tuple[str, str, bool]]) -> tuple[str, dict[str, int], list[str], list[str], list[str]]:
+    """scrubbed, occurrences, not_found, skipped and residual of one text; entries: (placeholder, value, whether to search for it)."""
+    entries = sorted(entries, key=lambda e: (-len(e[1]), e[0]))
+    used = [(name, value) for name, value, use in entries if use]
+    scrubber, counts = Scrubber(used, "\n" in text), [0] * len(used)
+    done = scrubber.replace(text, counts)
+    totals: dict[str, int] = {}
+    for (name, _), n in zip(used, counts):
+        totals[name] = totals.get(name, 0) + n
+    bare = re.sub(r"\[[A-Z_]+_\d+\]", "\0", done)  # what stands on both sides of a placeholder is not one value
+    residual = []
+    if scrubber.found(bare):  # which ones is told by each value's own pattern
+        residual = [name for name, value in used if re.search(value_pattern(value, "\n" in text), bare, re.I)]
+    return done, totals, sorted(n for n, c in totals.items() if not c), sorted(n for n, _, use in entries if not use), sorted(residual)
+
+
 def scrub(texts: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts with the values of their document's dictionary (id, placeholder, value) replaced, longest first, and what was found:
     scrubbed, occurrences (placeholder to count), not_found, skipped, residual (placeholders whose value is still readable).
@@ -246,23 +266,12 @@ def scrub(texts: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col
     Each document's own dictionary is gathered with it; a document without one stays as it is.
     """
     gathered = entries.groupBy(id_col).agg(F.collect_list(F.struct("placeholder", "value", worth_searching(F.col("value")).alias("use"))).alias("entries"))
-    kind = "struct<scrubbed:string,occurrences:map<string,bigint>,not_found:array<string>,skipped:array<string>,residual:array<string>>"
+    names = pa.list_(pa.string())
 
-    @F.pandas_udf(kind)
-    def run(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, every in zip(text, found):
-            counts, missing, residual, t = {}, [], [], t or ""
-            every = sorted([] if every is None else list(every), key=lambda e: (-len(e["value"]), e["placeholder"]))
-            used = [(e["placeholder"], re.compile(value_pattern(e["value"], "\n" in t), re.I)) for e in every if e["use"]]
-            for name, pattern in used:
-                t, n = pattern.subn(lambda m, name=name: name, t)
-                counts[name] = n
-                if not n:
-                    missing.append(name)
-            bare = re.sub(r"\[[A-Z_]+_\d+\]", " ", t)
-            residual = [name for name, pattern in used if pattern.search(bare)]
-            out.append((t, counts, sorted(missing), sorted(e["placeholder"] for e in every if not e["use"]), sorted(residual)))
-        return pd.DataFrame(out, columns=["scrubbed", "occurrences", "not_found", "skipped", "residual"])
-
-    return texts.join(gathered, id_col, "left").withColumn("r", run(F.col(text_col), F.col("entries"))).drop("entries").select("*", "r.*").drop("r")
+    def run(text: pa.Array, found: pa.Array) -> pa.Array:
+        done = [scrub_text(t or "", own) for t, own in zip(text.to_pylist(), rows.tuples(found))]
+        plain = lambda k, kind: pa.array([d[k] for d in done], kind)
+        return pa.StructArray.from_arrays([plain(0, pa.string()), rows.maps([d[1] for d in done], pa.int64()), *[plain(k, names) for k in (2, 3, 4)]], ["scrubbed", "occurrences", "not_found", "skipped", "residual"])
+
+    kind = "struct<scrubbed:string,occurrences:map<string,bigint>,not_found:array<string>,skipped:array<string>,residual:array<string>>"
+    return texts.join(gathered, id_col, "left").withColumn("r", rows.per_row(kind, run, F.col(text_col), F.col("entries"))).drop("entries").select("*", "r.*").drop("r")
