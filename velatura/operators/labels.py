@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def decode_spans(literal: Column) -> Column:
 
 def label_type(label: Column) -> Column:
     """The label without B- or I-; null for O."""
-    return F.when(label != "O", F.substring(label, 3, 1000))
+    return F.when(label != "O", F.substring(label, F.lit(3), F.length(label)))
 
 
 def normalise(labels: Column) -> Column:
@@ -103,7 +104,7 @@ def label_span_rows(rows: DataFrame, id_col: str = "row_id", labels_col: str = "
 def label_vocabulary(rows: DataFrame, labels_col: str = "bio_labels") -> DataFrame:
     """label, label_id: all labels of the rows, with an I- for every B-, numbered in their order."""
     seen = rows.select(F.explode(labels_col).alias("label")).distinct()
-    inner = seen.filter(F.col("label").startswith("B-")).select(F.concat(F.lit("I-"), F.substring("label", 3, 1000)).alias("label"))
+    inner = seen.filter(F.col("label").startswith("B-")).select(F.concat(F.lit("I-"), F.expr("substring(label, 3)")).alias("label"))
     every = seen.unionByName(inner).distinct()
     # A vocabulary has twice as many rows as there are kinds of entity, so numbering it in one place is bounded.
     return every.withColumn("label_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint"))
@@ -131,7 +132,7 @@ def recase(words: Column, labels: Column, row: Column, seed: int = 0) -> Column:
     """A row's tokens under changed case, for training: 35 % all lower, 10 % all upper, 8 % either for each token, 22 % only the
     tokens of names and places (lower, upper or capitalised), 25 % as they are. Draws depend on seed and row."""
     r, how = draw(seed, row, F.lit("recase")), draw(seed, row, F.lit("how"))
-    capital = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 100000)))
+    capital = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, F.lit(2), F.length(t))))
     coin = lambda i: draw(seed, row, i, F.lit("coin")) < 0.5
 
     def name(t: Column, i: Column) -> Column:
@@ -156,7 +157,7 @@ def _first_error(text: Column, words: Column, labels: Column, entities: Column)
     bad = lambda label, ok: F.exists(entities, lambda e: (e["label"] == label) & ~ok(e["value"]))
     return (
         F.when(F.size(words) != F.size(labels), "length")
-        .when(F.exists(labels, lambda x: (x != "O") & strange(F.substring(x, 3, 1000))), "bio label")
+        .when(F.exists(labels, lambda x: (x != "O") & strange(F.substring(x, F.lit(3), F.length(x)))), "bio label")
         .when(F.exists(entities, lambda e: ~cut_out(text, e["start"], e["end"]).eqNullSafe(e["value"])), "offset")
         .when(F.exists(entities, lambda e: strange(e["label"])), "entity label")
         .when(bad("CF", checksums.tax_code_ok), "cf").when(bad("PIVA", checksums.vat_ok_strict), "piva").when(bad("IBAN", checksums.iban_ok), "iban")
@@ -175,3 +176,26 @@ def _derivation_error(text: Column, words: Column, labels: Column, entities: Col
         .when(labels != bio_labels(token_spans(text), entities), "labels")
         .when(F.exists(entities, lambda e: (e["label"] == "PIVA") & ~checksums.vat_ok_strict(e["value"])), "piva")
     )
+
+
+def derivation_error_arrow(text: Column, words: Column, labels: Column, entities: Column) -> Column:
+    """derivation_error as an Arrow function, in time linear in the text; entities are structs of value, label, start and end."""
+    from velatura.functions import plain
+    from velatura.operators import rows
+
+    def one(text: str, words: list, labels: list, entities: list[tuple]) -> str | None:
+        own = rows.tokens(text)
+        if words != [w for w, _, _ in own]:
+            return "tokens"
+        if len(words) != len(labels):
+            return "length"
+        if any(text[a:b] != value for value, _, a, b in entities):
+            return "offset"
+        if labels != rows.bio_labels(own, [(a, b, label) for _, label, a, b in entities]):
+            return "labels"
+        return "piva" if any(label == "PIVA" and not (value.isdigit() and plain.vat_ok(value)) for value, label, _, _ in entities) else None
+
+    def run(texts: pa.Array, words: pa.Array, labels: pa.Array, entities: pa.Array) -> pa.Array:
+        return pa.array([one(t or "", w or [], x or [], e) for t, w, x, e in zip(texts.to_pylist(), words.to_pylist(), labels.to_pylist(), rows.tuples(entities))], pa.string())
+
+    return rows.per_row("string", run, text, words, labels, entities)
