@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velatura.functions.lineage import reliable
 from velatura.operators.labels import draw
 
 
@@ -21,10 +22,14 @@ def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
 
 
 def drop_exact(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The row with the smallest id of each text. Only ids and digests shuffle; a hot text is summed up before it does."""
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    first = df.select(digest.alias("d"), F.col(text_col).isNull().alias("n"), F.col(id_col).alias("__first")).groupBy("d", "n").agg(F.min("__first").alias("__first"))
-    return df.join(first.select("__first"), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi").dropDuplicates([id_col])
+    """The row with the smallest id of each text, null being the largest; of rows that are equal in both, one. Ids and digests tell which;
+    a hot text is summed up before they shuffle."""
+    digest = F.when(F.col(text_col).isNull(), F.lit("")).otherwise(F.sha2(F.col(text_col).cast("binary"), 256))
+    packed = df.select(F.col(id_col).alias("id"), digest.alias("digest"), F.struct("*").alias("row"))
+    index = packed.select("id", "digest")
+    first = index.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id")).alias("k")).select(F.col("k.id").alias("own"), F.col("digest").alias("of"))
+    kept = packed.join(first, F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left_semi")
+    return kept.dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def structure_key(template: Column, entities: Column) -> Column:
@@ -55,7 +60,7 @@ def stratified_sample(df: DataFrame, size: int, id_col: str, strata: list[str],
     Later tags count what earlier ones took, so tags go one after the other (there are some twenty); each step ranks candidates
     by a hash of the id and keeps ids only. The subset is a list of ids, joined with the rows at the end.
     """
-    index = df.select(F.col(id_col).alias("__id"), *strata, F.col(tags_col).alias("__tags"), draw(seed, F.col(id_col)).alias("__u")).persist()
+    index = reliable(df.select(F.col(id_col).alias("__id"), *strata, F.col(tags_col).alias("__tags"), draw(seed, F.col(id_col)).alias("__u")))
     total = index.count()
     size = min(size, total)
     tags = tag_counts(index, "__tags").orderBy("n_rows", "tag").collect()  # one row for each kind of entity
@@ -69,7 +74,7 @@ def stratified_sample(df: DataFrame, size: int, id_col: str, strata: list[str],
         take = min(need - have, size - n_chosen)
         if take > 0:
             more = own.join(chosen, "__id", "left_anti").orderBy("__u", "__id").limit(take).select("__id")
-            chosen = chosen.unionByName(more).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else chosen.unionByName(more).persist()
+            chosen = reliable(chosen.unionByName(more))
             n_chosen = chosen.count()
     taken = index.join(chosen, "__id", "left_semi").groupBy(*strata).agg(F.count(F.lit(1)).alias("__have"))
     quota = index.groupBy(*strata).agg(F.count(F.lit(1)).alias("__pool")).join(taken, strata, "left")
@@ -77,7 +82,7 @@ def stratified_sample(df: DataFrame, size: int, id_col: str, strata: list[str],
     before = Window.orderBy(F.desc("__pool"), *strata).rowsBetween(Window.unboundedPreceding, -1)  # over strata, not rows
     quota = quota.withColumn("__deficit", F.greatest("__deficit", F.lit(0))).withColumn("__room", F.lit(size - n_chosen) - F.coalesce(F.sum("__deficit").over(before), F.lit(0)))
     rest = index.join(chosen, "__id", "left_anti").withColumn("__k", F.row_number().over(Window.partitionBy(*strata).orderBy("__u", "__id")))
-    chosen = chosen.unionByName(rest.join(quota, strata).filter(F.col("__k") <= F.least("__deficit", "__room")).select("__id")).persist()
+    chosen = reliable(chosen.unionByName(rest.join(quota, strata).filter(F.col("__k") <= F.least("__deficit", "__room")).select("__id")))
     short = size - chosen.count()
     if short > 0:
         chosen = chosen.unionByName(index.join(chosen, "__id", "left_anti").orderBy("__u", "__id").limit(short).select("__id"))
@@ -132,11 +137,11 @@ def absence(df: DataFrame, tags_col: str, tag: str, text_col: str, pattern: str)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(tagged).alias("n_tagged"), F.count_if(named).alias("n_keyword"), F.count_if(named & ~F.coalesce(tagged, F.lit(False))).alias("n_keyword_only"))
 
 
-def latest_version(df: DataFrame, name_col: str, pattern: str = r"-v([0-9][0-9.]*)$") -> DataFrame:
-    """The row whose version, compared number by number, is the largest."""
+def latest_version(df: DataFrame, name_col: str, pattern: str = r"-v([0-9][0-9.]*)$", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The row (of each key) whose version, compared number by number, is the largest."""
     version = F.transform(F.filter(F.split(F.regexp_extract(name_col, pattern, 1), r"\."), lambda x: x != ""), lambda x: x.cast("int"))
     found = df.withColumn("version", version).filter(F.size("version") > 0)
-    return found.agg(F.max_by(name_col, "version").alias(name_col), F.array_join(F.max("version").cast("array<string>"), ".").alias("version"))
+    return found.groupBy(*keys).agg(F.max_by(name_col, "version").alias(name_col), F.array_join(F.max("version").cast("array<string>"), ".").alias("version"))
 
 
 def by_length(df: DataFrame, length: Column, n: int | None = None) -> DataFrame:
@@ -145,29 +150,60 @@ def by_length(df: DataFrame, length: Column, n: int | None = None) -> DataFrame:
     return (ranged.repartitionByRange(n, "__n") if n else ranged.repartitionByRange("__n")).sortWithinPartitions("__n").drop("__n")
 
 
-def template_weights(templates: DataFrame, boosts: DataFrame, tags_col: str = "tags", id_col: str = "id") -> DataFrame:
-    """id, weight: the largest boost of the tags that a template covers; 1 without any. boosts: tag, weight (a few rows)."""
-    each = templates.select(id_col, F.explode_outer(tags_col).alias("tag")).join(F.broadcast(boosts.limit(1000)), "tag", "left")
-    return each.groupBy(id_col).agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+#: Rows up to which a bank of templates, or a table of boosts, goes to all tasks; longer ones are joined. Parts that a long bank is summed in.
+BANK_ROWS = 10_000
+PARTS = 200
 
 
-#: Most templates that a bank may hold.
-BANK_ROWS = 10_000
+def _few(df: DataFrame, limit: int) -> bool:
+    return df.limit(limit + 1).count() <= limit
+
+
+def template_weights(templates: DataFrame, boosts: DataFrame, tags_col: str = "tags", id_col: str = "id", few_rows: int = BANK_ROWS) -> DataFrame:
+    """id, weight: the largest boost of the tags that a template covers; 1 without any. boosts: tag, weight."""
+    boosts = boosts.groupBy("tag").agg(F.max("weight").alias("weight"))
+    each = templates.select(id_col, F.explode_outer(tags_col).alias("tag")).join(F.broadcast(boosts) if _few(boosts, few_rows) else boosts, "tag", "left")
+    return each.groupBy(id_col).agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
 
 
-def weighted_choice(keys: DataFrame, weights: DataFrame, id_col: str = "id", u_col: str = "u") -> DataFrame:
-    """keys with a template each: the draw u (0 to 1) falls into a template's share of the weights. The bank (id, weight) becomes
-    a literal of the plan, behind a check of its size."""
-    bank = weights.select(id_col, "weight").orderBy(id_col).limit(BANK_ROWS + 1).collect()
-    if not 0 < len(bank) <= BANK_ROWS:
-        raise ValueError(f"a bank has 1 to {BANK_ROWS} templates")
-    total, ends, ids = 0.0, [], []
-    for r in bank:
+def weighted_choice(keys: DataFrame, weights: DataFrame, id_col: str = "id", u_col: str = "u", few_rows: int = BANK_ROWS) -> DataFrame:
+    """keys with a template each: the draw u (0 to 1) falls into a template's share of the weights, templates in the order of ids.
+
+    A short bank (id, weight) becomes a literal of the plan; a longer one is joined by the cells of a raster that its shares lie in.
+    """
+    bank = weights.select(F.col(id_col).alias("id"), "weight")
+    if bank.isEmpty():
+        raise ValueError("a bank has one template at least")
+    if _few(bank, few_rows):
+        rows = bank.orderBy("id").collect()
+        total, ends, ids = 0.0, [], []
+        for r in rows:
+            total += r["weight"]
+            ends.append(total)
+            ids.append(r["id"])
+        place = F.size(F.filter(F.lit(ends), lambda e: e <= F.col(u_col) * total))
+        return keys.withColumn(id_col, F.get(F.lit(ids), F.least(place, F.lit(len(ids) - 1))))
+    # Sums of weights over ranges of ids first, then inside each, so that no task sees the whole bank.
+    bank = reliable(bank.repartitionByRange(PARTS, "id").withColumn("part", F.spark_partition_id()))
+    sums = bank.groupBy("part").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row for each part
+    begins, total, n = {}, 0.0, sum(r["n"] for r in sums)
+    for r in sums:
+        begins[r["part"]] = total
         total += r["weight"]
-        ends.append(total)
-        ids.append(r[id_col])
-    place = F.size(F.filter(F.lit(ends), lambda e: e <= F.col(u_col) * total))
-    return keys.withColumn(id_col, F.get(F.lit(ids), F.least(place, F.lit(len(ids) - 1))))
+    after = dict(zip(begins, [*list(begins.values())[1:], total]))
+    of = lambda m: F.element_at(F.create_map(*[F.lit(x) for pair in m.items() for x in pair]), F.col("part"))
+    before = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    shares = bank.withColumn("start", of(begins) + F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    shares = shares.withColumn("end", F.coalesce(F.lead("start").over(Window.partitionBy("part").orderBy("id")), of(after)))
+    # Equal cells of the range of weights, as many as templates: a share lies in some of them, a draw in one.
+    cell = lambda c: F.least(F.floor(c / total * n), F.lit(n - 1))
+    cells = shares.filter("end > start").select("id", "start", "end", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell"))
+    names = {c: f"__{c}" for c in ("id", "start", "end", "cell")}
+    cells = cells.select(*[F.col(c).alias(x) for c, x in names.items()])
+    place = F.least(F.col(u_col) * total, F.lit(total * (1 - 2**-52)))
+    inside = (cell(place) == F.col("__cell")) & (F.col("__start") <= place) & (place < F.col("__end"))
+    joined = keys.join(cells, inside, "left")
+    return joined.select(*[F.col(c) for c in keys.columns if c != id_col], F.col("__id").alias(id_col))
 
 
 def parse_tags(value) -> list[str]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,11 +61,31 @@ def span_corpus_counts(df: DataFrame) -> DataFrame:
     return each.groupBy(F.coalesce("final", "base").alias("type"), F.col("final").isNotNull().alias("kept")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def index_rows(df: DataFrame, file: str) -> DataFrame:
-    """What a selection needs of each row, without its tokens: row_id, file, language, tags."""
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """row_id, file and value of each line. The id is made of the file's name, the line's digest, and a number among equal lines of the file, so
+    it doesn't depend on how files are split or in what order they are read; equal lines are interchangeable."""
+    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value").withColumn("digest", F.sha2("value", 256))
+    again = Window.partitionBy("file", "digest").orderBy(F.lit(0))
+    return raw.withColumn("row_id", F.sha2(F.concat_ws("#", "file", "digest", (F.row_number().over(again)).cast("string")), 256)).select("row_id", "file", "value")
+
+
+def index_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """What a selection needs of each usable example of JSON lines files, without its tokens: row_id, file, language, tags. Missing files are
+    left out."""
     from velatura.operators.labels import normalise, tags_of
 
-    return df.select(F.monotonically_increasing_id().alias("row_id"), F.lit(file).alias("file"), "language", tags_of(normalise(F.col("bio_labels"))).alias("tags"))
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], "row_id string, file string, language string, tags array<string>")
+    parsed = _lines(spark, there).select("row_id", "file", F.from_json("value", "language string, tokens array<string>, bio_labels array<string>").alias("e")).select("row_id", "file", "e.*")
+    parsed = parsed.filter(usable(F.col("tokens"), F.col("bio_labels")))
+    return parsed.select("row_id", "file", F.coalesce(F.nullif("language", F.lit("")), F.lit("it")).alias("language"), tags_of(normalise(F.col("bio_labels"))).alias("tags"))
+
+
+def reread(spark: SparkSession, paths: list[str], chosen: DataFrame) -> DataFrame:
+    """The examples of the files whose row_id, as index_rows gives it, is among the chosen ones (a column row_id)."""
+    lines = _lines(spark, existing(spark, paths)).join(chosen.select("row_id"), "row_id", "left_semi")
+    return lines.select("row_id", F.from_json("value", EXAMPLE_SCHEMA).alias("e")).select("row_id", "e.*").withColumn("language", F.coalesce(F.nullif("language", F.lit("")), F.lit("it")))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

@@ -32,10 +32,28 @@ def upsert(registry: DataFrame, new: DataFrame, key: str, order: str) -> DataFra
     return registry.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True).orderBy(order)
 
 
-def write_registry(spark: SparkSession, path: str, new: DataFrame, key: str, order: str) -> None:
-    """Replace the registry at a path by one with new rows; the old one is read before it goes."""
+def _states(spark: SparkSession, path: str) -> list[str]:
+    """Folders of whole states of a registry, the oldest first. A state is whole once Spark's commit has marked it."""
     from velatura.sources.readers import existing
 
-    old = spark.read.json(f"{path}/current") if existing(spark, [f"{path}/current"]) else new.limit(0)
-    upsert(old, new, key, order).coalesce(1).write.mode("overwrite").json(f"{path}/next")
-    spark.read.json(f"{path}/next").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    if not existing(spark, [f"{path}/state-*/_SUCCESS"]):
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state-*/_SUCCESS")
+    return sorted(str(f.getPath().getParent()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame | None:
+    """The registry's last whole state; None if there is none yet."""
+    states = _states(spark, path)
+    return spark.read.json(states[-1]) if states else None
+
+
+def write_registry(spark: SparkSession, path: str, new: DataFrame, key: str, order: str) -> None:
+    """Replace the rows of equal keys in the registry at a path. The new state is written beside the last one, which counts until the commit and
+    goes after it, so a crash at any time leaves a whole registry."""
+    states, old = _states(spark, path), read_registry(spark, path)
+    number = int(states[-1].rsplit("-", 1)[1]) + 1 if states else 0
+    upsert(new.limit(0) if old is None else old, new, key, order).coalesce(1).write.mode("overwrite").json(f"{path}/state-{number:012d}")
+    for state in states:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(state)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
