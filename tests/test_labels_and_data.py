@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -68,6 +69,85 @@ def test_dataset_operators(spark):
     assert dataset.latest_version(v, "n").first().n == "m-v1.10"
 
 
+def test_drop_exact_keeps_every_distinct_text(spark):
+    rows = [(5, "A"), (5, "B"), (3, "C"), (5, "A"), (None, "A"), (None, "D"), (None, "D"), (7, None), (6, None), (8, ""), (2, "C")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("d", F.lit(1)).withColumn("row", F.lit(2))
+    assert Counter((r.id, r.text) for r in dataset.drop_exact(df, "text", "id").collect()) == Counter([(5, "A"), (5, "B"), (2, "C"), (None, "D"), (6, None), (8, "")])
+
+
+def test_weights_and_choice_on_both_sides_of_their_limit(spark):
+    boosts = spark.createDataFrame([(f"T{i}", float(1 + i % 9)) for i in range(2000)] + [("T5", 2.0)], "tag string, weight double")
+    templates = spark.createDataFrame([(i, [f"T{i}", f"T{i + 1}"] if i % 10 else []) for i in range(300)], "id long, tags array<string>")
+    of = lambda i: float(1 + i % 9)
+    exp = {i: max(of(i), of(i + 1)) if i % 10 else 1.0 for i in range(300)}
+    keys = spark.createDataFrame([(k, k / 997) for k in range(997)] + [(997, 1.0), (998, 0.0)], "k long, u double")
+    total, ends = sum(exp.values()), []
+    for i in range(300):
+        ends.append((ends[-1] if ends else 0.0) + exp[i])
+    for few in (10_000, 10):
+        weights = dataset.template_weights(templates, boosts, few_rows=few)
+        assert {r.id: r.weight for r in weights.collect()} == exp
+        got = {r.k: r.id for r in dataset.weighted_choice(keys, weights, few_rows=few).collect()}
+        assert got == {k: min(299, sum(e <= u * total for e in ends)) for k, u in [(k, k / 997) for k in range(997)] + [(997, 1.0), (998, 0.0)]}
+
+
+def test_long_labels_and_tokens_stay_whole(spark):
+    long = "B-" + "X" * 5000
+    df = spark.createDataFrame([(1, [long, "O"], ["ab" * 80_000, "c"])], "row_id long, bio_labels array<string>, tokens array<string>")
+    r = df.select(labels.tags_of(F.col("bio_labels")).alias("t")).first()
+    assert list(r.t) == ["X" * 5000]
+    assert {x.label for x in labels.label_vocabulary(df).collect()} == {long, "I" + long[1:], "O"}
+    cases = df.select(F.explode(F.sequence(F.lit(1), F.lit(60))).alias("s"), "*")
+    for r in cases.select(labels.recase(F.col("tokens"), F.transform("tokens", lambda _: F.lit("B-CITY")), F.col("s")).alias("x")).collect():
+        assert [len(t) for t in r.x] == [160_000, 1]
+
+
+def test_grammar_fills_every_slot():
+    """Every slot: places are exact, labels are those it may bring, check digits are right, codes have their legal lengths."""
+    from velatura.functions import plain
+
+    shapes = {"CIG": r"[A-Z0-9]{10}", "CUP": r"[A-Z]\d\d[A-Z]\d{11}", "CONTO": r"\d{12}", "IDCARDNUM": r"C[A-Z]\d{5}[A-Z]{2}", "TARGA": rf"[{generate.PLATE_LETTERS}]{{2}} \d{{3}} [{generate.PLATE_LETTERS}]{{2}}", "PROVINCE": "[A-Z]{2}", "ZIPCODE": r"\d{5}"}
+    kinds = Counter()
+    for slot in generate.SLOTS:
+        for i in range(150):
+            text, entities = generate.filled(f"x {{{slot}}}.", generate.Draws(3, i))
+            assert text.startswith("x ") and text.endswith(".") and {e[1] for e in entities} <= generate.SLOT_LABELS[slot]
+            assert entities or slot == "TRIBUNAL"
+            for value, label, a, b in entities:
+                assert text[a:b] == value and value
+                kinds[label] += 1
+                assert re.fullmatch(shapes.get(label, ".+"), value, re.S), (label, value)
+                assert {"CF": plain.tax_code_ok, "PIVA": plain.vat_ok, "IBAN": plain.iban_ok}.get(label, bool)(value)
+    assert len(generate.SLOTS) == 33 and set(kinds) == set().union(*generate.SLOT_LABELS.values())
+
+
+def test_ten_kinds_of_organisations():
+    names = {generate.filled("{ORG}", generate.Draws(1, i))[0] for i in range(3000)}
+    assert len(generate.GENERATOR.rules["ORG"][1]) == 10
+    for part in ("GmbH", "gmbh", "srl", "S.R.L.", "Studio Legale", "& Associati", "Banca ", "Consorzio", "F.lli", "& Figli", "Group", "Northwind"):
+        assert any(part in n for n in names), part
+    assert any(re.fullmatch("[A-Z]{2,4}", n) for n in names) and "Zelvia" in names
+
+
+def test_contribution_goes_on_until_it_has_enough(spark):
+    few = ("Appalto CIG {CIG}.", "Provincia {PROVINCE}.")
+    got = generate.contribution(spark, 40, 1, templates=few, cap=100, exhausted=300).collect()
+    assert len(got) == 40 == len({r.source_text for r in got})
+    # The second template can give eight texts only, and the first is capped.
+    got = generate.contribution(spark, 500, 1, templates=few, cap=60, exhausted=300).collect()
+    assert Counter(r.template_id for r in got) == {0: 60, 1: 8}
+
+
+def test_template_bank_grows(spark):
+    bank = spark.createDataFrame([(i, *x) for i, x in enumerate(generate.BANK)], "id int, doc_type string, text string")
+    drafts = spark.createDataFrame([(1, "a", "```txt\nNuovo: {EMAIL}\\n```"), (2, "a", "niente"), (3, "b", "{ZZZ}"), (4, "b", generate.BANK[0][1]), (5, "b", "Nuovo: {EMAIL}"), (6, "c", "Altro {CF}")], "n int, doc_type string, text string")
+    grown, refused = generate.append_templates(bank, drafts)
+    n = len(generate.BANK)
+    assert [(r.id, r.text) for r in grown.filter(F.col("id") >= n).orderBy("id").collect()] == [(n, "Nuovo: {EMAIL}"), (n + 1, "Altro {CF}")]
+    assert {r.n: r.error for r in refused.collect()} == {2: "no slots", 3: "unknown slots", 4: "known", 5: "known"}
+    assert bank.filter(generate.template_error(F.col("text")).isNotNull()).count() == 0
+
+
 def test_plates_and_augmentation(spark):
     plates = generate.plate_corpus(spark, 200, 2).collect()
     assert len({r.source_text for r in plates}) == len(plates)
@@ -91,9 +171,13 @@ def test_sources_and_sinks(spark, tmp_path):
     spark.createDataFrame([("Ciao Mario Rossi", "[(5, 10, 'FIRSTNAME_1'), (11, 16, 'LASTNAME_1'), (0, 4, 'O')]")], "unmasked_text string, span_labels string").write.parquet(str(tmp_path / "p"))
     assert list(readers.read_span_corpus(spark, str(tmp_path / "p")).first().bio_labels) == ["O", "B-FULLNAME", "B-FULLNAME"]
     one = spark.createDataFrame([("v1", 1, 0.5)], "v string, t int, f double")
+    at = str(tmp_path / "r")
+    assert writers.read_registry(spark, at) is None
     for f in (0.5, 0.7):
-        writers.write_registry(spark, str(tmp_path / "r"), one.withColumn("f", F.lit(f)), "v", "t")
-    assert [r.f for r in spark.read.json(str(tmp_path / "r/current")).collect()] == [0.7]
+        writers.write_registry(spark, at, one.withColumn("f", F.lit(f)), "v", "t")
+    writers.write_registry(spark, at, one.withColumn("v", F.lit("v0")).withColumn("t", F.lit(0)), "v", "t")
+    (tmp_path / "r" / "state-000000000099").mkdir()  # what a crash before the commit leaves
+    assert [(r.v, r.f) for r in writers.read_registry(spark, at).orderBy("t").collect()] == [("v0", 0.5), ("v1", 0.7)]
 
 
 def test_stream(spark, tmp_path):
@@ -102,3 +186,64 @@ def test_stream(spark, tmp_path):
     streaming.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "dict")).awaitTermination(120)
     assert {r.doc_id: r.anonymized_text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "[EMAIL_1]", 2: "x"}
     assert spark.read.parquet(str(tmp_path / "dict")).first().value == "a.b@c.it"
+
+
+def test_stable_ids_of_rows(spark, tmp_path):
+    lines = [f'{{"language": "{"it" if i % 3 else ""}", "tokens": ["a{i % 7}", "b"], "bio_labels": ["B-CITY", "{"O" if i % 2 else "B-CF"}"], "source_text": "t{i % 7}"}}' for i in range(40)] + ["not json", '{"tokens": ["x"], "bio_labels": []}']
+    for name, order in (("one", lines), ("two", lines[::-1])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.jsonl").write_text("\n".join(order) + "\n")
+    paths = [str(tmp_path / "one" / "f.jsonl"), str(tmp_path / "missing.jsonl")]
+    index = readers.index_rows(spark, paths)
+    ids = {r.row_id for r in index.collect()}
+    assert len(ids) == 40 == index.count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        assert {r.row_id for r in readers.index_rows(spark, paths).collect()} == ids
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    chosen = index.filter(F.array_contains("tags", "CF"))
+    assert Counter(r.source_text for r in readers.reread(spark, paths, chosen).collect()) == Counter(f"t{i % 7}" for i in range(0, 40, 2))
+    assert readers.index_rows(spark, [str(tmp_path / "no")]).count() == 0
+
+
+def test_stratified_sample_equals_plain_steps(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), rng.choice("xyz"), rng.choice([["A"], ["A", "B"], [], ["C"] if i % 40 == 0 else ["A"]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, s string, l string, tags array<string>")
+    u = {r.id: r.u for r in df.select("id", labels.draw(7, F.col("id")).alias("u")).collect()}
+    size, floors, chosen = 90, {"C": 6, "B": 30}, []
+    order = sorted(rows, key=lambda r: (u[r[0]], r[0]))
+    counts = Counter(t for r in rows for t in r[3])
+    for tag, _ in sorted(counts.items(), key=lambda x: (x[1], x[0])):
+        have = sum(tag in r[3] for r in rows if r[0] in chosen)
+        need = min(floors.get(tag, 10) - have, size - len(chosen))
+        chosen += [r[0] for r in order if tag in r[3] and r[0] not in chosen][: max(0, need)]
+    pools = Counter((r[1], r[2]) for r in rows)
+    room = size - len(chosen)
+    more = []
+    for key, pool in sorted(pools.items(), key=lambda x: (-x[1], x[0])):
+        short = max(0, round(size * pool / len(rows)) - sum((r[1], r[2]) == key for r in rows if r[0] in chosen))
+        own = [r[0] for r in order if (r[1], r[2]) == key and r[0] not in chosen][: max(0, min(short, room))]
+        room -= short
+        more += own
+    chosen += more
+    chosen += [r[0] for r in order if r[0] not in chosen][: size - len(chosen)]
+    assert {r.id for r in dataset.stratified_sample(df, size, "id", ["s", "l"], floors=floors, default_floor=10, seed=7).collect()} == set(chosen)
+    assert [r.id for r in dataset.sample_rows(df, "id", 20, 7).collect()] == [r[0] for r in order[:20]]
+
+
+def test_settings(tmp_path):
+    from velatura.functions import settings
+
+    folder = str(tmp_path)
+    assert settings.resolve({}, folder, {}) == {"excluded_tags": [], "mapping_enabled": True}
+    (tmp_path / "preferences.json").write_text('{"excluded_tags": ["AGE"], "other": 1}')
+    assert settings.resolve({}, folder, {})["excluded_tags"] == ["AGE"]
+    assert settings.save(folder, mapping_enabled="no") == {"excluded_tags": ["AGE"], "other": 1, "mapping_enabled": False}
+    assert settings.resolve({}, folder, {}) == {"excluded_tags": ["AGE"], "mapping_enabled": False}
+    env = {"VELATURA_EXCLUDED_TAGS": "cf; iban", "VELATURA_MAPPING": "1"}
+    assert settings.resolve({}, folder, env) == {"excluded_tags": ["CF", "IBAN"], "mapping_enabled": True}
+    assert settings.resolve({"excluded_tags": ["x"]}, folder, env)["excluded_tags"] == ["X"] and settings.resolve({}, folder, {"VELATURA_EXCLUDED_TAGS": ""})["excluded_tags"] == []
+    (tmp_path / "settings.json").write_text("{damaged")
+    assert settings.resolve({}, folder, {})["excluded_tags"] == ["AGE"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from velatura.functions import checksums
 from velatura.functions.spans import exploded
 from velatura.operators import dataset, evaluate, generate, labels
-from velatura.operators.detect import BY_NAME, detect, detect_rows
-from velatura.operators.pseudonymise import analyse, chunk_rows, dictionary, glued_placeholder, merge, number, restore, rewrite, scrub, simple_mask, statistics, worth_searching
+from velatura.operators.detect import BY_NAME, detect_rows
+from velatura.operators.pseudonymise import analyse, chunk_rows, dictionary, find_candidates, glued_placeholder, merge, number, recognise, restore, rewrite, scrub, simple_mask, statistics, worth_searching
 from velatura.plans import rendered as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +84,8 @@ for _name, _table, _key, _text in (("documents", "documents", "doc_id", "text"),
 
 query(_sql_detect("", "documents", _CARD, "CREDITCARDNUMBER", _CARD_CHECK, text=_DIGITS_ONLY), "detect_card_documents")(lambda s, d: _detected(_t(s, d, "documents"), "card"))
 
-#: The patterns of the rendered texts without lookaround: their surroundings there are known.
+#: The patterns of operators.detect for the rendered texts in SQL's dialect, which has neither lookaround nor Java's classes; what
+#: surrounds a value there is known, and all digits are ASCII, so the plain forms say the same.
 _RENDERED = {
     "email": (_EMAIL, "EMAIL", None, True, ""), "url": (_URL, "URL", None, True, _TRIM), "card": (_CARD, "CREDITCARDNUMBER", _CARD_CHECK, True, ""),
     "cf": (r"\b[A-Za-z]{6}[0-9]{2}[A-Za-z][0-9]{2}[A-Za-z][0-9]{3}[A-Za-z]\b", "CF", R.sql_cf_ok("value"), False, ""),
@@ -158,7 +160,7 @@ SELECT doc_id, arg_min(label, n) AS label, min(s)::BIGINT AS start, max(e)::BIGI
 
 @query(_MERGE_SQL)
 def merge_spans(spark, sf_dir):
-    m = exploded(merge(_event_spans(spark, sf_dir)), ["doc_id"], F.col("spans"), "s")
+    m = exploded(merge(_event_spans(spark, sf_dir), engine="native"), ["doc_id"], F.col("spans"), "s")
     return m.select("doc_id", F.col("s.label").alias("label"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end_pos"))
 
 
@@ -177,7 +179,7 @@ ents AS (SELECT *, '[EMAIL_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY
 
 def _email_entities(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return number(merge(detect(d, detectors=(BY_NAME["email"],), grouped_iban=False)))
+    return number(merge(find_candidates(d, (BY_NAME["email"],), False)))
 
 
 @query(f"WITH {_email_hits()} SELECT doc_id, start, end_ AS end_pos, value, ph AS placeholder, first AS is_first FROM ents")
@@ -211,7 +213,7 @@ def anonymize_irreversible(spark, sf_dir):
 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN n % 2 = 0 THEN '[EMAIL]' ELSE value END, '' ORDER BY n) AS masked FROM placed GROUP BY doc_id) m USING (doc_id)""", "simple_mask")
 def _simple_mask(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return simple_mask(merge(detect(d, detectors=(BY_NAME["email"],), grouped_iban=False))).select("doc_id", F.sha2("masked", 256).alias("digest"))
+    return simple_mask(merge(find_candidates(d, (BY_NAME["email"],), False))).select("doc_id", F.sha2("masked", 256).alias("digest"))
 
 
 @query("SELECT doc_id, true AS same FROM documents")
@@ -276,6 +278,38 @@ def dictionary_scrub(spark, sf_dir):
     return s.select("doc_id", F.sha2("scrubbed", 256).alias("digest"), F.element_at("occurrences", "[CF_1]").alias("n_cf"), F.size("residual").cast("bigint").alias("n_residual"))
 
 
+_FOUR_DIGITS = f"""{sql_find('documents', _WORDS)},
+model AS (SELECT doc_id, 'AGE' AS label, start, end_, value FROM hits WHERE regexp_full_match(value, '[0-9]{{4}}'))"""
+
+
+@query(f"WITH RECURSIVE {_FOUR_DIGITS} SELECT doc_id, label, start, end_ AS end_pos, value FROM model")
+def recogniser_union(spark, sf_dir):
+    """A recogniser that reads windows (here: words of four digits), its candidates before those of the rules, selected and numbered together."""
+    import re
+
+    def recogniser(texts):
+        return [[("AGE", m.start(), m.end(), 0.99) for m in re.finditer(r"(?<!\S)[0-9]{4}(?!\S)", t)] for t in texts]
+
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    model = recognise(docs, recogniser)
+    found = exploded(analyse(docs, model=model), ["doc_id"], F.col("entities"), "e").filter("e.source = 'model'")
+    return found.select("doc_id", F.col("e.label").alias("label"), F.col("e.start").cast("bigint").alias("start"), F.col("e.end").cast("bigint").alias("end_pos"), F.col("e.value").alias("value"))
+
+
+@query("SELECT c_custkey, 2::BIGINT AS n_lines, 8::BIGINT AS n_tabs, c_mktsegment AS kept_cell, false AS glued FROM customer")
+def delimited_structure(spark, sf_dir):
+    """Pasted tables: a recogniser's fragments of words inside the cells neither move a cell nor leave a piece of a value."""
+    row = F.concat_ws("\t", F.lit("27/07/2026"), F.col("c_mktsegment"), F.lit("VERDI"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.it")), F.lit(""))
+    docs = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(row, F.lit("\n"), row).alias("text"))
+    at = F.locate("VERDI", F.col("text")) - 1
+    fragment = lambda label, start, end, i: F.struct(F.lit(label).alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(0.95).alias("score"), F.lit(False).alias("validated"), F.lit("model").alias("source"), F.lit(i).alias("ord"))
+    model = docs.select("c_custkey", F.array(fragment("DATE", F.lit(1), F.lit(8), 0), fragment("FULLNAME", at + 3, at + 5, 1)).alias("model_candidates"))
+    text = F.col("anonymized_text")
+    tabs = F.length(text) - F.length(F.replace(text, F.lit("\t"), F.lit("")))
+    done = analyse(docs, model=model, id_col="c_custkey")
+    return done.select("c_custkey", F.size(F.split(text, "\n")).cast("bigint").alias("n_lines"), tabs.cast("bigint").alias("n_tabs"), F.get(F.split(text, "\t"), 1).alias("kept_cell"), glued_placeholder(text).alias("glued"))
+
+
 # --- tokens and labels ---------------------------------------------------------------------------------------------------------
 _TOKEN_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -358,9 +392,9 @@ def decode_literal_spans(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM documents)
-SELECT doc_id, CASE WHEN len(w) >= 2 THEN CASE WHEN length(w[1]) > 0 THEN 'B-FULLNAME' END END AS first_word_label FROM d WHERE len(w) >= 2""")
+SELECT doc_id, CASE WHEN len(w) > 0 THEN 'B-FULLNAME' END AS first_word_label FROM d""")
 def bio_remap(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").withColumn("words", labels.find(F.col("text"), r"[\p{L}\p{N}_]+")).filter(F.size("words") >= 2)
+    d = _t(spark, sf_dir, "documents").withColumn("words", labels.find(F.col("text"), r"[\p{L}\p{N}_]+"))
     e = F.array(F.struct(F.get("words", 0)["start"].alias("start"), F.get("words", 0)["end"].alias("end"), F.lit("CITY_1").alias("label")), F.struct(F.get("words", 0)["start"].alias("start"), F.get("words", 0)["end"].alias("end"), F.lit("FIRSTNAME_2").alias("label")))
     return d.withColumn("l", labels.bio_from_spans(F.col("words"), e)).select("doc_id", F.get("l", 0).alias("first_word_label"))
 
@@ -377,26 +411,24 @@ def validate_examples(spark, sf_dir):
 
 # --- evaluation ----------------------------------------------------------------------------------------------------------------
 def _gold_pred(spark, sf_dir):
-    """True spans of rendered documents, and those that the patterns alone find."""
+    """True spans of rendered documents, and all that the rule net detects, printed account numbers included."""
     r = R.rendered(spark, sf_dir)
     gold = exploded(r, ["doc_id"], F.col("truth"), "t").select("doc_id", F.col("t.label").alias("type"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    pred = detect_rows(r.select("doc_id", "text"), detectors=tuple(BY_NAME[n] for n in ("cf", "piva", "card", "plate", "date", "email")), grouped_iban=False).select("doc_id", F.col("label").alias("type"), "start", "end")
+    pred = detect_rows(r.select("doc_id", "text")).select("doc_id", F.col("label").alias("type"), "start", "end")
     return gold, pred
 
 
-_PRED_PARTS = [("cf", "CF"), ("piva", "PIVA"), ("card", "CREDITCARDNUMBER"), ("plate", "TARGA"), ("date", "DATE"), ("email", "EMAIL")]
-
-
 def _pred_sql() -> tuple[str, str]:
     ctes, selects = [], []
-    for n, lab in _PRED_PARTS:
-        rx, _, check, strict, _ = _RENDERED[n]
+    for n, (rx, lab, check, strict, trim) in _RENDERED.items():
         one = sql_find("rendered", rx, _DIGITS_ONLY if n == "card" else "text")
         for c in ("marked", "pieces", "placed", "hits"):
             one = one.replace(f"{c} AS (", f"{c}_{n} AS (").replace(f"FROM {c}", f"FROM {c}_{n}")
         ctes.append(one.strip())
-        selects.append(f"SELECT doc_id, '{lab}' AS type, start AS s, end_ AS e FROM hits_{n}" + (f" WHERE coalesce({check}, false)" if check and strict else ""))
-    return ",\n".join(ctes), " UNION ALL ".join(selects)
+        value = f"regexp_replace(value, '[{trim}]+$', '')" if trim else "value"
+        selects.append(f"SELECT doc_id, '{lab}' AS type, start AS s, start + length(value) AS e FROM (SELECT doc_id, start, {value} AS value FROM hits_{n})" + (f" WHERE coalesce({check}, false)" if check and strict else ""))
+    grouped = "SELECT doc_id, 'IBAN' AS type, strpos(text, iban_text) - 1 AS s, strpos(text, iban_text) - 1 + length(iban_text) AS e FROM rendered WHERE iban_right"
+    return ",\n".join(ctes), " UNION ALL ".join([*selects, grouped])
 
 
 _PRED_CTES, _PRED_SELECT = _pred_sql()
@@ -434,6 +466,26 @@ def doc_exact_rate(spark, sf_dir):
     return evaluate.score_documents(x)
 
 
+@query("""WITH d AS (SELECT doc_id, lang, list_distinct([doc_id % 10, doc_id % 7]) AS g, list_distinct([doc_id % 10, doc_id % 5]) AS p FROM documents),
+x AS (SELECT 'rules' AS pipeline, lang, len(list_filter(p, lambda x: list_contains(g, x))) AS tp, len(list_filter(p, lambda x: NOT list_contains(g, x))) AS fp, len(list_filter(g, lambda x: NOT list_contains(p, x))) AS fn FROM d
+  UNION ALL SELECT 'truth', lang, len(g), 0, 0 FROM d)
+SELECT pipeline, lang AS category, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) FILTER (fp = 0 AND fn = 0)::BIGINT AS documents_exact FROM x GROUP BY GROUPING SETS ((pipeline, lang), (pipeline))""")
+def compare_pipelines(spark, sf_dir):
+    d = F.col("doc_id")
+    x = _t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.array_distinct(F.array(d % 10, d % 7)).alias("gold"), F.array_distinct(F.array(d % 10, d % 5)).alias("rules"))
+    scores, _ = evaluate.compare_pipelines(x.withColumn("truth", F.col("gold")), {"rules": "rules", "truth": "truth"}, "doc_id")
+    return scores.select("pipeline", "category", "tp", "fp", "fn", "documents_exact")
+
+
+@query("""WITH d AS (SELECT doc_id, list_distinct([doc_id % 10, doc_id % 7]) AS g, list_distinct([doc_id % 10, doc_id % 5]) AS p FROM documents)
+SELECT 'rules' AS pipeline, doc_id FROM d WHERE len(list_filter(p, lambda x: NOT list_contains(g, x))) > 0 OR len(list_filter(g, lambda x: NOT list_contains(p, x))) > 0 ORDER BY doc_id LIMIT 12""")
+def wrong_documents(spark, sf_dir):
+    """The first documents that a pipeline gets wrong."""
+    d = F.col("doc_id")
+    x = _t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.array_distinct(F.array(d % 10, d % 7)).alias("gold"), F.array_distinct(F.array(d % 10, d % 5)).alias("rules"))
+    return evaluate.compare_pipelines(x, {"rules": "rules"}, "doc_id")[1].select("pipeline", "doc_id")
+
+
 @query("SELECT sum(n)::BIGINT AS n_tokens, round(sum(ok) / sum(n), 9)::DOUBLE AS token_accuracy FROM (SELECT len(t) AS n, len(list_filter(range(0, len(t)), lambda j: (doc_id + j) % 4 <> 0)) AS ok FROM (SELECT doc_id, regexp_extract_all(text, '[^ ]+') AS t FROM documents))")
 def token_accuracy(spark, sf_dir):
     t = F.regexp_extract_all("text", F.lit("([^ ]+)"), 1)
@@ -489,12 +541,22 @@ def stratified_quota(spark, sf_dir):
     return dataset.quotas(_t(spark, sf_dir, "documents"), 137, ["lang", "source"])
 
 
-@query("SELECT least(300, count(*))::BIGINT AS n_rows, least(20, count(*) FILTER (doc_id % 31 = 0))::BIGINT AS n_rare FROM documents")
+@query()
 def stratified_sample(spark, sf_dir):
-    """Size of the subset and its rows with the rarest tag, counted up to the floor."""
+    """The rows of the subset; a test holds them against the same steps in plain Python."""
     d = _t(spark, sf_dir, "documents").withColumn("tags", _tags())
-    s = dataset.stratified_sample(d, 300, "doc_id", ["source", "lang"], floors={"TARGA": 20}, default_floor=10)
-    return s.agg(F.count(F.lit(1)).alias("n_rows"), F.least(F.lit(20), F.count_if(F.col("doc_id") % 31 == 0)).alias("n_rare"))
+    return dataset.stratified_sample(d, 300, "doc_id", ["source", "lang"], floors={"TARGA": 20}, default_floor=10).select("doc_id", "source", "lang")
+
+
+@query()
+def sample_rows(spark, sf_dir):
+    return dataset.sample_rows(_t(spark, sf_dir, "documents"), "doc_id", 250, seed=3).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS n FROM documents")
+def by_length(spark, sf_dir):
+    d = dataset.by_length(_t(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n")), F.col("n"))
+    return d.select("doc_id", "n")
 
 
 @query("""SELECT p.lang AS lang, coalesce(s.n, 0)::BIGINT AS n_subset, p.n::BIGINT AS n_pool, round(100.0 * coalesce(s.n, 0) / sum(coalesce(s.n, 0)) OVER (), 4)::DOUBLE AS subset_pct, round(100.0 * p.n / sum(p.n) OVER (), 4)::DOUBLE AS pool_pct
@@ -509,10 +571,9 @@ def top_values(spark, sf_dir):
     return dataset.most_common(_t(spark, sf_dir, "documents"), "source", 7)
 
 
-@query("SELECT lang, count(*)::BIGINT AS n_rows, min(doc_id) AS first_id, arg_min(substr(text, 1, 40), doc_id) AS first_text FROM documents GROUP BY lang")
+@query("SELECT lang, count(*)::BIGINT AS n_rows, min(doc_id) AS first_id, sha256(arg_min(text, doc_id)) AS first_text FROM documents GROUP BY lang")
 def lang_examples(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").withColumn("t", F.substring("text", 1, 40))
-    return dataset.group_examples(d, "lang", "doc_id", "t")
+    return dataset.group_examples(_t(spark, sf_dir, "documents"), "lang", "doc_id", "text").withColumn("first_text", F.sha2("first_text", 256))
 
 
 @query("""WITH l AS (SELECT lang, len(regexp_extract_all(text, '[^ ]+')) AS n FROM documents)
@@ -536,9 +597,8 @@ def absence_proof(spark, sf_dir):
 
 @query("SELECT p_brand, 'm-v1.' || max(p_size) AS name, '1.' || max(p_size) AS version FROM part GROUP BY p_brand")
 def latest_version(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("m-v1."), F.col("p_size").cast("string")).alias("name"), F.array(F.lit(1), F.col("p_size")).alias("v"))
-    top = p.groupBy("p_brand").agg(F.max_by("name", "v").alias("name"), F.max("v").alias("v"))
-    return top.select("p_brand", "name", F.array_join(F.col("v").cast("array<string>"), ".").alias("version"))
+    p = _t(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("m-v1."), F.col("p_size").cast("string")).alias("name"))
+    return dataset.latest_version(p, "name", keys=("p_brand",))
 
 
 @query("SELECT doc_id, CASE WHEN u < 0.125 THEN 1 WHEN u < 0.875 THEN 2 ELSE 3 END::BIGINT AS id FROM (SELECT doc_id, (doc_id * 37 % 1000) / 1000.0 AS u FROM documents)")
@@ -555,6 +615,23 @@ def union_of_sources(spark, sf_dir):
     return dataset.union_sources({"a": a, "b": b}).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH c AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS t FROM conversations), x AS (SELECT conv_id, turn, {_CONV_LABELS} AS ls FROM c WHERE len(t) > 0)
+SELECT (conv_id * 1000 + turn)::BIGINT AS id, len(ls)::BIGINT AS n_tokens FROM x WHERE len(list_filter(ls, lambda l: l LIKE '%-CITY')) > 1""")
+def index_and_reread(spark, sf_dir):
+    """Examples as JSON lines: indexed without their tokens, chosen by the index, and read again by stable ids."""
+    from velatura.functions.lineage import ensure_folder
+    from velatura.sources import readers, writers
+
+    ensure_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/examples-{uuid.uuid4().hex}"
+    t = _turn_labels(spark, sf_dir).filter(F.size("tokens") > 0)
+    cities = F.size(F.filter("raw", lambda x: x.endswith("-CITY")))
+    writers.write_jsonl(t.select(F.col("text").alias("source_text"), F.when(cities > 1, "xx").otherwise("it").alias("language"), (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("template_id"), "tokens", F.col("raw").alias("bio_labels")), path)
+    index = readers.index_rows(spark, [path, f"{path}-missing"])
+    chosen = index.filter((F.col("language") == "xx") & F.array_contains("tags", "CITY"))
+    return readers.reread(spark, [path], chosen).select(F.col("template_id").cast("bigint").alias("id"), F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
 # --- generation ----------------------------------------------------------------------------------------------------------------
 @query(f"WITH {R.sql_keys().strip()} SELECT doc_id, vat10 || vat_digit::VARCHAR AS piva FROM rk3")
 def generate_piva(spark, sf_dir):
@@ -562,11 +639,10 @@ def generate_piva(spark, sf_dir):
     return k.select("doc_id", generate.vat_number(F.substring("piva", 1, 10)).alias("piva"))
 
 
-@query(f"WITH {R.sql_keys().strip()} SELECT doc_id, iban_good AS iban FROM rk3 WHERE doc_id % 11 <> 0")
+@query(f"WITH {R.sql_keys().strip()} SELECT doc_id, iban_good AS iban FROM rk3")
 def generate_iban(spark, sf_dir):
-    k = R.keys(spark, sf_dir).filter("iban_right")
-    part = lambda a, n: F.substring("iban", a, n)
-    return k.select("doc_id", generate.italian_iban(part(6, 5), part(11, 5), part(16, 12)).alias("iban"))
+    part = lambda a, n: F.substring("iban_good", a, n)
+    return R.keys(spark, sf_dir).select("doc_id", generate.italian_iban(part(6, 5), part(11, 5), part(16, 12)).alias("iban"))
 
 
 @query(f"""WITH b AS (SELECT c_custkey, 'RSS' || CASE WHEN c_custkey % 2 = 0 THEN 'MRA' ELSE 'LCU' END || lpad((c_custkey % 100)::VARCHAR, 2, '0') || substr('ABCDEHLMPRST', (c_custkey % 12 + 1)::INT, 1)
@@ -583,17 +659,20 @@ def generate_cf(spark, sf_dir):
 def generate_examples(spark, sf_dir):
     rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"))
     e = generate.examples(spark, 0, 42, rows=rows)
-    return e.select("row_id", "template_id", "source_text", F.size("entities").alias("n_entities"), labels.derivation_error(F.col("source_text"), F.col("tokens"), F.col("bio_labels"), F.col("entities")).alias("error"))
+    error = labels.derivation_error_arrow(F.col("source_text"), F.col("tokens"), F.col("bio_labels"), F.col("entities"))
+    return e.select("row_id", "template_id", "source_text", F.size("entities").alias("n_entities"), error.alias("error"))
 
 
 @query()
 def generate_plates(spark, sf_dir):
-    return generate.plate_corpus(spark, 2000, 1).select("row_id", "category", "source_text")
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"))
+    return generate.plate_corpus(spark, rows.count(), 1, rows=rows).select("row_id", "category", "source_text")
 
 
 @query()
 def generate_contribution(spark, sf_dir):
-    return generate.contribution(spark, 500, 3, {"ORG": 6.0}).select("row_id", "template_id", "source_text")
+    """As many examples as there are suppliers."""
+    return generate.contribution(spark, _t(spark, sf_dir, "supplier").count(), 3, {"ORG": 6.0}).select("row_id", "template_id", "source_text")
 
 
 @query()

@@ -48,7 +48,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     sep = F.when(d % 3 == 0, "").when(d % 3 == 1, " ").otherwise("-")
     thousands = F.when(F.col("euros") >= 1000, F.concat(F.floor(F.col("euros") / 1000).cast("string"), F.lit("."), _pad(F.col("euros") % 1000, 3))).otherwise(F.col("euros").cast("string"))
     return j.select(
-        "doc_id", "k", "cf", "piva", "card", "iban", F.when(d % 3 == 0, grouped).otherwise(F.col("iban")).alias("iban_text"), (d % 3 == 0).alias("iban_is_grouped"), F.concat(F.lit("€ "), thousands, F.lit(",00")).alias("amount"),
+        "doc_id", "k", "cf", "piva", "card", "iban", "iban_good", F.when(d % 3 == 0, grouped).otherwise(F.col("iban")).alias("iban_text"), (d % 3 == 0).alias("iban_is_grouped"), F.concat(F.lit("€ "), thousands, F.lit(",00")).alias("amount"),
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.concat(F.lit("+39 333 "), _pad(k % 1000, 3), F.lit(" "), _pad(d % 10_000, 4)).alias("phone"),
         F.concat(F.lit("cliente"), k.cast("string"), F.lit("@example.it")).alias("email"), F.concat(F.lit("https://www.example.it/c/"), k.cast("string")).alias("url"),
         F.concat(letter(d, 1), letter(d, 22), sep, _pad(d % 900 + 100, 3), sep, letter(k, 1), letter(k, 22)).alias("plate"), F.concat(F.lit("Prot. n. "), d.cast("string"), F.lit("/"), F.year("o_orderdate").cast("string")).alias("docid"),
@@ -134,7 +134,7 @@ rk2 AS (SELECT *, {sql_check_letter('acc')} || acc AS bban, (10 - {sql_doubled('
 rk3 AS (SELECT *, 'IT' || {pad('98 - ' + sql_mod97("(bban || 'IT00')"), 2)} || bban AS iban_good FROM rk2),
 rk4 AS (SELECT *, vat10 || ((vat_digit + (doc_id % 7 = 0)::INT) % 10)::VARCHAR AS piva, body || chr((65 + (ascii(cf_letter) - 65 + (doc_id % 5 = 0)::INT) % 26)::INT) AS cf,
   card15 || ((card_digit + (doc_id % 4 = 0)::INT) % 10)::VARCHAR AS card, substr(iban_good, 1, 26) || ((substr(iban_good, 27, 1)::INT + (doc_id % 11 = 0)::INT) % 10)::VARCHAR AS iban FROM rk3),
-rk AS (SELECT doc_id, k, cf, piva, card, iban, CASE WHEN doc_id % 3 = 0 THEN {" || ' ' || ".join(f"substr(iban, {1 + 4 * i}, 4)" for i in range(7))} ELSE iban END AS iban_text, doc_id % 3 = 0 AS iban_is_grouped,
+rk AS (SELECT doc_id, k, cf, piva, card, iban, iban_good, CASE WHEN doc_id % 3 = 0 THEN {" || ' ' || ".join(f"substr(iban, {1 + 4 * i}, 4)" for i in range(7))} ELSE iban END AS iban_text, doc_id % 3 = 0 AS iban_is_grouped,
   '€ ' || CASE WHEN euros >= 1000 THEN (euros // 1000)::VARCHAR || '.' || {pad('euros % 1000', 3)} ELSE euros::VARCHAR END || ',00' AS amount, strftime(o_orderdate, '%d/%m/%Y') AS day,
   '+39 333 ' || {pad('k % 1000', 3)} || ' ' || {pad('doc_id % 10000', 4)} AS phone, 'cliente' || k::VARCHAR || '@example.it' AS email, 'https://www.example.it/c/' || k::VARCHAR AS url,
   {letter('doc_id', 1)} || {letter('doc_id', 22)} || {sep} || {pad('doc_id % 900 + 100', 3)} || {sep} || {letter('k', 1)} || {letter('k', 22)} AS plate, 'Prot. n. ' || doc_id::VARCHAR || '/' || year(o_orderdate)::VARCHAR AS docid,
