@@ -1,13 +1,13 @@
 """Removal of lines that many documents share, with two Bloom filters in front of the exact count.
 
-1. Every task hashes the distinct keys of its documents into two filters, for hashes seen once and seen twice. What leaves the task are
-   the filters, as the places of their bits. Merging two tasks' filters keeps `twice | twice | once & once`, so a key that two
-   documents hold is in the merged second filter, and false positives only add suspects.
-2. The merged second filter, of a fixed size, goes to all tasks. Only the keys that it knows shuffle, as whole strings, for the exact
+1. Every task hashes the distinct keys of its documents into two filters, for hashes seen once and seen twice (and tells what it sees a
+   third time). What leaves the task are the places of the filters' bits. Merged, they tell which bits are seen a third time or more; a key
+   that three documents hold has no other bits, and false positives only add suspects.
+2. That filter of suspects, of a fixed size, goes to all tasks. Only the keys that it knows shuffle, as whole strings, for the exact
    number of documents and the largest id of each.
 3. The confirmed keys go to the documents: as a broadcast map behind a check of its bytes, by a join beyond it.
 
-Past the number of lines that filters of the fixed size hold well, each range of hashes has filters of its own in the task that owns the
+Past the amount of text whose lines filters of the fixed size hold well, each range of hashes has filters of its own in the task that owns the
 range: hashes travel to it (eight bytes a line), and what it finds suspect fills the filter of step 2. Both ways confirm the same keys.
 
 A key is a line without `[\\x20\\x09-\\x0D]` at both ends, with A-Z in lower case.
@@ -28,13 +28,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from velatura.llm.common import blobs, cut, fresh, prepare, rows, sliced
 
-#: Bits of a merged filter: so many for each line, from least to most. Past MOST_BITS / LEAST_A_LINE lines, filters go by ranges of hashes.
-BITS_A_LINE, LEAST_A_LINE = 8, 4
+#: Bytes of text for each bit of a filter, from least to most bits. Past FULL times as much text, filters go by ranges of hashes.
+BYTES_A_BIT, FULL = 32, 4
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
 #: Bits of each filter of a range of hashes. More hashes than a filter holds well only mean more suspects.
 RANGE_BITS = 1 << 25
 PROBES = 4
-#: Parts that a filter is merged in.
+#: Most parts that a filter is merged in.
 PARTS = 64
 #: Largest number of bytes of confirmed keys that is broadcast; beyond it a join is used.
 BROADCAST_BYTES = 32 << 20
@@ -97,17 +97,21 @@ def _unpacked(held: bytes) -> np.ndarray:
 
 
 def _filters(bits: int, hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """A task's two filters: of each part, the places of the bits of all hashes, and of those seen twice."""
-    schema = pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-    size = bits // PARTS
-    once, twice = (np.unique(places(h, bits)) for h in (hashes, hashes[times >= 2]))
-    edges = [np.searchsorted(at, np.arange(PARTS + 1) * size) for at in (once, twice)]
-    own = [i for i in range(PARTS) if edges[0][i] < edges[0][i + 1]]
-    held = [[_packed(at[e[i] : e[i + 1]] - i * size) for i in own] for at, e in zip((once, twice), edges)]
-    return rows(schema, own, *held)
+    """A task's filters: of each part, the places of the bits of all hashes, of those seen twice, and of those seen a third time."""
+    schema = pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary()), ("more", pa.binary())])
+    parts = parts_of(bits)
+    size = bits // parts
+    every = [np.unique(places(hashes[times >= n], bits)) for n in (1, 2, 3)]
+    edges = [np.searchsorted(at, np.arange(parts + 1) * size) for at in every]
+    own = [i for i in range(parts) if edges[0][i] < edges[0][i + 1]]
+    return rows(schema, own, *([_packed(at[e[i] : e[i + 1]] - i * size) for i in own] for at, e in zip(every, edges)))
 
 
-_FILTERS = "part int, once binary, twice binary"
+def parts_of(bits: int) -> int:
+    return min(PARTS, bits // 8)
+
+
+_FILTERS = "part int, once binary, twice binary, more binary"
 
 
 def _sightings(min_chars: int, bits: int | None):
@@ -148,28 +152,28 @@ def _owned(range_bits: int, bits: int):
         suspects = np.unique(np.concatenate(found))
         for i in range(0, len(suspects), FLUSH):
             part = suspects[i : i + FLUSH]
-            yield _filters(bits, part, np.full(len(part), 2))
+            yield _filters(bits, part, np.full(len(part), 3))
 
     return run, _FILTERS
 
 
 def _merged(bits: int):
-    """Filters of one part each, sorted by part, to the merged second filter of the part."""
-    schema, size = pa.schema([("part", pa.int32()), ("bits", pa.binary())]), bits // PARTS
+    """Filters of one part each, sorted by part, to the part's filter of bits seen a third time or more."""
+    schema, size = pa.schema([("part", pa.int32()), ("bits", pa.binary())]), bits // parts_of(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, once, twice = None, np.zeros(size, bool), np.zeros(size, bool)
+        part, seen = None, np.zeros(size, np.uint8)
         for batch in batches:
-            for own, first, second in zip(*(c.to_pylist() for c in batch.columns)):
+            for own, *lists in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != part and part is not None:
-                    yield rows(schema, [part], [np.packbits(twice).tobytes()])
-                    once[:], twice[:] = False, False
-                part, at = own, _unpacked(first)
-                twice[at[once[at]]] = True
-                twice[_unpacked(second)] = True
-                once[at] = True
+                    yield rows(schema, [part], [np.packbits(seen >= 3).tobytes()])
+                    seen[:] = 0
+                part = own
+                for held in lists:
+                    at = _unpacked(held)
+                    seen[at] = np.minimum(seen[at] + 1, 3)
         if part is not None:
-            yield rows(schema, [part], [np.packbits(twice).tobytes()])
+            yield rows(schema, [part], [np.packbits(seen >= 3).tobytes()])
 
     return run, "part int, bits binary"
 
@@ -223,14 +227,14 @@ def _keep(out_schema: pa.Schema, text_at: int, min_chars: int, known, n_chars_at
 
 
 def suspects(text: DataFrame, min_chars: int, most_bits: int = MOST_BITS, range_bits: int = RANGE_BITS) -> tuple[bytes, int]:
-    """The merged filter of keys (of column text) that may be in several rows, and its number of bits."""
-    n_lines = text.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n")).first().n or 0
-    bits = min(most_bits, max(LEAST_BITS, 1 << (BITS_A_LINE * n_lines - 1).bit_length()))
-    if n_lines * LEAST_A_LINE <= bits:
-        sent = text.select(F.col("text").cast("binary")).mapInArrow(*_sightings(min_chars, bits))
+    """The merged filter of keys (of the binary column text) that may be in three rows or more, and its number of bits."""
+    want = -(-(text.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 1) // BYTES_A_BIT)
+    bits = min(most_bits, max(LEAST_BITS, 1 << (want - 1).bit_length()))
+    if want <= FULL * bits:
+        sent = text.mapInArrow(*_sightings(min_chars, bits))
     else:
-        sent = text.select(F.col("text").cast("binary")).mapInArrow(*_sightings(min_chars, None)).repartition("hash").mapInArrow(*_owned(range_bits, bits))
-    parts = sent.repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(*_merged(bits)).collect()  # bits / 8 bytes in all
+        sent = text.mapInArrow(*_sightings(min_chars, None)).repartition("hash").mapInArrow(*_owned(range_bits, bits))
+    parts = sent.repartition(parts_of(bits), "part").sortWithinPartitions("part").mapInArrow(*_merged(bits)).collect()  # bits / 8 bytes in all
     merged = np.zeros(bits // 8, np.uint8)
     for r in parts:
         size = len(r.bits)
@@ -241,10 +245,10 @@ def suspects(text: DataFrame, min_chars: int, most_bits: int = MOST_BITS, range_
 def confirmed_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, range_bits: int = RANGE_BITS) -> tuple[DataFrame, DataFrame]:
     """(key, keeper) of every key in at least min_docs documents, and the (doc_id, key) rows that they were counted from."""
     if min_docs < 3:
-        raise ValueError("filters by ranges find keys seen three times or more; min_docs must be at least 3")
+        raise ValueError("the filters find keys seen three times or more; min_docs must be at least 3")
     spark = docs.sparkSession
     prepare(spark)
-    known, bits = suspects(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_chars, most_bits, range_bits)
+    known, bits = suspects(docs.select(F.col(text_col).cast("binary").alias("text")), min_chars, most_bits, range_bits)
     text = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     found = cut(text.mapInArrow(*_candidates(min_chars, spark.sparkContext.broadcast(known), bits)))
     counted = found.groupBy("key").agg(F.countDistinct(F.struct("doc_id")).alias("n_docs"), F.max("doc_id").alias("keeper"))
