@@ -9,8 +9,9 @@ both fix and their parents did not, and is pruned as a whole once they are more
 What a task sends on is a spanning forest of its links, so that no group's pairs are ever listed.
 
 Bits only estimate similarity, and no limit of bits holds all pairs of a given similarity. Where the shared part of the shingles
-themselves is asked for, similar_documents finds all such pairs: two sets of similarity t share one of their first n - ceil(t n) + 1
-shingles in any common order, so the sets meet in a list of such a shingle, and each pair found there is compared whole.
+themselves is asked for, similar_documents takes the groups of the same index as candidates first, and confirms each by the whole sets. What the
+bits miss is found by the sets: two of similarity t share one of their first n - ceil(t n) + 1 shingles in any common order, so they meet
+in a list of such a shingle, and each pair found there that isn't connected yet is compared whole.
 """
 
 from __future__ import annotations
@@ -57,7 +58,10 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """SimHash of a whole text's word shingles, repeats included, under XXH64."""
-    hashes = shingle_hashes(text, words, seed)
+    return simhash(shingle_hashes(text, words, seed))
+
+
+def simhash(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -315,22 +319,26 @@ _LONGS = pa.list_(pa.int64())
 
 
 def _set_marks(words: int, seed: int, level: Fraction, common):
-    """In: id, text. Out: id, the set's digest (fp), size and parity bits, and its first shingles, rare ones before common ones."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("bits", _LONGS), ("prefix", _LONGS)])
+    """In: id, text. Out: id, the set's digest (fp), SimHash, size and parity bits, and its first shingles, rare ones before common ones."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()), ("n", pa.int64()), ("bits", _LONGS), ("prefix", _LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = common.value
         for batch in sliced(batches, 1):
-            sets, prefixes = [np.unique(shingle_hashes(t, words, seed)) for t in blobs(batch, 1)], []
+            sets, prefixes, sims = [], [], []
+            for text in blobs(batch, 1):
+                hashes = shingle_hashes(text, words, seed)
+                sims.append(_signed(simhash(hashes)))
+                sets.append(np.unique(hashes))
             for found in sets:
                 size = len(found) + int(len(found) * -level // 1) + 1 if len(found) else 0
                 if len(names):
                     at = np.minimum(np.searchsorted(names, found), len(names) - 1)
                     found = found[np.argsort(np.where(names[at] == found, counts[at], 0), kind="stable")]
                 prefixes.append(found[:size])
-            yield rows(schema, batch.column(0), [_set_digest(x) for x in sets], list(map(len, sets)), _lists([_parity(x) for x in sets]), _lists(prefixes))
+            yield rows(schema, batch.column(0), [_set_digest(x) for x in sets], sims, list(map(len, sets)), _lists([_parity(x) for x in sets]), _lists(prefixes))
 
-    return run, "doc_id long, fp long, n long, bits array<long>, prefix array<long>"
+    return run, "doc_id long, fp long, sim long, n long, bits array<long>, prefix array<long>"
 
 
 def _sets(words: int, seed: int):
@@ -435,11 +443,12 @@ def _list_pairs(level: Fraction, star: bool):
     return run, "a long, b long"
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", list_members: int = LIST_MEMBERS) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", list_members: int = LIST_MEMBERS, limit: int = 3) -> DataFrame:
     """For each document: doc_id, fp (the digest of its set of word shingles) and root (equal for documents connected by links).
 
     Linked are all pairs whose sets of shingles have a shared part (intersection by union) of the similarity or more, and no others.
-    Shingles are ordered by their number in a sample of the documents and by hash; any order gives the same result, rare shingles
+    The index of SimHash fingerprints makes the first groups, connected by at most `limit` differing bits: of each, one set is compared whole
+    with all others. The rest is found by shingles. These are ordered by their number in a sample of the documents and by hash; any order gives the same result, rare shingles
     first give short lists. In long lists one member is compared with all others first, then pairs that are still apart.
 
     Defined results: texts without words, or null, have equal sets; a text of fewer words than a shingle is one shingle; repeated
@@ -456,7 +465,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     order = np.argsort(names)
     common = spark.sparkContext.broadcast((names[order], counts[order]))
     marked = cut(source.mapInArrow(*_set_marks(words, seed, level, common)))
-    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.min("sim").alias("sim"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     entries = marked.select("fp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "fp", "n", F.col("pos").cast("long").alias("pos"))
     shared = cut(entries.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInArrow(*_shared_lists()))
 
@@ -481,10 +490,17 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         with_sets = open_.join(sets.select(F.col("fp").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("found").alias("y")), "b")
         return cut(with_sets.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= num * F.col("total")).select("a", "b"))
 
-    alone = shared.withColumn("root", F.col("fp")).withColumn("bits", F.array().cast("array<long>"))
-    long_ = shared.filter(F.col("members") > list_members)
-    links = confirmed(paired(alone.filter(F.col("members") <= list_members), False).unionByName(paired(alone.filter(F.col("members") > list_members), True)))
+    # Groups of the index, one set of each against the others.
+    near = components(hamming_links(prints.select(F.col("sim").alias("fp")).distinct(), limit))
+    grouped = cut(prints.join(near.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("root", "sim").alias("group")))
+    first = grouped.groupBy("group").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    links = confirmed(attach(grouped.withColumnRenamed("fp", "b"), first, "group", "members", grouped.count(), "inner").filter("a < b").select("a", "b"))
     roots = components(links)
+    # What is not connected yet meets in the lists of shingles; in long ones, one member against the others first.
+    rooted = cut(shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("bits", F.array().cast("array<long>")))
+    links = links.unionByName(confirmed(paired(rooted.filter(F.col("members") <= list_members), False).unionByName(paired(rooted.filter(F.col("members") > list_members), True))))
+    roots = components(links)
+    long_ = shared.filter(F.col("members") > list_members)
     if not long_.isEmpty():
         rooted = long_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(prints.select("fp", "bits"), "fp")
         roots = components(links.unionByName(confirmed(paired(rooted, False))))
