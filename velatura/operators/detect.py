@@ -108,7 +108,12 @@ def detect(docs: DataFrame, text_col: str = "text", detectors: tuple[Detector, .
     return found.withColumn(out, F.concat(*parts)).drop(*names, *gates.values(), f"__{out}_grouped")
 
 
-def detect_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """One row for each candidate: id, label, start, end, score, validated, source, ord, value."""
-    found = detect(docs.select(id_col, text_col), text_col, **kwargs)
+def detect_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detectors: tuple[Detector, ...] = DETECTORS, grouped_iban: bool = True, engine: str = "native") -> DataFrame:
+    """One row for each candidate: id, label, start, end, score, validated, source, ord, value. engine: "native" for the JVM's expressions, which suit
+    one detector behind a gate that few texts pass; "arrow" for the whole rule net, and for texts that most detectors find something in."""
+    if engine == "arrow":
+        from velatura.operators.rows import hits_column
+
+        return exploded(docs, [id_col], hits_column(F.col(text_col), detectors, grouped_iban), "c").select(id_col, "c.*")
+    found = detect(docs.select(id_col, text_col), text_col, detectors, grouped_iban=grouped_iban)
     return exploded(found, [id_col, text_col], F.col("candidates"), "c").select(id_col, "c.*", F.substring(F.col(text_col), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("value"))

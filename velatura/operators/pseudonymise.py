@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velatura.functions.classes import SPACE, WORD
-from velatura.functions.spans import SPAN, cut_out, exploded, find, fuse, in_order, let, select_greedy, trim_space, widen_to_words
+from velatura.functions.spans import SPAN, exploded, fuse, in_order, select_greedy, trim_space, widen_to_words
 from velatura.operators import rows
 from velatura.operators.detect import DETECTORS, SOFT_LABELS, Detector
 
@@ -23,29 +23,10 @@ from velatura.operators.detect import DETECTORS, SOFT_LABELS, Detector
 WINDOW_WORDS, SHARED_WORDS = 120, 20
 
 
-def chunks(text: Column, words: int = WINDOW_WORDS, shared: int = SHARED_WORDS) -> Column:
-    """array<struct<chunk, start, end>>: windows of so many words, whole words only, the last one ending with the text's last word."""
-    step = max(1, words - shared)
-    ahead, rest = divmod(words, step)
-    some = lambda n: f"(?:[^{SPACE}]++[{SPACE}]*+){{1,{n}}}"
-    bare = lambda v: F.length(F.regexp_replace(v, f"[{SPACE}]+$", ""))
-
-    def windows(b: Column) -> Column:
-        """From blocks of `step` words: a window starts with one, and ends with a word of the block `ahead` of it."""
-        final = F.element_at(b, -1)
-        n = (F.size(b) - 1) * step + F.size(F.regexp_extract_all(final["value"], F.lit(f"([^{SPACE}]+)"), 1))
-        full = (lambda i: F.get(b, i + ahead)["start"] + bare(F.regexp_extract(F.get(b, i + ahead)["value"], f"^{some(rest)}", 0))) if rest else (lambda i: F.get(b, i + ahead - 1)["start"] + bare(F.get(b, i + ahead - 1)["value"]))
-        one = lambda i, n: F.struct(i.alias("chunk"), F.get(b, i)["start"].alias("start"), F.when(i * step + words >= n, final["start"] + bare(final["value"])).otherwise(full(i)).alias("end"))
-        return let(n, lambda n: F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(n - F.lit(words), F.lit(0)) / F.lit(step)).cast("int")), lambda i: one(i, n)))
-
-    kind = "array<struct<chunk:int,start:int,end:int>>"
-    return let(find(text, some(step)), lambda b: F.when(F.size(b) > 0, windows(b)).otherwise(F.array().cast(kind)))
-
-
 def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WINDOW_WORDS, shared: int = SHARED_WORDS) -> DataFrame:
-    """id, chunk, start, end, text of every window of every document; a text without words has none."""
-    at = exploded(docs, [id_col, text_col], chunks(F.col(text_col), words, shared), "w").select(id_col, text_col, "w.*")
-    return at.select(id_col, "chunk", "start", "end", cut_out(F.col(text_col), F.col("start"), F.col("end")).alias("text"))
+    """id, chunk, start, end, text of every window of every document: so many words, of which two windows share some, whole words only, the last one
+    ending with the text's last word. A text without words has none."""
+    return exploded(docs, [id_col], rows.windows_column(F.col(text_col), words, shared), "w").select(id_col, "w.*")
 
 
 def recognise(docs: DataFrame, recogniser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -214,9 +214,16 @@ def bio_labels(words: Sequence[tuple[str, int, int]], entities: Sequence[tuple[i
     return out
 
 
-def windows(text: str, words: int, shared: int) -> int:
-    n = sum(1 for _ in _WORDS.finditer(text))
-    return -(-max(n - words, 0) // (words - shared)) + 1 if n else 0
+def windows(text: str, words: int, shared: int) -> list[tuple[int, int, int]]:
+    """(number, start, end) of windows of so many words, of which two share some; whole words only, the last one ending with the text's last word."""
+    places = [m.span() for m in _WORDS.finditer(text)]
+    step = max(1, words - shared)
+    n = n_windows(len(places), words, shared)
+    return [(k, places[k * step][0], places[min(k * step + words, len(places)) - 1][1]) for k in range(n)]
+
+
+def n_windows(n_words: int, words: int, shared: int) -> int:
+    return -(-max(n_words - words, 0) // max(1, words - shared)) + 1 if n_words else 0
 
 
 # --- Arrow functions -------------------------------------------------------------------------------------------------------------
@@ -279,6 +286,30 @@ def text_column(change: Callable[[str], str], text: Column) -> Column:
     return per_row("string", run, text)
 
 
+_WINDOW = pa.struct([("chunk", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", _TEXT)])
+
+
+def windows_column(text: Column, words: int, shared: int) -> Column:
+    """array<struct<chunk, start, end, text>> of each text."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return structs([[(k, a, b, t[a:b]) for k, a, b in windows(t, words, shared)] for t in _texts(texts)], _WINDOW)
+
+    return per_row("array<struct<chunk:int,start:int,end:int,text:string>>", run, text)
+
+
+_HIT = pa.struct([*_SPAN, ("value", _TEXT)])
+
+
+def hits_column(text: Column, detectors=DETECTORS, grouped_iban: bool = True) -> Column:
+    """Candidates of each text with their values."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return structs([[(*s, t[s[1] : s[2]]) for s in detect(t, detectors, grouped_iban)] for t in _texts(texts)], _HIT)
+
+    return per_row(f"array<{SPAN[:-1]},value:string>>", run, text)
+
+
 def detect_column(text: Column, detectors=DETECTORS, grouped_iban: bool = True) -> Column:
     """Candidates of each text. Unlike operators.detect, whose expressions hold lambdas, this can stand below a further Arrow function."""
 
@@ -348,7 +379,7 @@ def analyse_column(text: Column, model: Column | None, excluded: Sequence[str],
             done.append(rewrite(t, entities, reversible))
         tally = lambda k: [Counter(e[k] for e in own) for own in found]
         columns = [
-            structs(found, _ENTITY), pa.array([None if t is None else d[0] for t, d in zip(raw, done)], _TEXT), maps([d[1] for d in done], _TEXT), structs([d[2] for d in done], _SEGMENT), pa.array([windows(t or "", words, shared) for t in raw], pa.int64()),
+            structs(found, _ENTITY), pa.array([None if t is None else d[0] for t, d in zip(raw, done)], _TEXT), maps([d[1] for d in done], _TEXT), structs([d[2] for d in done], _SEGMENT), pa.array([n_windows(sum(1 for _ in _WORDS.finditer(t or "")), words, shared) for t in raw], pa.int64()),
             pa.array([None if t is None else len(t) for t in raw], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([sum(e[7] for e in own) for own in found], pa.int64()), maps(tally(0), pa.int64()), maps(tally(5), pa.int64()),
         ]
         return pa.StructArray.from_arrays(columns, ["entities", "anonymized_text", "mapping", "segments", "n_chunks", "n_chars", "n_entities", "n_unique", "by_label", "by_source"])

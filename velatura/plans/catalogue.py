@@ -49,8 +49,8 @@ hits AS (SELECT doc_id, start, start + length(value) AS end_, value FROM placed
 _HIT = ("doc_id", "label", "cast(start AS bigint) AS start", "cast(end AS bigint) AS end_pos", "value", "validated")
 
 
-def _detected(docs: DataFrame, *names: str) -> DataFrame:
-    return detect_rows(docs, detectors=tuple(BY_NAME[n] for n in names), grouped_iban=False).selectExpr(*_HIT)
+def _detected(docs: DataFrame, *names: str, engine: str = "native") -> DataFrame:
+    return detect_rows(docs, detectors=tuple(BY_NAME[n] for n in names), grouped_iban=False, engine=engine).selectExpr(*_HIT)
 
 
 def _sql_detect(source_ctes: str, source: str, pattern: str, label: str, check: str | None = None, strict: bool = True, key: str = "doc_id", text: str = "text", trim: str = "") -> str:
@@ -98,13 +98,13 @@ _RENDERED = {
     "date": (r"\b(?:0?[1-9]|[12][0-9]|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)[0-9]{2}(?:\s+[0-9]{1,2}[:.][0-9]{2})?\b", "DATE", None, True, ""),
 }
 for _name, (_rx, _label, _check, _strict, _trim) in _RENDERED.items():
-    query(_sql_detect(_RK, "rendered", _rx, _label, _check, _strict, trim=_trim, text=_DIGITS_ONLY if _name == "card" else "text"), f"detect_{_name}_rendered")(lambda s, d, n=_name: _detected(R.rendered(s, d), n))
+    query(_sql_detect(_RK, "rendered", _rx, _label, _check, _strict, trim=_trim, text=_DIGITS_ONLY if _name == "card" else "text"), f"detect_{_name}_rendered")(lambda s, d, n=_name: _detected(R.rendered(s, d), n, engine="arrow"))
 
 
 @query(f"""WITH RECURSIVE {_RK} found AS (SELECT doc_id, strpos(text, iban_text) - 1 AS start, iban_text AS value FROM rendered WHERE iban_right)
 SELECT doc_id, 'IBAN' AS label, start::BIGINT AS start, start::BIGINT + length(value) AS end_pos, value, true AS validated FROM found""")
 def detect_iban_grouped(spark, sf_dir):
-    return detect_rows(R.rendered(spark, sf_dir), detectors=(), grouped_iban=True).selectExpr(*_HIT)
+    return detect_rows(R.rendered(spark, sf_dir), detectors=(), grouped_iban=True, engine="arrow").selectExpr(*_HIT)
 
 
 def _sql_checks(label: str, col: str, ok: str) -> str:
@@ -414,7 +414,7 @@ def _gold_pred(spark, sf_dir):
     """True spans of rendered documents, and all that the rule net detects, printed account numbers included."""
     r = R.rendered(spark, sf_dir)
     gold = exploded(r, ["doc_id"], F.col("truth"), "t").select("doc_id", F.col("t.label").alias("type"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    pred = detect_rows(r.select("doc_id", "text")).select("doc_id", F.col("label").alias("type"), "start", "end")
+    pred = detect_rows(r.select("doc_id", "text"), engine="arrow").select("doc_id", F.col("label").alias("type"), "start", "end")
     return gold, pred
 
 
