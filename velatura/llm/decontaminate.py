@@ -25,6 +25,8 @@ from velatura.llm.common import blobs, cut, prepare, rows, sliced
 #: memory a word there).
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
+#: Blocks that one plan searches; what they found is stored before the next ones.
+PLAN_BLOCKS = 8
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -216,7 +218,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     prepare(spark)
     empty = lambda kind: F.lit(None).cast(kind)
     out = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), empty("array<int>").alias("hits"), empty("array<string>").alias("items"), empty("array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>").alias("matches"))
-    for bench in benchmark_blocks(benchmark, window, block_bytes):
+    for k, bench in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
+        out = cut(out) if k and k % PLAN_BLOCKS == 0 else out
         out = out.mapInArrow(*_search(spark.sparkContext.broadcast(bench), shard_bytes, locate))
     hits = F.coalesce("hits", F.array().cast("array<int>"))
     return out.select(F.col("row").alias("doc_id"), "n_words", hits.alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "matches", (F.size(hits) > 0).alias("contaminated"))
@@ -227,7 +230,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     spark = docs.sparkSession
     prepare(spark)
     at, out = docs.columns.index(text_col), docs
-    for bench in benchmark_blocks(benchmark, window, block_bytes):
+    for k, bench in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
+        out = cut(out) if k and k % PLAN_BLOCKS == 0 else out
         shared = spark.sparkContext.broadcast(bench)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
