@@ -39,7 +39,7 @@ PARTS = 64
 #: Largest number of bytes of confirmed keys that is broadcast; beyond it a join is used.
 BROADCAST_BYTES = 32 << 20
 #: Hashes that a task gathers before it sums and sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 def keys_of(text: bytes, min_chars: int) -> list[bytes | None]:

@@ -28,7 +28,7 @@ from velatura.llm.common import blobs, cut, prepare, rows, sliced
 GROUP_ITEMS = 1 << 16
 #: Bytes of a part up to which it is remembered, and of all that a worker remembers: parts and ids, each with ENTRY_BYTES of overhead.
 SHORT_PART, ENTRY_BYTES = 128, 180
-REMEMBERED_BYTES = 192 << 20
+REMEMBERED_BYTES = 96 << 20
 #: Groups of one round that meet in one group of the next.
 FAN_IN = 8
 #: Characters that regular expression libraries may class differently; parts that hold one are encoded as they are.

@@ -21,7 +21,7 @@ from velatura.llm.common import prepare, rows, sliced
 CALL_CHARS = 1 << 16
 #: Characters of a part up to which it is remembered, and bytes of all that a worker remembers, each part with ENTRY_BYTES of overhead.
 SHORT_PART, ENTRY_BYTES = 128, 160
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 96 << 20
 #: Characters that a model may take for a space or drop; texts that hold one are encoded whole.
 _WHOLE = re.compile("[\\x00\u2581\u200b]")
 _PART = re.compile(r" *[^ ]+(?: +\Z)?")
