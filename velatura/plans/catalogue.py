@@ -62,11 +62,16 @@ SELECT doc_id, '{label}' AS label, start, start + length(value) AS end_pos, valu
 
 
 _SEP = "regexp_replace(value, '[^0-9]', '', 'g')"
-_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-_URL = (
-    r"(?i)(?:https?|ftp)://[^\s<>\"']+|www\.[A-Za-z0-9\-._~%]+\.[A-Za-z]{2,}(?:/[^\s<>\"']*)?"
-    r"|\b(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:it|com|net|org|eu|info|io|dev|app|gov|edu|cloud|online|site|blog)\b(?:/[^\s<>\"']*)?"
-)
+
+
+def _in_sql(name: str) -> str:
+    """A detector's own pattern, where it has no lookaround: SQL's classes are those of ASCII, which is what the texts hold around values."""
+    d = BY_NAME[name]
+    return ("(?i)" if d.fold else "") + d.source
+
+
+_EMAIL, _URL = _in_sql("email"), _in_sql("url")
+#: The patterns of operators.detect that have lookaround, which SQL's dialect lacks: a word's edge does for it in these texts.
 _CARD = r"\b[0-9](?:[ .\-]?[0-9]){12,18}\b"
 # With every other character as one that is no word character, a word's edge is a digit's edge.
 _DIGITS_ONLY = "regexp_replace(text, '[^0-9 .-]', '~', 'g')"
@@ -84,18 +89,13 @@ for _name, _table, _key, _text in (("documents", "documents", "doc_id", "text"),
 
 query(_sql_detect("", "documents", _CARD, "CREDITCARDNUMBER", _CARD_CHECK, text=_DIGITS_ONLY), "detect_card_documents")(lambda s, d: _detected(_t(s, d, "documents"), "card"))
 
-#: The patterns of operators.detect for the rendered texts in SQL's dialect, which has neither lookaround nor Java's classes; what
-#: surrounds a value there is known, and all digits are ASCII, so the plain forms say the same.
+_PIVA, _DATE = r"\b[0-9]{11}\b", r"\b(?:0?[1-9]|[12][0-9]|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)[0-9]{2}(?:\s+[0-9]{1,2}[:.][0-9]{2})?\b"
+_PHONE = r"(?:\+39[ .\-]?|\b)(?:3[0-9]{2}[ .\-]?[0-9]{3}[ .\-]?[0-9]{3,4}|0[0-9]{1,3}[ .\-]?[0-9]{5,8})\b"
+#: Of each detector: pattern, label, check, whether a match that fails it is dropped, and what a match may not end in.
 _RENDERED = {
-    "email": (_EMAIL, "EMAIL", None, True, ""), "url": (_URL, "URL", None, True, _TRIM), "card": (_CARD, "CREDITCARDNUMBER", _CARD_CHECK, True, ""),
-    "cf": (r"\b[A-Za-z]{6}[0-9]{2}[A-Za-z][0-9]{2}[A-Za-z][0-9]{3}[A-Za-z]\b", "CF", R.sql_cf_ok("value"), False, ""),
-    "cf_omocodic": (r"\b[A-Za-z]{6}[0-9LMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][0-9LMNPQRSTUVlmnpqrstuv]{2}[A-Za-z][0-9LMNPQRSTUVlmnpqrstuv]{3}[A-Za-z]\b", "CF", R.sql_cf_ok("value"), True, ""),
-    "iban": (r"\b[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11,30}\b", "IBAN", R.sql_iban_ok("value"), True, ""), "piva": (r"\b[0-9]{11}\b", "PIVA", R.sql_vat_ok("value"), True, ""),
-    "phone": (r"(?:\+39[ .\-]?|\b)(?:3[0-9]{2}[ .\-]?[0-9]{3}[ .\-]?[0-9]{3,4}|0[0-9]{1,3}[ .\-]?[0-9]{5,8})\b", "TELEPHONENUM", None, True, ""),
-    "amount": (r"(?i)(?:€|EUR|euro)\s?[0-9]{1,3}(?:[.\s][0-9]{3})*(?:,[0-9]{2})?|[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2}\s?(?:€|EUR|euro)", "AMOUNT", None, True, ""),
-    "plate": (r"\b[A-Za-z]{2}[ -]?[0-9]{3}[ -]?[A-Za-z]{2}\b", "TARGA", None, True, ""),
-    "docid": (r"(?i)\b(?:R\.?G\.?\s*N\.?R\.?|R\.?G\.?|RG|Prot\.?|protocollo|Rep\.?|repertorio)(?:\s*(?:n\.?|num\.?|nro\.?))?\s*[0-9]{1,8}(?:[/\-][0-9]{2,4})?\b", "DOCID", None, True, ""),
-    "date": (r"\b(?:0?[1-9]|[12][0-9]|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)[0-9]{2}(?:\s+[0-9]{1,2}[:.][0-9]{2})?\b", "DATE", None, True, ""),
+    "email": (_EMAIL, "EMAIL", None, True, ""), "url": (_URL, "URL", None, True, _TRIM), "card": (_CARD, "CREDITCARDNUMBER", _CARD_CHECK, True, ""), "cf": (_in_sql("cf"), "CF", R.sql_cf_ok("value"), False, ""),
+    "cf_omocodic": (_in_sql("cf_omocodic"), "CF", R.sql_cf_ok("value"), True, ""), "iban": (_in_sql("iban"), "IBAN", R.sql_iban_ok("value"), True, ""), "piva": (_PIVA, "PIVA", R.sql_vat_ok("value"), True, ""),
+    "phone": (_PHONE, "TELEPHONENUM", None, True, ""), "amount": (_in_sql("amount"), "AMOUNT", None, True, ""), "plate": (_in_sql("plate"), "TARGA", None, True, ""), "docid": (_in_sql("docid"), "DOCID", None, True, ""), "date": (_DATE, "DATE", None, True, ""),
 }
 for _name, (_rx, _label, _check, _strict, _trim) in _RENDERED.items():
     query(_sql_detect(_RK, "rendered", _rx, _label, _check, _strict, trim=_trim, text=_DIGITS_ONLY if _name == "card" else "text"), f"detect_{_name}_rendered")(lambda s, d, n=_name: _detected(R.rendered(s, d), n, engine="arrow"))
