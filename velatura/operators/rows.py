@@ -9,9 +9,10 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from velatura.functions.lineage import importable
 from velatura.functions.spans import SPAN
 from velatura.operators import iban
 from velatura.operators.detect import DETECTORS, SOFT_LABELS, STRIDE
@@ -274,6 +275,8 @@ def _texts(array: pa.Array) -> list[str]:
 
 def per_row(kind: str, run: Callable[..., pa.Array], *columns: Column) -> Column:
     """An Arrow function over the columns."""
+    if session := SparkSession.getActiveSession():
+        importable(session)
     return F.arrow_udf(run, kind)(*columns)
 
 
