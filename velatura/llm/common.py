@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.functions.lineage import ensure_folder
+from velatura.functions.lineage import ensure_folder, importable
 
-ROOT = str(Path(__file__).resolve().parents[2])
 #: Text bytes that a Python worker holds at once, unless a single text is longer.
 SLICE_BYTES = 4 << 20
 #: A key that holds more than one in so many rows is hot, so there are fewer hot keys than this.
@@ -29,9 +26,7 @@ def prepare(spark: SparkSession) -> None:
 
     The folder is spark.checkpoint.dir where the cluster names one.
     """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    importable(spark)
     ensure_folder(spark)
 
 
