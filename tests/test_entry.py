@@ -9,7 +9,7 @@ from velatura.sources import writers
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["detect_email_documents", "detect_url_pages", "detect_card_documents", "detect_cf_rendered", "detect_iban_grouped", "merge_spans", "merge_spans_arrow", "placeholders", "anonymize", "chunk_words", "tokenize", "bio_normalize", "dedup_exact", "length_profile", "generate_cf", "weighted_template", "stratified_quota", "latest_version", "lang_examples", "bio_remap", "generate_iban", "recogniser_union", "delimited_structure", "compare_pipelines", "wrong_documents", "index_and_reread", "by_length", "prf_by_label", "prf_overall", "restore_roundtrip", "dictionary_scrub", "simple_mask", "anonymize_irreversible", "anonymize_stats"]
+NAMES = ["detect_email_documents", "detect_url_pages", "detect_card_documents", "detect_cf_rendered", "detect_iban_grouped", "merge_spans", "merge_spans_arrow", "placeholders", "anonymize", "chunk_words", "tokenize", "bio_normalize", "dedup_exact", "length_profile", "generate_cf", "weighted_template", "stratified_quota", "latest_version", "lang_examples", "bio_remap", "generate_iban", "recogniser_union", "delimited_structure", "compare_pipelines", "wrong_documents", "index_and_reread", "by_length", "prf_by_label", "prf_overall", "restore_roundtrip", "dictionary_scrub", "simple_mask", "anonymize_irreversible", "anonymize_stats", "jsonl_roundtrip", "language_filter", "span_corpus_counts"]
 
 
 @pytest.fixture(scope="module")

@@ -247,3 +247,31 @@ def test_settings(tmp_path):
     assert settings.resolve({"excluded_tags": ["x"]}, folder, env)["excluded_tags"] == ["X"] and settings.resolve({}, folder, {"VELATURA_EXCLUDED_TAGS": ""})["excluded_tags"] == []
     (tmp_path / "settings.json").write_text("{damaged")
     assert settings.resolve({}, folder, {})["excluded_tags"] == ["AGE"]
+
+
+def test_validation_set_row_by_row(spark):
+    """Both corpora's rows are the first by their draws; every other row is a row that wasn't taken, with one filled snippet put in."""
+    rows = [(i, [f"w{i}", "b", ".", "c", f"e{i}"], ["O", "B-CITY", "O", "O", "O"]) for i in range(40)]
+    other = [(i, [f"o{i}"], ["O"]) for i in range(30)]
+    kind = "row_id long, tokens array<string>, bio_labels array<string>"
+    base_df, other_df = spark.createDataFrame(rows, kind), spark.createDataFrame(other, kind)
+    got = generate.validation_set(base_df, other_df, 8, 6, 5, seed=3).collect()
+
+    def first(df, seed, n, without=()):
+        return [r.row_id for r in df.filter(~F.col("row_id").isin(list(without) or [-1])).orderBy(labels.draw(seed, F.col("row_id")), "row_id").limit(n).collect()]
+
+    taken = first(base_df, 3, 8)
+    pool = first(base_df, 4, 25, taken)
+    assert Counter(r.part for r in got) == {"base": 8, "other": 6, **{label: 5 for label in generate.MISSING}}
+    assert {tuple(r.tokens) for r in got if r.part == "base"} == {tuple(rows[i][1]) for i in taken}
+    assert {tuple(r.tokens) for r in got if r.part == "other"} == {(f"o{i}",) for i in first(other_df, 3, 6)}
+    used = []
+    for r in got:
+        if r.part in generate.MISSING:
+            own = next(i for i in pool if rows[i][1][0] == r.tokens[0])
+            added = len(r.tokens) - 5
+            at = next(k for k in range(6) if list(r.tokens[:k]) == rows[own][1][:k] and list(r.tokens[k + added :]) == rows[own][1][k:])
+            assert at == 3 and list(r.bio_labels[:at]) + list(r.bio_labels[at + added :]) == rows[own][2]
+            assert f"B-{r.part}" in r.bio_labels[at : at + added]
+            used.append(own)
+    assert sorted(used) == sorted(pool)

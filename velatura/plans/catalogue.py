@@ -632,6 +632,39 @@ def index_and_reread(spark, sf_dir):
     return readers.reread(spark, [path], chosen).select(F.col("template_id").cast("bigint").alias("id"), F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
+@query("SELECT doc_id, sha256(text) AS digest, lang FROM documents UNION ALL SELECT doc_id + 1000000000, sha256(text), 'xx' FROM documents WHERE lang = 'en'")
+def jsonl_roundtrip(spark, sf_dir):
+    """Rows as JSON lines, further ones appended, and read again."""
+    from velatura.functions.lineage import ensure_folder
+    from velatura.sources import readers, writers
+
+    ensure_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lines-{uuid.uuid4().hex}"
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+    writers.write_jsonl(d, path)
+    writers.append_jsonl(readers.by_language(d, "en").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text", F.lit("xx").alias("language")), path)
+    return spark.read.schema("doc_id long, text string, language string").json(path).select("doc_id", F.sha2("text", 256).alias("digest"), F.col("language").alias("lang"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en'")
+def language_filter(spark, sf_dir):
+    from velatura.sources.readers import by_language
+
+    d = _t(spark, sf_dir, "documents").withColumnRenamed("lang", "language")
+    return by_language(dataset.shuffled(d, "doc_id", 4), "en").select("doc_id", F.col("language").alias("lang"))
+
+
+@query("""SELECT 'FULLNAME' AS type, true AS kept, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'CITY', true, count(*)::BIGINT FROM documents
+UNION ALL SELECT 'HOBBY', false, count(*)::BIGINT FROM documents WHERE doc_id % 2 = 0""")
+def span_corpus_counts(spark, sf_dir):
+    """Entities of a span-labelled corpus by final type, and those whose type is dropped."""
+    from velatura.sources.readers import span_corpus_counts as counts
+
+    d = F.col("doc_id")
+    literal = F.concat(F.format_string("[(%d, %d, 'LASTNAME_%d'), (90, 95, 'O'), (97, 99, 'CITY_1')", d % 50, d % 50 + 3, d), F.when(d % 2 == 0, ", (100, 104, 'HOBBY_2')]").otherwise("]"))
+    return counts(_t(spark, sf_dir, "documents").select(labels.decode_spans(literal).alias("entities")))
+
+
 # --- generation ----------------------------------------------------------------------------------------------------------------
 @query(f"WITH {R.sql_keys().strip()} SELECT doc_id, vat10 || vat_digit::VARCHAR AS piva FROM rk3")
 def generate_piva(spark, sf_dir):
