@@ -59,7 +59,9 @@ def test_stage_drops_copies_that_differ_in_some_words(spark):
     assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted((r for r in rows if r[0] in set(brute_groups(texts))), key=lambda r: r[0])
 
 
-def test_one_row_a_group_with_repeated_and_null_ids(spark):
+@pytest.mark.parametrize("broadcast_ids", [1 << 20, -1])
+def test_one_row_a_group_with_repeated_and_null_ids(spark, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast_ids)
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(1, a), (1, b), (1, a), (None, a + " end"), (None, c), (None, c + " end"), (None, d), (2, d + " end")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
