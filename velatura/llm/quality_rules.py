@@ -1,7 +1,8 @@
 """Quality rules: statistics of whole texts, judged by fixed limits and by an isolation forest over the statistics.
 
-The forest (Liu, Ting and Zhou, 2008) splits small random samples at random values; what few splits set apart is anomalous. It is
-grown on labelled rows, and the score above which a document counts as anomalous is calibrated on labelled rows as well.
+The forest (Liu, Ting and Zhou, 2008) splits small random samples at random values; what few splits set apart is anomalous. Each tree's
+sample is drawn from all labelled rows, and the score above which a document counts as anomalous is calibrated on all of them as well:
+ranges, draws and scores are worked out where the rows are, and the driver gets sums, the trees' samples and counts by score.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velatura.llm.common import blobs, cut, prepare, rows, sliced
 
-#: At most so many labelled rows grow the forest and calibrate the threshold: those whose hashed ids are smallest.
-LABELLED_ROWS = 20_000
+#: Trees, and rows in the sample of each, which the method fixes.
 TREES, SAMPLE = 200, 256
+#: Ranges of scores that are counted apart; the order inside one is worked out by a task.
+SCORE_RANGES = 1 << 14
 #: Largest share of rows labelled good that the threshold may turn away.
 GOOD_LOSS = 0.005
 SYMBOLS = b"#*$%&|<>"
@@ -93,16 +95,17 @@ class IsolationForest:
     """Trees as flat arrays: the feature (-1 in a leaf), the value split at, the children, and a leaf's path length.
 
     Split values are drawn from the whole box of values that labelled rows have, so that a rate no usual document has is set
-    apart by the first split on it, though all documents of the sample lie on one side.
+    apart by the first split on it, though all documents of the sample lie on one side. Where the points are too many to be passed,
+    drawn holds the sample of each tree, and points one of them.
     """
 
-    def __init__(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7):
+    def __init__(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7, drawn: list[np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
         self.trees: list[tuple[np.ndarray, ...]] = []
         self.usual = _usual_path(min(sample, max(len(points), 2)))
         depth = int(np.ceil(np.log2(max(2, min(sample, len(points))))))
-        for _ in range(trees):
-            own = points[rng.choice(len(points), min(sample, len(points)), replace=False)] if len(points) else points
+        for t in range(trees):
+            own = drawn[t] if drawn is not None else points[rng.choice(len(points), min(sample, len(points)), replace=False)] if len(points) else points
             nodes: list[list[float]] = []
 
             def grow(x: np.ndarray, level: int, low: np.ndarray, high: np.ndarray) -> int:
@@ -137,38 +140,126 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / self.usual)
 
 
-def threshold_of(scores: np.ndarray, good: np.ndarray, good_loss: float = GOOD_LOSS) -> float:
-    """The score that parts the two labels best (a lost good row weighs three caught ones), of those that lose at most a share good_loss of the good rows."""
-    if not len(scores) or good.all() or not good.any():
+def threshold_of(scored: DataFrame, good_loss: float = GOOD_LOSS) -> float:
+    """The score that parts the two labels best (a lost good row weighs three caught ones), of those that lose at most a share good_loss of the good rows.
+
+    scored: anomaly (0 to 1) and label of every labelled row. Equal scores are counted together, ranges of scores are summed up on the driver,
+    and each range is ordered by itself.
+    """
+    counted = cut(scored.groupBy("anomaly").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).withColumn("range", F.floor(F.col("anomaly") * SCORE_RANGES)))
+    ranges = counted.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy(F.desc("range")).collect()
+    good, bad = sum(r.good for r in ranges), sum(r.bad for r in ranges)
+    if not good or not bad:
         return float("inf")
-    order = np.argsort(-scores, kind="stable")
-    s, g = scores[order], good[order]
-    lost, caught = np.cumsum(g) / g.sum(), np.cumsum(~g) / (~g).sum()
-    last = np.append(s[1:] < s[:-1], True) & (lost <= good_loss)
-    gain = np.where(last, caught - 3 * lost, -1.0)
-    best = int(np.argmax(gain))
-    if gain[best] <= 0:
+    above, lost, caught = [], 0, 0
+    for r in ranges:
+        if lost > good_loss * good:
+            break
+        above.append((r.range, lost, caught))
+        lost, caught = lost + r.good, caught + r.bad
+    above = scored.sparkSession.createDataFrame(above, "range long, lost long, caught long")
+    down = Window.partitionBy("range").orderBy(F.desc("anomaly"))
+    summed = counted.join(F.broadcast(above), "range").select(
+        "anomaly", ((F.col("lost") + F.sum("good").over(down)) / F.lit(good)).alias("lost"), ((F.col("caught") + F.sum("bad").over(down)) / F.lit(bad)).alias("caught")
+    )
+    gains = summed.filter(F.col("lost") <= good_loss).withColumn("gain", F.col("caught") - 3 * F.col("lost")).filter("gain > 0")
+    best = gains.orderBy(F.desc("gain"), F.desc("anomaly")).first()
+    if best is None:
         return float("inf")
-    return float((s[best] + (s[best + 1] if best + 1 < len(s) else s[best])) / 2)
+    below = counted.filter(F.col("anomaly") < best.anomaly).agg(F.max("anomaly")).first()[0]
+    return (best.anomaly + (best.anomaly if below is None else below)) / 2
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", labelled_rows: int = LABELLED_ROWS) -> tuple[IsolationForest, float]:
-    """The forest, grown on rows labelled 1 that pass the base rules, and its threshold, over rows of both labels that do."""
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return rates(np.stack([batch.column(s).to_numpy() for s in STATS], axis=1))
+
+
+def _draw(ids: np.ndarray, tree: int) -> np.ndarray:
+    """A number for each id that is as good as random, another for each tree, and different for different ids (splitmix64)."""
+    x = ids.view(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _box(found: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of rows labelled 1, and the least and largest value of each rate among all rows."""
+    schema = pa.schema([("good", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, low, high = 0, np.inf, -np.inf
+        for batch in batches:
+            if batch.num_rows:
+                points = _points(batch)
+                good, low, high = good + int(batch.column("label").to_numpy().sum()), np.minimum(low, points.min(0)), np.maximum(high, points.max(0))
+        if np.ndim(low):
+            yield rows(schema, [good], [low.tolist()], [high.tolist()])
+
+    got = found.mapInArrow(run, "good long, low array<double>, high array<double>").collect()
+    if not got:
+        none = np.zeros(rates(np.zeros((0, len(STATS)))).shape[1])
+        return 0, none, none
+    return sum(r.good for r in got), np.min([r.low for r in got], axis=0), np.max([r.high for r in got], axis=0)
+
+
+def _samples(found: DataFrame, good: int) -> list[np.ndarray]:
+    """The sample of each tree: of all rows labelled 1, those SAMPLE that draw the smallest numbers.
+
+    Only rows that draw a number below a bound for some tree are fetched; it is so chosen that twice as many are expected as are needed, and is
+    doubled in the rare case that some tree has too few.
+    """
+    share = min(1.0, 2 * SAMPLE / max(good, 1))
+    while True:
+        bound = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
+
+        def run(batches: Iterator[pa.RecordBatch], bound: np.uint64 = bound) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, some = batch.column("doc_id").to_numpy(), np.zeros(batch.num_rows, bool)
+                for t in range(TREES):
+                    some |= _draw(ids, t) <= bound
+                yield batch.filter(pa.array(some))
+
+        table = found.filter("label = 1").mapInArrow(run, found.schema).toArrow().combine_chunks()
+        if not table.num_rows:
+            return [rates(np.zeros((0, len(STATS))))] * TREES
+        ids, points = table.column("doc_id").to_numpy(), _points(table)
+        drawn = [_draw(ids, t) for t in range(TREES)]
+        if share == 1 or all((d <= bound).sum() >= SAMPLE for d in drawn):
+            return [points[np.argsort(d)[:SAMPLE]] for d in drawn]
+        share = min(1.0, 2 * share)
+
+
+def _scored(df: DataFrame, forest: IsolationForest) -> DataFrame:
+    """The columns of df, STATS among them, and anomaly."""
+    shared = df.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("anomaly", pa.array(forest.scores(_points(batch))))
+
+    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", anomaly double")
+
+
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> tuple[IsolationForest, float]:
+    """The forest, grown on rows labelled 1 that pass the base rules, and its threshold, over rows of both labels that do: all of them."""
     clean = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other"))
-    chosen = clean.filter(F.col("label") == F.col("other")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", "label")
-    # At most labelled_rows pairs of numbers, so this broadcast is bounded; of rows with one id, one counts, so the result is as well.
-    got = stats.join(F.broadcast(chosen), "doc_id").filter(~base_failed()).groupBy("doc_id", "label").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "label", "s.*").toPandas().sort_values("doc_id")
-    points, good = rates(got[list(STATS)].to_numpy(np.int64)), got["label"].to_numpy() == 1
-    box = (points.min(0), points.max(0)) if len(points) else (np.zeros(points.shape[1]), np.zeros(points.shape[1]))
-    forest = IsolationForest(points[good], *box)
-    return forest, threshold_of(forest.scores(points), good)
+    chosen = clean.filter(F.col("label") == F.col("other")).select("doc_id", F.col("label").cast("long").alias("label"))
+    # Both sides have each id once, so no task of the join can fill up with one id's rows.
+    once = stats.filter(~base_failed()).groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("s"))
+    found = cut(once.join(chosen, "doc_id").select("doc_id", "label", "s.*"))
+    good, low, high = _box(found)
+    drawn = _samples(found, good)
+    forest = IsolationForest(drawn[0], low, high, drawn=drawn)
+    return forest, threshold_of(_scored(found, forest))
 
 
-def judge(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: doc_id, STATS, base_failed, anomaly (the forest's score) and kept.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. kept: neither base_failed nor anomalous.
@@ -177,17 +268,6 @@ def judge(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     of the smallest statistics is learnt from; without labels of both kinds nothing is anomalous; other columns are not looked at; an
     empty table gives no rows.
     """
-    spark = docs.sparkSession
     stats = cut(text_statistics(docs, id_col, text_col))
-    forest, threshold = fit(stats, labels, label_col, "doc_id", labelled_rows)
-    shared = spark.sparkContext.broadcast(forest)
-    schema = pa.schema([("doc_id", pa.int64()), *((s, pa.int64()) for s in STATS), ("anomaly", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
-        for batch in batches:
-            found = np.stack([batch.column(1 + i).to_numpy() for i in range(len(STATS))], axis=1) if batch.num_rows else np.zeros((0, len(STATS)))
-            yield rows(schema, *batch.columns, forest.scores(rates(found)))
-
-    scored = stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} long" for s in STATS) + ", anomaly double")
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
+    forest, threshold = fit(stats, labels, label_col, id_col)
+    return _scored(stats, forest).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
