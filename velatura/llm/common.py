@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files, and checkpoints where it is told to, of frames that nothing refers to any more.
+
+    Its cleaner learns of them when the driver's JVM collects garbage, which may not happen before the disk is full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared checkpoint folder."""
     prepare(spark)

@@ -8,9 +8,11 @@ mask of the bits that its members share and their pattern; going down, a pair of
 both fix and their parents did not, and is pruned as a whole once they are more than d, or once no upper node has members in both.
 What a task sends on is a spanning forest of its links, so that no group's pairs are ever listed.
 
-Bits only estimate similarity, and no limit of bits holds all pairs of a given similarity. Where the shared part of the shingles
-themselves is asked for, similar_documents finds all such pairs: two sets of similarity t share one of their first n - ceil(t n) + 1
-shingles in any common order, so the sets meet in a list of such a shingle, and each pair found there is compared whole.
+Where the shared part of the shingles themselves is asked for, similar_documents takes the links of the same index as candidates and confirms
+each by the whole sets. Its fingerprints are of the set of a text's single words, which a changed word moves by few bits, where it changes
+five shingles of five words. Bits only estimate similarity, and no limit of bits holds all pairs of a given similarity, so what
+the index leaves apart is completed by the sets: two of similarity t share one of their first n - ceil(t n) + 1 shingles in any common
+order, so they meet in a list of such a shingle, and each pair found there that isn't connected yet is compared whole.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from velatura.llm.common import attach, blobs, cut, prepare, rows, sliced
+from velatura.llm.common import attach, blobs, cut, prepare, rows, sliced, tidy
 
 BITS = 64
 #: Members from which an upper node is divided, rows from which a task builds a tree, and members of a tree's leaf.
@@ -39,6 +41,8 @@ _CHUNK = 1 << 15
 LIST_MEMBERS = 64
 SAMPLE_DOCS = 20_000
 COMMON = 1 << 18
+#: Differing bits up to which the index links fingerprints of word sets.
+INDEX_LIMIT = 5
 #: Ids whose texts are read again that are broadcast; beyond them: a join.
 BROADCAST_IDS = 1 << 20
 
@@ -57,7 +61,16 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """SimHash of a whole text's word shingles, repeats included, under XXH64."""
-    hashes = shingle_hashes(text, words, seed)
+    return _simhash(shingle_hashes(text, words, seed))
+
+
+def word_fingerprint(text: bytes, seed: int = 42) -> int:
+    """SimHash of the set of a whole text's words under XXH64."""
+    found = set(text.lower().split())
+    return _simhash(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in found), np.uint64, len(found)))
+
+
+def _simhash(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -315,22 +328,25 @@ _LONGS = pa.list_(pa.int64())
 
 
 def _set_marks(words: int, seed: int, level: Fraction, common):
-    """In: id, text. Out: id, the set's digest (fp), size and parity bits, and its first shingles, rare ones before common ones."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("bits", _LONGS), ("prefix", _LONGS)])
+    """In: id, text. Out: id, the set's digest (fp), the SimHash of its words (sim), its size and parity bits, and its first shingles,
+    rare ones before common ones. Equal sets of shingles hold equal words, so sim depends on fp alone."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()), ("n", pa.int64()), ("bits", _LONGS), ("prefix", _LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = common.value
         for batch in sliced(batches, 1):
-            sets, prefixes = [np.unique(shingle_hashes(t, words, seed)) for t in blobs(batch, 1)], []
+            texts = blobs(batch, 1)
+            sets, prefixes = [np.unique(shingle_hashes(t, words, seed)) for t in texts], []
+            sims = [_signed(word_fingerprint(t, seed)) for t in texts]
             for found in sets:
                 size = len(found) + int(len(found) * -level // 1) + 1 if len(found) else 0
                 if len(names):
                     at = np.minimum(np.searchsorted(names, found), len(names) - 1)
                     found = found[np.argsort(np.where(names[at] == found, counts[at], 0), kind="stable")]
                 prefixes.append(found[:size])
-            yield rows(schema, batch.column(0), [_set_digest(x) for x in sets], list(map(len, sets)), _lists([_parity(x) for x in sets]), _lists(prefixes))
+            yield rows(schema, batch.column(0), [_set_digest(x) for x in sets], sims, list(map(len, sets)), _lists([_parity(x) for x in sets]), _lists(prefixes))
 
-    return run, "doc_id long, fp long, n long, bits array<long>, prefix array<long>"
+    return run, "doc_id long, fp long, sim long, n long, bits array<long>, prefix array<long>"
 
 
 def _sets(words: int, seed: int):
@@ -435,12 +451,24 @@ def _list_pairs(level: Fraction, star: bool):
     return run, "a long, b long"
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", list_members: int = LIST_MEMBERS) -> DataFrame:
+def _index_pairs(prints: DataFrame, limit: int) -> DataFrame:
+    """Candidates (a, b), a < b, that the index gives for sets (fp) with fingerprints (sim): each set with one of equal fingerprint, and
+    one set of each of two fingerprints that the index links."""
+    first = cut(prints.groupBy("sim").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("members")))
+    equal = attach(prints.select("sim", F.col("fp").alias("b")), first.filter("members > 1"), "sim", "members", prints.count(), "inner").filter("a <> b").select("a", "b")
+    of = lambda side, name: first.select(F.col("sim").alias(side), F.col("a").alias(name))
+    near = hamming_links(first.select(F.col("sim").alias("fp")), limit).toDF("sim_a", "sim_b").join(of("sim_a", "x"), "sim_a").join(of("sim_b", "y"), "sim_b")
+    return equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", list_members: int = LIST_MEMBERS, limit: int = INDEX_LIMIT) -> DataFrame:
     """For each document: doc_id, fp (the digest of its set of word shingles) and root (equal for documents connected by links).
 
     Linked are all pairs whose sets of shingles have a shared part (intersection by union) of the similarity or more, and no others.
-    Shingles are ordered by their number in a sample of the documents and by hash; any order gives the same result, rare shingles
-    first give short lists. In long lists one member is compared with all others first, then pairs that are still apart.
+    The index gives links of at most `limit` differing bits, each confirmed by the sets; any limit gives the same result, and what it
+    leaves apart meets in lists of shingles. These are ordered by their number in a sample of the documents and by hash; any order
+    gives the same result, rare shingles first give short lists. In long lists one member is compared with all others first, then pairs
+    that are still apart.
 
     Defined results: texts without words, or null, have equal sets; a text of fewer words than a shingle is one shingle; repeated
     rows each get a row; an empty table gives no rows. Shingles stand for their 64-bit hashes.
@@ -456,9 +484,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     order = np.argsort(names)
     common = spark.sparkContext.broadcast((names[order], counts[order]))
     marked = cut(source.mapInArrow(*_set_marks(words, seed, level, common)))
-    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.min("sim").alias("sim"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     entries = marked.select("fp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "fp", "n", F.col("pos").cast("long").alias("pos"))
     shared = cut(entries.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInArrow(*_shared_lists()))
+    marked = cut(marked.select("doc_id", "fp"))
+    del entries, sampled
+    tidy(spark)
 
     def paired(lists: DataFrame, star: bool) -> DataFrame:
         return lists.select("shingle", "fp", "n", "pos", "root", "bits").repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(*_list_pairs(level, star))
@@ -479,12 +510,21 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         texts = source.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
         sets = cut(texts.mapInArrow(*_sets(words, seed)).join(need.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
         with_sets = open_.join(sets.select(F.col("fp").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("found").alias("y")), "b")
-        return cut(with_sets.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= num * F.col("total")).select("a", "b"))
-
-    alone = shared.withColumn("root", F.col("fp")).withColumn("bits", F.array().cast("array<long>"))
-    long_ = shared.filter(F.col("members") > list_members)
-    links = confirmed(paired(alone.filter(F.col("members") <= list_members), False).unionByName(paired(alone.filter(F.col("members") > list_members), True)))
+        linked = cut(with_sets.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= num * F.col("total")).select("a", "b"))
+        del open_, need, ids, texts, sets, with_sets
+        tidy(spark)
+        return linked
+
+    links = confirmed(_index_pairs(prints.select("fp", "sim"), limit))
+    # Sets with the same smallest neighbour are connected already. A set has as many rows in the lists as shingles at most, so none is hot.
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = cut(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("root")).select("fp", F.least("fp", "root").alias("root"), F.lit(0).alias("hot")))
+    apart = attach(shared, near, "fp", "hot", 1).withColumn("root", F.coalesce("root", "fp")).withColumn("bits", F.array().cast("array<long>"))
+    links = links.unionByName(confirmed(paired(apart.filter(F.col("members") <= list_members), False).unionByName(paired(apart.filter(F.col("members") > list_members), True))))
+    del apart, both, near
     roots = components(links)
+    tidy(spark)
+    long_ = shared.filter(F.col("members") > list_members)
     if not long_.isEmpty():
         rooted = long_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(prints.select("fp", "bits"), "fp")
         roots = components(links.unionByName(confirmed(paired(rooted, False))))
