@@ -123,9 +123,10 @@ def simple_mask(df: DataFrame, spans_col: str = "spans", text_col: str = "text",
     return df.withColumn(out, rows.mask_column(F.col(text_col), F.col(spans_col)))
 
 
-def restore(text: Column, mapping: Column) -> Column:
-    """The text with every placeholder replaced by its value; see rows.restore."""
-    return rows.restore_column(text, mapping)
+def restore(text: Column, mapping: Column, segments: Column | None = None) -> Column:
+    """The text with every placeholder replaced by its value; see rows.restore. With the segments of its rewriting, a text that nobody has changed
+    since comes back exactly: a name gives back the first of several spellings only, and takes asterisks around it and look-alikes along."""
+    return rows.restore_column(text, mapping, segments)
 
 
 def glued_placeholder(text: Column) -> Column:

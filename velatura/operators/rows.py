@@ -168,6 +168,19 @@ def _longest(names: dict[str, str], stem: str, digits: str) -> str | None:
     return next((n for k in range(min(len(digits), 20), -1, -1) if (n := stem + digits[:k]) in names), None)
 
 
+def unwritten(text: str, segments: Iterable[tuple]) -> str | None:
+    """The original of a text that still stands as rewrite left it: at each place its own value, whatever the rest of the text looks like. None for a
+    text that has been changed since, or whose segments don't hold the values."""
+    out, at = [], 0
+    for t, _, name, _, _ in segments:
+        now = t if name is None else name
+        if t is None or not text.startswith(now, at):
+            return None
+        out.append(t)
+        at += len(now)
+    return "".join(out) if at == len(text) else None
+
+
 def restore(text: str, mapping: dict[str, str]) -> str:
     """The text with every placeholder replaced by its value, in one pass. Brackets, spaces inside them and asterisks around them are optional, and
     there is no boundary on the right: of names that fit, the longest counts, so without its entry [X_12] reads as X_1 and a 2."""
@@ -358,11 +371,18 @@ def mask_column(text: Column, spans: Column) -> Column:
     return per_row("string", run, text, spans)
 
 
-def restore_column(text: Column, mapping: Column) -> Column:
-    def run(texts: pa.Array, every: pa.Array) -> pa.Array:
-        return pa.array([None if t is None or m is None else restore(t, dict(m)) for t, m in zip(texts.to_pylist(), every.to_pylist())], _TEXT)
+def restore_column(text: Column, mapping: Column, segments: Column | None = None) -> Column:
+    """segments: those of the text's rewriting, which restore it exactly as long as nobody has changed it."""
+
+    def one(t: str, m: list[tuple], own: list[tuple]) -> str:
+        exact = unwritten(t, own)
+        return restore(t, dict(m)) if exact is None else exact
+
+    def run(texts: pa.Array, every: pa.Array, *given: pa.Array) -> pa.Array:
+        raw = texts.to_pylist()
+        return pa.array([None if t is None or m is None else one(t, m, own) for t, m, own in zip(raw, every.to_pylist(), tuples(given[0]) if given else [()] * len(raw))], _TEXT)
 
-    return per_row("string", run, text, mapping)
+    return per_row("string", run, text, mapping, *([] if segments is None else [segments]))
 
 
 def analyse_column(text: Column, model: Column | None, excluded: Sequence[str], reversible: bool, words: int, shared: int, soft: tuple[str, ...] = SOFT_LABELS) -> Column:
