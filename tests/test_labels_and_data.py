@@ -275,3 +275,32 @@ def test_validation_set_row_by_row(spark):
             assert f"B-{r.part}" in r.bio_labels[at : at + added]
             used.append(own)
     assert sorted(used) == sorted(pool)
+
+
+def test_label_spans_of_a_batch_and_labels_stay_in_their_rows(spark):
+    import random
+
+    import pyarrow as pa
+
+    from velatura.operators import rows as R
+
+    def brute(row):
+        out, before = [], None
+        for i, x in enumerate(row or []):
+            t = None if x is None or x == "O" else x[2:]
+            if t is not None and (x.startswith("B-") or before != t):
+                out.append({"type": t, "start": i, "end": i})
+            if t is not None:
+                out[-1]["end"] = i + 1
+            before = t
+        return out
+
+    rng = random.Random(1)
+    for _ in range(300):
+        batch = [rng.choice([None, [], rng.choices(["O", "B-A", "I-A", "B-BB", "I-BB", None], k=rng.randrange(9))]) for _ in range(rng.randrange(12))]
+        k = rng.randrange(len(batch) + 1)
+        assert R.label_spans(pa.array(batch, pa.list_(pa.string())).slice(k)).to_pylist() == [brute(x) for x in batch[k:]], batch
+    df = spark.createDataFrame([(1, "di 12 a", [("A", 0, 5, "di 12")]), (2, None, []), (3, "x", None)], "row_id int, text string, e array<struct<label:string,start:int,end:int,value:string>>")
+    spans = labels.label_span_rows(df.withColumn("bio_labels", R.bio_labels_column(F.col("text"), F.col("e"))))
+    assert [tuple(r) for r in spans.collect()] == [(1, "A", 0, 2)]
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from velatura.functions import checksums
 from velatura.functions.classes import SPACE, WORD
-from velatura.functions.spans import cut_out, find, let
+from velatura.functions.spans import cut_out, exploded, find, let
 from velatura.functions.taxonomy import ADMITTED, RECASED, SPAN_CORPUS, final_label, mapping
 
 TOKEN = rf"[{WORD}]+|[^{WORD}{SPACE}]"
@@ -92,13 +92,10 @@ def label_spans(labels: Column) -> Column:
 
 
 def label_span_rows(rows: DataFrame, id_col: str = "row_id", labels_col: str = "bio_labels") -> DataFrame:
-    """The spans of label_spans as rows: id, type, start, end; found by windows over a row's tokens, for rows of any length."""
-    tok = rows.select(id_col, F.posexplode_outer(labels_col).alias("i", "label")).filter("i is not null").withColumn("t", label_type(F.col("label")))
-    order = Window.partitionBy(id_col).orderBy("i")
-    before = F.lag("t").over(order)
-    opens = F.col("t").isNotNull() & (F.col("label").startswith("B-") | before.isNull() | (before != F.col("t")))
-    marked = tok.withColumn("open", opens.cast("int")).withColumn("island", F.sum("open").over(order)).filter("t is not null")
-    return marked.groupBy(id_col, "island").agg(F.first("t").alias("type"), F.min("i").alias("start"), (F.max("i") + 1).alias("end")).select(id_col, "type", "start", "end")
+    """The spans of label_spans as rows: id, type, start, end; found within each row in time linear in its tokens, which stay where they are."""
+    from velatura.operators.rows import label_spans_column
+
+    return exploded(rows, [id_col], label_spans_column(F.col(labels_col)), "s").select(id_col, "s.*")
 
 
 def label_vocabulary(rows: DataFrame, labels_col: str = "bio_labels") -> DataFrame:

@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -228,6 +229,32 @@ def bio_labels(words: Sequence[tuple[str, int, int]], entities: Sequence[tuple[i
     return out
 
 
+def label_spans(labels: pa.ListArray) -> pa.ListArray:
+    """Of lists of labels (O, B- and I- types), lists of struct<type, start, end> over token numbers: a type that changes ends a span, and an I- without
+    one begins it. All lists of a batch at once."""
+    offsets = labels.offsets.to_numpy()
+    first, n = int(offsets[0]), int(offsets[-1] - offsets[0])
+    offsets = offsets - first
+    coded = labels.values.slice(first, n).dictionary_encode()
+    known = [x if x is not None and x != "O" else None for x in coded.dictionary.to_pylist()]
+    types = sorted({x[2:] for x in known if x is not None})
+    number = {t: k for k, t in enumerate(types)}
+    codes = coded.indices.fill_null(len(known)).to_numpy(zero_copy_only=False)
+    kind = np.array([-1 if x is None else number[x[2:]] for x in known] + [-1], np.int64)[codes]
+    begins = np.array([x is not None and x.startswith("B-") for x in known] + [False], bool)[codes]
+    head = np.zeros(n + 1, bool)  # the first token of a list
+    head[offsets] = True
+    before = np.concatenate(([-1], kind[:-1]))[:n]
+    opens = (kind >= 0) & (begins | head[:n] | (before != kind))
+    ends = (kind >= 0) & np.concatenate(((opens | (kind < 0))[1:], [True]))[:n] | (kind >= 0) & head[1:]
+    starts, stops = np.flatnonzero(opens), np.flatnonzero(ends) + 1
+    row = np.searchsorted(offsets, starts, "right") - 1
+    values = pa.StructArray.from_arrays(
+        [pa.DictionaryArray.from_arrays(pa.array(kind[starts], pa.int32()), pa.array(types, _TEXT)).cast(_TEXT), pa.array(starts - offsets[row], pa.int32()), pa.array(stops - offsets[row], pa.int32())], fields=list(_TYPED)
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets), pa.int32()), values)
+
+
 def windows(text: str, words: int, shared: int) -> list[tuple[int, int, int]]:
     """(number, start, end) of windows of so many words, of which two share some; whole words only, the last one ending with the text's last word."""
     places = [m.span() for m in _WORDS.finditer(text)]
@@ -245,6 +272,7 @@ _TEXT = pa.string()
 _SPAN = pa.struct([("label", _TEXT), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("validated", pa.bool_()), ("source", _TEXT), ("ord", pa.int32())])
 _ENTITY = pa.struct([("label", _TEXT), ("start", pa.int32()), ("end", pa.int32()), ("value", _TEXT), ("placeholder", _TEXT), ("source", _TEXT), ("validated", pa.bool_()), ("first", pa.bool_())])
 _SEGMENT = pa.struct([("t", _TEXT), ("label", _TEXT), ("ph", _TEXT), ("src", _TEXT), ("validated", pa.bool_())])
+_TYPED = pa.struct([("type", _TEXT), ("start", pa.int32()), ("end", pa.int32())])
 ENTITY = "struct<label:string,start:int,end:int,value:string,placeholder:string,source:string,validated:boolean,first:boolean>"
 SEGMENT = "struct<t:string,label:string,ph:string,src:string,validated:boolean>"
 REWRITTEN = f"struct<anonymized_text:string,mapping:map<string,string>,segments:array<{SEGMENT}>>"
@@ -272,9 +300,10 @@ def maps(each: Sequence[dict], value: pa.DataType) -> pa.MapArray:
     return pa.MapArray.from_arrays(_offsets(each), pa.array([k for m in each for k in m], _TEXT), pa.array([v for m in each for v in m.values()], value))
 
 
-def tuples(array: pa.Array) -> list[list[tuple]]:
-    """A list array of structs as lists of tuples; null lists are empty."""
-    flat = list(zip(*(c.to_pylist() for c in array.flatten().flatten())))
+def tuples(array: pa.Array, names: Sequence[str] | None = None) -> list[list[tuple]]:
+    """A list array of structs as lists of tuples, of all fields or of those named; null lists are empty."""
+    values = array.flatten()
+    flat = list(zip(*(c.to_pylist() for c in (values.flatten() if names is None else [values.field(n) for n in names]))))
     out, at = [], 0
     for n in array.value_lengths().fill_null(0).to_pylist():
         out.append(flat[at : at + n])
@@ -314,6 +343,28 @@ def windows_column(text: Column, words: int, shared: int) -> Column:
     return per_row("array<struct<chunk:int,start:int,end:int,text:string>>", run, text)
 
 
+def bio_labels_column(text: Column, entities: Column) -> Column:
+    """Labels of each text's tokens; entities: structs that have a label, a start and an end."""
+
+    def one(text: str, entities: list[tuple]) -> list[str]:
+        return bio_labels([("", *m.span()) for m in _TOKENS.finditer(text)], entities)
+
+    def run(texts: pa.Array, every: pa.Array) -> pa.Array:
+        found = [one(t, e) for t, e in zip(_texts(texts), tuples(every, ("start", "end", "label")))]
+        return pa.ListArray.from_arrays(_offsets(found), pa.array([x for own in found for x in own], _TEXT))
+
+    return per_row("array<string>", run, text, entities)
+
+
+def label_spans_column(labels: Column) -> Column:
+    """array<struct<type, start, end>> of each list of labels."""
+
+    def run(every: pa.Array) -> pa.Array:
+        return label_spans(every)
+
+    return per_row("array<struct<type:string,start:int,end:int>>", run, labels)
+
+
 _HIT = pa.struct([*_SPAN, ("value", _TEXT)])
 
 
