@@ -8,6 +8,7 @@ span. `merge` and `select_greedy` also exist as expressions only (engine="native
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
@@ -140,6 +141,8 @@ def glued_placeholder(text: Column) -> Column:
 _BREAK = r"(?:[\xad‐-]?[ \t]*\n[ \t]*)?"
 #: Letters and digits that a value must have to be looked for without word boundaries at an edge of punctuation.
 _UNANCHORED = 4
+#: Entries up to which plain values are looked for one by one, and characters that fold to ASCII ones in a search without case.
+_FEW, _FOLDED_TO_ASCII = 8, re.compile("[\u0130\u0131\u017f\u212a]")
 
 
 def value_pattern(value: str, breaks: bool = True) -> str:
@@ -168,19 +171,33 @@ class Scrubber:
     def __init__(self, entries: list[tuple[str, str]], breaks: bool):
         """entries: (placeholder, value), the most important first; of equal values the first counts."""
         self.entries, self.breaks = entries, breaks
+        # Compiling patterns takes longer than to look for a few plain values one by one.
+        plain = not breaks and len(entries) <= _FEW and all(v.isascii() and len(v.split()) == 1 for _, v in entries)
+        self.plain = [(k, v.strip().lower(), *self._edges(v)) for k, (_, v) in enumerate(entries)] if plain else None
+
+    @staticmethod
+    def _edges(value: str) -> tuple[bool, bool]:
+        """Whether a value needs a word boundary on the left and on the right."""
+        core, flat = sum(c.isalnum() for c in value), value.strip()
+        edge = lambda c: c.isalnum() or c == "_" or core < _UNANCHORED
+        return edge(flat[0]), edge(flat[-1])
+
+    @cached_property
+    def patterns(self) -> list[tuple[re.Pattern, list[int]]]:
+        entries = self.entries
         trees: dict[tuple[str, str], dict] = {}
         for k, (_, value) in enumerate(entries):
-            core, flat = sum(c.isalnum() for c in value), value.strip()
-            edge = lambda c: c.isalnum() or c == "_" or core < _UNANCHORED  # noqa: B023, E731
-            node = trees.setdefault(r"(?<!\w)" if edge(flat[0]) else "", {})
-            for i, word in enumerate(flat.split()):
+            left, right = self._edges(value)
+            node = trees.setdefault(r"(?<!\w)" if left else "", {})
+            for i, word in enumerate(value.split()):
                 for c in ([" "] if i else []) + list(word):
                     node = node.setdefault(c if c == " " or len(c.lower()) > 1 else c.lower(), {})
-            node.setdefault("", (k, r"(?!\w)" if edge(flat[-1]) else ""))
-        self.patterns: list[tuple[re.Pattern, list[int]]] = []
+            node.setdefault("", (k, r"(?!\w)" if right else ""))
+        patterns: list[tuple[re.Pattern, list[int]]] = []
         for left, tree in trees.items():
             order: list[int] = []  # entry of each group
-            self.patterns.append((re.compile(left + self._emit(tree, order), re.I), order))
+            patterns.append((re.compile(left + self._emit(tree, order), re.I), order))
+        return patterns
 
     def _emit(self, node: dict, order: list[int], inside: bool = False) -> str:
         """A node's alternatives, longer values before the one that ends here. inside: the character before belongs to the same word."""
@@ -197,6 +214,8 @@ class Scrubber:
 
     def found(self, text: str) -> list[tuple[int, int, int]]:
         """(entry, start, end): at each place the longest value of each pattern that begins there."""
+        if self.plain is not None and not _FOLDED_TO_ASCII.search(text):
+            return self._found_plain(text)
         out = []
         for pattern, order in self.patterns:
             at = 0
@@ -205,6 +224,20 @@ class Scrubber:
                 at = m.start() + 1
         return out
 
+    def _found_plain(self, text: str) -> list[tuple[int, int, int]]:
+        """The same for plain values: nothing but its own lower and upper case matches an ASCII character here."""
+        low, best = text.lower(), {}
+        inner = lambda c: c.isalnum() or c == "_"
+        for k, value, left, right in self.plain:
+            at = low.find(value)
+            while at >= 0:
+                end = at + len(value)
+                if not (left and at and inner(text[at - 1])) and not (right and end < len(text) and inner(text[end])):
+                    if (left, at) not in best or end > best[left, at][2]:
+                        best[left, at] = (k, at, end)
+                at = low.find(value, at + 1)
+        return list(best.values())
+
     def replace(self, text: str, counts: list[int]) -> str:
         """The text with values replaced, more important ones first where they overlap, until none is left: what stands next to a replaced
         value is set off from it."""
