@@ -315,11 +315,34 @@ def _texts(array: pa.Array) -> list[str]:
     return [t or "" for t in array.to_pylist()]
 
 
+#: Bytes of a batch that are Python objects at once, unless a single row is longer.
+SLICE_BYTES = 1 << 20
+
+
+def sliced(run: Callable[..., pa.Array], columns: Sequence[pa.Array]) -> pa.Array:
+    """run over slices of the columns that hold few bytes each. A batch comes as Arrow buffers; as Python objects, with what is made of them, it would
+    take several times its size, and a worker keeps what it once took."""
+    n = len(columns[0])
+    size = lambda a, k: sum(c.slice(a, k).nbytes for c in columns)
+    done, ahead = [], [(0, n)] if n else []
+    while ahead:
+        a, k = ahead.pop()
+        if k > 1 and size(a, k) > SLICE_BYTES:
+            ahead += [(a + k // 2, k - k // 2), (a, k // 2)]
+        else:
+            done.append(run(*(c.slice(a, k) for c in columns)))
+    return pa.concat_arrays(done) if len(done) > 1 else done[0] if done else run(*columns)
+
+
 def per_row(kind: str, run: Callable[..., pa.Array], *columns: Column) -> Column:
     """An Arrow function over the columns."""
     if session := SparkSession.getActiveSession():
         importable(session)
-    return F.arrow_udf(run, kind)(*columns)
+
+    def whole(*columns: pa.Array) -> pa.Array:
+        return sliced(run, columns)
+
+    return F.arrow_udf(whole, kind)(*columns)
 
 
 def text_column(change: Callable[[str], str], text: Column) -> Column:
