@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,19 @@ def test_small_expressions(spark):
     assert [r[0] for r in df.select(P.glued_placeholder(F.col("t"))).collect()] == [True, True, False, False]
     folds = spark.createDataFrame([("  Straße  Nr ",), ("ﬁne",)], "t string").select(fold(F.col("t"))).collect()
     assert [r[0] for r in folds] == ["strasse nr", "fine"]
+
+
+def test_plain_search_slices_and_words_of_a_batch():
+    rng, parts = random.Random(3), ["ab", "AB", "abc", "_", "1", "12", " ", ".", "é", "ſ", "K", "s", "€", "İ", "[X_1]", "-"]
+    for _ in range(1500):
+        text = "".join(rng.choices(parts, k=rng.randrange(25)))
+        values = ["".join(rng.choices(["ab", "AB", "c", "1", ".", "_", "k", "s", "-"], k=rng.randrange(2, 5))) for _ in range(4)]
+        entries = [(f"[X_{i}]", v) for i, v in enumerate(values) if sum(c.isalnum() for c in v) >= 2]
+        scrubber = P.Scrubber(entries, False)
+        by_patterns = P.Scrubber(entries, False)
+        by_patterns.plain = None
+        assert scrubber.plain is not None and sorted(scrubber.found(text)) == sorted(by_patterns.found(text)), (text, entries)
+    seen = []
+    out = R.sliced(lambda a: seen.append(a.nbytes) or a, [pa.array(["x" * 1000] * 5000 + ["y" * 3_000_000])])
+    assert len(out) == 5001 and sorted(seen)[-2] <= R.SLICE_BYTES < sorted(seen)[-1] and R.sliced(lambda a: a, [pa.array([], pa.string())]).to_pylist() == []
+    assert R.span_labels([(0, 2), (3, 5), (6, 9)], [(0, 2, "CITY_1"), (0, 5, "FIRSTNAME_2"), (6, 8, "CITY_3"), (0, 9, "NONE_1"), (None, None, "CITY_1")], {"CITY": "CITY", "FIRSTNAME": "FULLNAME"}) == ["B-FULLNAME", "I-FULLNAME", "O"]

@@ -272,6 +272,7 @@ _TEXT = pa.string()
 _SPAN = pa.struct([("label", _TEXT), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("validated", pa.bool_()), ("source", _TEXT), ("ord", pa.int32())])
 _ENTITY = pa.struct([("label", _TEXT), ("start", pa.int32()), ("end", pa.int32()), ("value", _TEXT), ("placeholder", _TEXT), ("source", _TEXT), ("validated", pa.bool_()), ("first", pa.bool_())])
 _SEGMENT = pa.struct([("t", _TEXT), ("label", _TEXT), ("ph", _TEXT), ("src", _TEXT), ("validated", pa.bool_())])
+_PLACE = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _TYPED = pa.struct([("type", _TEXT), ("start", pa.int32()), ("end", pa.int32())])
 ENTITY = "struct<label:string,start:int,end:int,value:string,placeholder:string,source:string,validated:boolean,first:boolean>"
 SEGMENT = "struct<t:string,label:string,ph:string,src:string,validated:boolean>"
@@ -379,6 +380,41 @@ def bio_labels_column(text: Column, entities: Column) -> Column:
     return per_row("array<string>", run, text, entities)
 
 
+def word_spans_column(text: Column, pattern: str) -> Column:
+    """array<struct<start, end>> of all matches in each text; a null text has none. The pattern is one of Python's."""
+    rx = re.compile(pattern)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [[m.span() for m in rx.finditer(t)] for t in _texts(texts)]
+        return structs(found, _PLACE)
+
+    return per_row("array<struct<start:int,end:int>>", run, text)
+
+
+def span_labels(places: Sequence[tuple[int, int]], entities: Iterable[tuple[int, int, str]], table: dict[str, str]) -> list[str]:
+    """As labels.bio_from_spans, for places in their order that don't overlap: each entity goes to its own tokens only."""
+    out, starts = ["O"] * len(places), [a for a, _ in places]
+    for a, b, label in entities:
+        final = None if label is None or a is None or b is None else table.get(re.sub("_[^_]*$", "", label))
+        if final is None:
+            continue
+        first = i = bisect_left(starts, a)
+        while i < len(places) and places[i][1] <= b:
+            out[i] = ("B-" if i == first else "I-") + final
+            i += 1
+    return out
+
+
+def span_labels_column(places: Column, entities: Column, table: dict[str, str]) -> Column:
+    """span_labels of each row; places and entities: structs that have a start and an end, and entities a label."""
+
+    def run(own: pa.Array, every: pa.Array) -> pa.Array:
+        found = [span_labels(p, e, table) for p, e in zip(tuples(own, ("start", "end")), tuples(every, ("start", "end", "label")))]
+        return pa.ListArray.from_arrays(_offsets(found), pa.array([x for one in found for x in one], _TEXT))
+
+    return per_row("array<string>", run, places, entities)
+
+
 def label_spans_column(labels: Column) -> Column:
     """array<struct<type, start, end>> of each list of labels."""
 
