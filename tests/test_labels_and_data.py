@@ -304,3 +304,11 @@ def test_label_spans_of_a_batch_and_labels_stay_in_their_rows(spark):
     spans = labels.label_span_rows(df.withColumn("bio_labels", R.bio_labels_column(F.col("text"), F.col("e"))))
     assert [tuple(r) for r in spans.collect()] == [(1, "A", 0, 2)]
     assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_span_matches_groups_both_sides_once(spark):
+    kind = "id int, start int, type string"
+    gold, pred = spark.createDataFrame([(1, 0, "A"), (1, 0, "A"), (1, 4, "B"), (None, 2, "A")], kind), spark.createDataFrame([(1, 0, "A"), (2, 0, "B"), (None, 2, "A")], kind)
+    m = evaluate.span_matches(gold, pred, ["id", "start"])
+    assert {tuple(r) for r in m.collect()} == {("A", 1, 1, 1, 2), ("B", 0, 1, 1, 1)}  # a null key matches nothing
+    assert "Join" not in m._jdf.queryExecution().executedPlan().toString()
